@@ -11,7 +11,6 @@ WHITESPACE = (
     "         　"
 )
 EMPTY_WORDS = ("", "nan", "none", "nat")
-TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd")
 
 
 def strip(c: Column) -> Column:
@@ -34,7 +33,10 @@ def real_text(c: Column) -> Column:
 
 
 def parse_time(c: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in TIME_FORMATS]).cast("timestamp_ntz")
+    """Zone-free time of a date or date-time text, null for anything else."""
+    t = F.regexp_replace(strip(c), r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    t = F.regexp_replace(t, r"^(\S+[ T]\d{1,2}:\d{2})$", "$1:00")
+    return F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}(?:$|[ T])"), t.try_cast("timestamp_ntz"))
 
 
 def cell_at(cells: Column, header: Column, name: str) -> Column:

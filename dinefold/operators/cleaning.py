@@ -34,7 +34,7 @@ def clean_orders(orders: DataFrame) -> DataFrame:
 
 def clean_items(items: DataFrame) -> DataFrame:
     """Drop total rows and cast numbers; text that is no number becomes null."""
-    out = items.filter(is_digit_id(F.col("order_no")))
+    out = drop_total_rows(items, "seq", "order_no").filter(is_digit_id(F.col("order_no")))
     for c in ("unit_price", "qty", "line_amount", "item_revenue"):
         if c in out.columns:
             out = out.withColumn(c, F.col(c).try_cast(MONEY))

@@ -1,7 +1,7 @@
 """Completeness checks of incoming files, all files in one pass.
 
-Result rows are issues: (file, step, ord, code, message). `step` and `ord` give the order in
-which messages of a file are listed. A file has a bounded number of issues: two per sheet
+Issues are (step, ord, code, message); `step` and `ord` give the order in which the messages of
+a file are listed. A file has a bounded number of issues: two per sheet
 list, one per sheet for missing columns, nine for empty cells and one for dates.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from dinefold import params as P
 from dinefold.functions.business import range_end, range_start
-from dinefold.functions.cells import cell_at, is_digit_id, is_empty_cell, parse_time
+from dinefold.functions.cells import is_digit_id, is_empty_cell, parse_time
 from dinefold.sources import grid as G
 
 SHEET_KEY = {P.ORDERS_SHEET: "pos_orders", P.ITEMS_SHEET: "pos_items", P.TAKEAWAY_SHEET: "takeaway"}
@@ -37,14 +37,21 @@ MSG_BAD_RANGE = "声明范围 %s~%s 不是有效日期"
 MSG_GATE = "入库校验未通过，请修正 Excel 后重新提交："
 
 
-def _issues(df: DataFrame, step: Column, ord_: Column, code: str, message: Column) -> DataFrame:
-    return df.select(
-        "file",
-        step.cast("int").alias("step"),
-        ord_.cast("int").alias("ord"),
-        F.lit(code).alias("code"),
-        message.alias("message"),
-    )
+_ISSUES = "array<struct<step:int,ord:int,code:string,message:string>>"
+
+
+def _issue(step, ord_, code: str, message: Column) -> Column:
+    as_int = lambda x: F.lit(x).cast("int")
+    return F.struct(as_int(step).alias("step"), as_int(ord_).alias("ord"), F.lit(code).alias("code"), message.alias("message"))
+
+
+def _none() -> Column:
+    return F.array().cast(_ISSUES)
+
+
+def _one_if(cond: Column, step, ord_, code: str, message: Column) -> Column:
+    """A list with one issue where the condition holds, else an empty list."""
+    return F.when(cond, F.array(_issue(step, ord_, code, message)).cast(_ISSUES)).otherwise(_none())
 
 
 def _step() -> Column:
@@ -64,116 +71,148 @@ def _lookup(schema: dict, part: str) -> Column:
     return out
 
 
-def column_stats(rows: DataFrame) -> DataFrame:
-    """Per column: has it a value at all, valid rows, empty cells in valid rows; one pass."""
+def _id_cell() -> Column:
     pos = F.array_position("header", G.id_column())
-    valid = (pos > 0) & is_digit_id(F.get(F.col("cells"), (pos - 1).cast("int")))
+    return F.when(pos > 0, F.get(F.col("cells"), (pos - 1).cast("int")))
+
+
+def valid_id_rows(rows: DataFrame) -> DataFrame:
+    """Data rows whose id is digits only."""
+    return rows.filter(is_digit_id(_id_cell()))
+
+
+def column_stats(rows: DataFrame) -> DataFrame:
+    """Per column: has it a value at all, valid rows, empty cells and days of valid rows; one pass.
+
+    Cells are combined on the map side, so a file with a large part of all rows ends as one
+    row per column before the shuffle. Days are kept for date columns only.
+    """
     cells = F.transform(
         F.sequence(F.lit(0), F.size("header") - 1),
         lambda i: F.struct(i.alias("pos"), F.get(F.col("header"), i).alias("column"), F.get(F.col("cells"), i).alias("v")),
     )
+    value = F.col("c.v")
+    dated = F.col("valid") & F.col("c.column").isin(P.ORDER_TIME_COLUMN, P.BUSINESS_DATE_COLUMN)
     return (
-        rows.select("file", "sheet", F.coalesce(valid, F.lit(False)).alias("valid"), F.explode(cells).alias("c"))
+        rows.select("file", "sheet", is_digit_id(_id_cell()).alias("valid"), F.explode(cells).alias("c"))
         .groupBy("file", "sheet", "c.pos", "c.column")
         .agg(
-            F.max(F.col("c.v").isNotNull()).alias("filled"),
+            F.max(value.isNotNull()).alias("filled"),
             F.count_if("valid").alias("n_valid"),
-            F.count_if(F.col("valid") & is_empty_cell(F.col("c.v"))).alias("n_empty"),
+            F.count_if(F.col("valid") & is_empty_cell(value)).alias("n_empty"),
+            # Bounded by the calendar.
+            F.collect_set(F.when(dated, parse_time(value).cast("date"))).alias("days"),
         )
     )
 
 
-def sheet_columns(stats: DataFrame) -> DataFrame:
-    """Per sheet its columns with a value and the number of rows with a valid id."""
-    return stats.groupBy("file", "sheet").agg(
+def sheet_columns(heads: DataFrame, stats: DataFrame) -> DataFrame:
+    """Sheets with their metadata and the statistics of their columns as a list.
+
+    The store written above the header becomes a column of both order sheets. A sheet
+    without rows below its header has no columns.
+    """
+    lists = stats.groupBy("file", "sheet").agg(
         F.max("n_valid").alias("n_valid"),
         # Bounded by the width of a sheet.
-        F.collect_list(F.when(F.col("filled"), F.col("column"))).alias("actual"),
+        F.array_sort(F.collect_list(F.when(F.col("filled"), F.struct("pos", "column", "n_empty", "days")))).alias("cols"),
     )
+    cols_t = "array<struct<pos:int,column:string,n_empty:bigint,days:array<date>>>"
+    given = F.col("given")
+    out = (
+        heads.join(lists, ["file", "sheet"], "left")
+        .withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("bigint")))
+        .withColumn("cols", F.coalesce("cols", F.array().cast(cols_t)))
+        .withColumn("given", (F.max(F.coalesce("store_raw", F.lit(""))).over(W.partitionBy("file")) != "")
+                    & (F.col("sheet") != P.TAKEAWAY_SHEET))
+        .withColumn("cols", F.filter("cols", lambda c: ~(given & c["column"].eqNullSafe(P.STORE_COLUMN))))
+    )
+    names = F.transform("cols", lambda c: c["column"])
+    return out.withColumn(
+        "actual", F.when(given, F.array_append(names, F.lit(P.STORE_COLUMN))).otherwise(names)
+    ).withColumn("has_id", F.array_contains("actual", G.id_column()))
 
 
-def valid_id_rows(rows: DataFrame) -> DataFrame:
-    """Data rows whose id is digits only."""
-    return rows.filter(is_digit_id(
-        F.get(F.col("cells"), (F.nullif(F.array_position("header", G.id_column()), F.lit(0)) - 1).cast("int"))
-    ))
+def sheet_report(grid: DataFrame) -> DataFrame:
+    """Everything the checks need, one row per sheet."""
+    heads = G.with_metadata(G.sheet_heads(grid))
+    return sheet_columns(heads, column_stats(G.data_rows(grid, G.locate_headers(grid))))
 
 
-def missing_columns(columns: DataFrame, schema: dict) -> DataFrame:
+def _missing(schema: dict) -> Column:
+    return F.array_except(_lookup(schema, "required"), F.col("actual"))
+
+
+def missing_columns(sheets: DataFrame, schema: dict) -> DataFrame:
     """Required columns a sheet lacks, in the order of the requirement."""
-    return columns.withColumn("missing", F.array_except(_lookup(schema, "required"), "actual")).filter(
-        F.size("missing") > 0
-    )
+    found = sheets.filter("header_idx is not null")
+    return found.withColumn("missing", _missing(schema)).filter(F.size("missing") > 0)
 
 
-def null_cells_by_column(stats: DataFrame, schema: dict) -> DataFrame:
-    """Checked columns with empty cells and their check order."""
+def _null_cells(schema: dict) -> Column:
+    """Checked columns with empty cells, in check order."""
     required, nullable = _lookup(schema, "required"), _lookup(schema, "nullable")
-    name = F.col("column")
-    named = name.isNotNull() & (F.trim(name) != "") & (name != "nan")
-    checked = F.when(F.size(required) > 0, F.array_contains(required, name)).otherwise(named)
-    order = F.when(F.size(required) > 0, F.array_position(required, name)).otherwise(F.col("pos").cast("bigint") + 1)
-    return stats.filter(
-        F.col("filled") & checked & ~F.coalesce(F.array_contains(nullable, name), F.lit(False)) & (F.col("n_empty") > 0)
-    ).select("file", "sheet", "column", "n_empty", order.alias("check_order"))
+    listed = F.size(required) > 0
+
+    def checked(c):
+        name = c["column"]
+        named = name.isNotNull() & (F.trim(name) != "") & (name != "nan")
+        wanted = F.when(listed, F.array_contains(required, name)).otherwise(named)
+        return wanted & ~F.coalesce(F.array_contains(nullable, name), F.lit(False)) & (c["n_empty"] > 0)
+
+    def entry(c):
+        order = F.when(listed, F.array_position(required, c["column"])).otherwise(c["pos"].cast("bigint") + 1)
+        return F.struct(order.alias("check_order"), c["column"].alias("column"), c["n_empty"].alias("n_empty"))
+
+    return F.array_sort(F.transform(F.filter("cols", checked), entry))
+
+
+def null_cells_by_column(sheets: DataFrame, schema: dict) -> DataFrame:
+    return sheets.select("file", "sheet", F.inline(_null_cells(schema)))
 
 
-def truncate_issues(nulls: DataFrame) -> DataFrame:
+def _null_issues(schema: dict) -> Column:
     """At most eight column issues per sheet, then one line for the rest."""
-    # A window over the columns of one sheet: bounded by its width.
-    w = W.partitionBy("file", "sheet").orderBy("check_order", "column")
-    ranked = nulls.withColumn("rn", F.row_number().over(w))
-    first = _issues(
-        ranked.filter(F.col("rn") <= MAX_COLUMN_ISSUES),
-        _step(),
-        F.col("rn") + 1,
-        "empty_cells",
-        F.format_string(MSG_NULLS, "sheet", "column", "n_empty"),
-    )
-    rest = (
-        ranked.filter(F.col("rn") > MAX_COLUMN_ISSUES).groupBy("file", "sheet").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return first.unionByName(
-        _issues(rest, _step(), F.lit(MAX_COLUMN_ISSUES + 2), "more_empty_columns", F.format_string(MSG_MORE_NULLS, "sheet", "n"))
+    nulls = _null_cells(schema)
+    step = _step()
+    first = F.transform(
+        F.slice(nulls, 1, MAX_COLUMN_ISSUES),
+        lambda c, i: _issue(step, i + 2, "empty_cells", F.format_string(MSG_NULLS, F.col("sheet"), c["column"], c["n_empty"])),
+    ).cast(_ISSUES)
+    more = F.size(nulls) - MAX_COLUMN_ISSUES
+    return F.concat(
+        first,
+        _one_if(more > 0, step, MAX_COLUMN_ISSUES + 2, "more_empty_columns", F.format_string(MSG_MORE_NULLS, F.col("sheet"), more)),
     )
 
 
-def column_issues(stats: DataFrame, headers: DataFrame, meta: DataFrame, schema: dict) -> DataFrame:
-    """Missing id, no valid rows, missing columns, empty cells."""
-    sheets = headers.select("file", "sheet")
-    stats = stats.join(meta.select("file", "store_raw"), "file", "left")
-    # The store written above the header becomes a column of both order sheets.
-    given = (F.coalesce("store_raw", F.lit("")) != "") & (F.col("sheet") != P.TAKEAWAY_SHEET)
-    stats = stats.filter(~(given & F.col("column").eqNullSafe(P.STORE_COLUMN))).withColumn("given", given)
-    seen = stats.groupBy("file", "sheet").agg(
-        F.max("n_valid").alias("n_valid"),
-        F.max("given").alias("given"),
-        F.collect_list(F.when(F.col("filled"), F.col("column"))).alias("actual"),
-    )
-    cols = (
-        # A sheet without rows below its header has no columns at all.
-        sheets.join(seen, ["file", "sheet"], "left")
-        .withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("bigint")))
-        .withColumn("actual", F.coalesce("actual", F.array().cast("array<string>")))
-        .withColumn("actual", F.when(F.col("given"), F.array_append("actual", F.lit(P.STORE_COLUMN))).otherwise(F.col("actual")))
-        .withColumn("has_id", F.array_contains("actual", G.id_column()))
-    )
-    sound = F.col("has_id") & (F.col("n_valid") > 0)
-    no_id = _issues(
-        cols.filter(~F.col("has_id")), _step(), F.lit(0), "missing_id_column",
-        F.format_string(MSG_ID_COLUMN, "sheet", G.id_column()),
-    )
-    no_rows = _issues(
-        cols.filter(F.col("has_id") & (F.col("n_valid") == 0)), _step(), F.lit(0), "no_valid_rows",
-        F.format_string(MSG_NO_ROWS, "sheet"),
+def truncate_issues(sheets: DataFrame, schema: dict) -> DataFrame:
+    return sheets.select("file", "sheet", F.inline(_null_issues(schema)))
+
+
+def _column_issues(schema: dict) -> Column:
+    """Missing id, no valid rows, missing columns, empty cells of one sheet."""
+    sheet, missing, step = F.col("sheet"), _missing(schema), _step()
+    no_id = F.array(_issue(step, 0, "missing_id_column", F.format_string(MSG_ID_COLUMN, sheet, G.id_column()))).cast(_ISSUES)
+    no_rows = F.array(_issue(step, 0, "no_valid_rows", F.format_string(MSG_NO_ROWS, sheet))).cast(_ISSUES)
+    lacking = _one_if(
+        F.size(missing) > 0, step, 1, "missing_columns",
+        F.format_string(MSG_COLUMNS, sheet, F.size(missing), F.array_join(missing, "、")),
     )
-    lacking = _issues(
-        missing_columns(cols.filter(sound), schema), _step(), F.lit(1), "missing_columns",
-        F.format_string(MSG_COLUMNS, "sheet", F.size("missing"), F.array_join("missing", "、")),
+    return (
+        F.when(~F.col("has_id"), no_id)
+        .when(F.col("n_valid") == 0, no_rows)
+        .otherwise(F.concat(lacking, _null_issues(schema)))
     )
-    ok_sheets = cols.filter(sound).select("file", "sheet")
-    nulls = truncate_issues(null_cells_by_column(stats, schema).join(ok_sheets, ["file", "sheet"], "left_semi"))
-    return no_id.unionByName(no_rows).unionByName(lacking).unionByName(nulls)
+
+
+def _days(*columns: str) -> Column:
+    """Days of the first of the given columns that the sheet has; null without one."""
+    out = F.lit(None).cast("array<date>")
+    for name in reversed(columns):
+        found = F.filter("cols", lambda c: c["column"].eqNullSafe(name))
+        out = F.when(F.size(found) > 0, F.get(found, F.lit(0))["days"]).otherwise(out)
+    return out
 
 
 def date_spine(periods: DataFrame) -> DataFrame:
@@ -198,32 +237,43 @@ def date_coverage_gaps(periods: DataFrame, actual: DataFrame, closures: DataFram
     )
 
 
-def date_issues(periods: DataFrame, actual: DataFrame, closures: DataFrame) -> DataFrame:
+def _date_issues() -> Column:
+    """No period, a period that is no date, or days without orders."""
     start, end = F.col("period_start"), F.col("period_end")
-    no_period = _issues(
-        periods.filter(start.isNull() | end.isNull()), F.lit(DATE_STEP), F.lit(0), "no_period", F.lit(MSG_NO_PERIOD)
-    )
-    bad = start.try_cast("date").isNull() | end.try_cast("date").isNull()
-    bad_range = _issues(
-        periods.filter(start.isNotNull() & end.isNotNull() & bad), F.lit(DATE_STEP), F.lit(0), "bad_range",
-        F.format_string(MSG_BAD_RANGE, start, end),
-    )
-    # Days of one file: bounded by the calendar.
-    gaps = date_coverage_gaps(periods, actual, closures).withColumn(
-        "rn", F.row_number().over(W.partitionBy("file").orderBy("day"))
+    first, last = start.try_cast("date"), end.try_cast("date")
+    none = F.array().cast("array<date>")
+    spine = F.when(first <= last, F.sequence(first, last)).otherwise(none)
+    gaps = F.array_except(F.array_except(spine, F.col("days")), F.coalesce(F.col("closed"), none))
+    listed = F.array_join(F.transform(F.slice(gaps, 1, MAX_LISTED_DAYS), lambda d: F.date_format(d, "yyyy-MM-dd")), ", ")
+    more = F.when(F.size(gaps) > MAX_LISTED_DAYS, " ...").otherwise("")
+    return (
+        F.when(start.isNull() | end.isNull(), _one_if(F.lit(True), DATE_STEP, 0, "no_period", F.lit(MSG_NO_PERIOD)))
+        .when(
+            first.isNull() | last.isNull(),
+            _one_if(F.lit(True), DATE_STEP, 0, "bad_range", F.format_string(MSG_BAD_RANGE, start, end)),
+        )
+        .otherwise(
+            _one_if(
+                F.size(gaps) > 0, DATE_STEP, 0, "missing_days",
+                F.format_string(MSG_GAPS, start, end, F.size(gaps), listed, more),
+            )
+        )
     )
-    missing = gaps.groupBy("file", "period_start", "period_end").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.when(F.col("rn") <= MAX_LISTED_DAYS, F.date_format("day", "yyyy-MM-dd")))).alias("days"),
+
+
+def with_closures(files: DataFrame, closures: DataFrame) -> DataFrame:
+    """Add the days the file's store may miss; at most one list per store."""
+    day = F.col("closed_date").try_cast("date")
+    own = closures.filter(F.col("store") != P.ALL_STORES).groupBy(F.col("store").alias("store_name")).agg(
+        F.collect_set(day).alias("own")
     )
-    gap_issues = _issues(
-        missing, F.lit(DATE_STEP), F.lit(0), "missing_days",
-        F.format_string(
-            MSG_GAPS, "period_start", "period_end", "n", F.array_join("days", ", "),
-            F.when(F.col("n") > MAX_LISTED_DAYS, " ...").otherwise(""),
-        ),
+    everywhere = closures.filter(F.col("store") == P.ALL_STORES).agg(F.collect_set(day)).scalar()
+    none = F.array().cast("array<date>")
+    return (
+        files.join(own, "store_name", "left")
+        .withColumn("closed", F.array_union(F.coalesce("own", none), F.coalesce(everywhere, none)))
+        .drop("own")
     )
-    return no_period.unionByName(bad_range).unionByName(gap_issues)
 
 
 def closures_frame(spark: SparkSession, closures: dict[str, list[str]]) -> DataFrame:
@@ -231,104 +281,89 @@ def closures_frame(spark: SparkSession, closures: dict[str, list[str]]) -> DataF
     return spark.createDataFrame(rows, "store string, closed_date string")
 
 
-def summary(files: DataFrame, issues: DataFrame) -> DataFrame:
+def summary(files: DataFrame) -> DataFrame:
     """One row per file; its messages in order, one per line."""
-    lines = issues.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_errors"),
-        # Bounded, see the module text.
-        F.array_sort(F.collect_list(F.struct("step", "ord", "message"))).alias("m"),
-    )
     blank = F.lit("")
-    return files.join(lines, "file", "left").select(
+    return files.select(
         "file",
-        F.col("n_errors").isNull().alias("ok"),
+        (F.size("issues") == 0).alias("ok"),
         F.coalesce("store_name", blank).alias("store_name"),
         F.coalesce("period_start", blank).alias("period_start"),
         F.coalesce("period_end", blank).alias("period_end"),
-        F.coalesce("n_errors", F.lit(0).cast("bigint")).alias("n_errors"),
-        F.coalesce(F.array_join(F.transform("m", lambda x: x["message"]), "\n"), blank).alias("errors"),
+        F.size("issues").cast("bigint").alias("n_errors"),
+        F.array_join(F.transform("issues", lambda x: x["message"]), "\n").alias("errors"),
     )
 
 
-def pos_issues(grid: DataFrame, schema: dict, closures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Issues of all order files, and one row per file with store and period."""
-    grid = grid.filter(F.col("sheet").isin(*G.POS_SHEETS))
-    files = grid.select("file").distinct()
-    absent = G.required_sheets(grid)
-    sheet_order = F.when(F.col("sheet") == P.ORDERS_SHEET, 0).otherwise(1)
-    sheets = _issues(absent, F.lit(0), sheet_order, "missing_sheet", F.format_string(MSG_SHEET, "sheet"))
-
-    complete = files.join(absent.select("file").distinct(), "file", "left_anti")
-    meta = complete.join(G.file_period(G.sheet_metadata(grid)), "file", "left")
-    headers = G.locate_headers(grid)
-    with_both = headers.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(G.POS_SHEETS)).select("file")
-    headless = complete.join(with_both, "file", "left_anti")
-    header = _issues(headless, F.lit(1), F.lit(0), "missing_header", F.lit(MSG_HEADER % P.POS_ID))
-
-    usable = complete.join(with_both, "file", "left_semi")
-    rows = G.data_rows(grid, headers.join(usable, "file", "left_semi"))
-    stats = column_stats(rows)
-    columns = column_issues(stats, headers.join(usable, "file", "left_semi"), meta, schema)
-
-    filled = stats.filter((F.col("sheet") == P.ORDERS_SHEET) & F.col("filled"))
-    has_id = filled.filter(F.col("column") == P.POS_ID).select("file").distinct()
-    with_time = filled.filter(F.col("column") == P.ORDER_TIME_COLUMN).select("file").distinct()
-    # Without an id column there is no valid row whose date could be checked.
-    has_time = with_time.join(has_id, "file", "left_semi")
-    no_time = _issues(
-        usable.join(has_id, "file", "left_semi").join(with_time, "file", "left_anti"),
-        F.lit(DATE_STEP), F.lit(0), "missing_time_column", F.lit(MSG_NO_TIME),
-    )
-    order_rows = valid_id_rows(rows.filter(F.col("sheet") == P.ORDERS_SHEET))
-    days = actual_days(order_rows, [P.ORDER_TIME_COLUMN])
-    dates = date_issues(meta.join(has_time, "file", "left_semi"), days, closures)
-    issues = sheets
-    for part in (header, columns, no_time, dates):
-        issues = issues.unionByName(part)
-    return issues, files.join(meta, "file", "left")
+def issue_rows(files: DataFrame) -> DataFrame:
+    return files.select("file", F.inline("issues"))
 
 
-def actual_days(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Days of the first of the given columns the sheet has."""
-    t = F.lit(None).cast("string")
-    for c in reversed(columns):
-        t = F.when(F.array_contains("header", c), cell_at(F.col("cells"), F.col("header"), c)).otherwise(t)
-    return rows.select("file", parse_time(t).cast("date").alias("day")).filter("day is not null").distinct()
+def pos_files(grid: DataFrame, schema: dict, closures: DataFrame) -> DataFrame:
+    """One row per order file: store, period and its issues as a list.
+
+    The grid is read for the heads of the sheets and for the column statistics; everything
+    after that works on one row per sheet.
+    """
+    sheets = sheet_report(grid.filter(F.col("sheet").isin(*G.POS_SHEETS)))
+    sheets = sheets.withColumn("column_issues", _column_issues(schema)).withColumn("days", _days(P.ORDER_TIME_COLUMN))
+    facts = F.struct("header_idx", "store_raw", "time_text", "has_id", "days", "column_issues")
+    pick = lambda s: F.max(F.when(F.col("sheet") == s, F.col("f")))
+    files = (
+        sheets.select("file", "sheet", facts.alias("f"))
+        .groupBy("file")
+        .agg(pick(P.ORDERS_SHEET).alias("o"), pick(P.ITEMS_SHEET).alias("i"))
+    )
+    orders, items = F.col("o"), F.col("i")
+    files = files.withColumns({"store_raw": F.col("o.store_raw"), "time_text": F.col("o.time_text"), "business_text": F.lit(None).cast("string")})
+    files = with_closures(G.file_period(files), closures).withColumn("days", F.col("o.days"))
+    absent = F.concat(
+        _one_if(orders.isNull(), 0, 0, "missing_sheet", F.lit(MSG_SHEET % P.ORDERS_SHEET)),
+        _one_if(items.isNull(), 0, 1, "missing_sheet", F.lit(MSG_SHEET % P.ITEMS_SHEET)),
+    )
+    headless = F.col("o.header_idx").isNull() | F.col("i.header_idx").isNull()
+    header = _one_if(F.lit(True), 1, 0, "missing_header", F.lit(MSG_HEADER % P.POS_ID))
+    # Without an id column there is no valid row whose date could be checked.
+    dates = F.when(~F.col("o.has_id"), _none()).when(
+        F.col("days").isNull(), _one_if(F.lit(True), DATE_STEP, 0, "missing_time_column", F.lit(MSG_NO_TIME))
+    ).otherwise(_date_issues())
+    issues = (
+        F.when(F.size(absent) > 0, absent)
+        .when(headless, header)
+        .otherwise(F.concat("o.column_issues", "i.column_issues", dates))
+    )
+    complete = orders.isNotNull() & items.isNotNull()
+    out = files.withColumn("issues", issues)
+    for c in ("store_name", "period_start", "period_end"):
+        out = out.withColumn(c, F.when(complete, F.col(c)))
+    return out.select("file", "store_name", "period_start", "period_end", "issues")
 
 
 def validate_pos(grid: DataFrame, schema: dict, closures: DataFrame) -> DataFrame:
-    issues, files = pos_issues(grid, schema, closures)
-    return summary(files, issues)
+    return summary(pos_files(grid, schema, closures))
 
 
-def takeaway_issues(grid: DataFrame, schema: dict, closures: DataFrame, strict_dates: bool = False):
-    grid = grid.filter(F.col("sheet") == P.TAKEAWAY_SHEET)
-    files = grid.select("file").distinct()
-    meta = files.join(G.file_period(G.sheet_metadata(grid), takeaway=True), "file", "left")
-    headers = G.locate_headers(grid)
-    header = _issues(
-        files.join(headers, "file", "left_anti"), F.lit(1), F.lit(0), "missing_header", F.lit(MSG_HEADER % P.TAKEAWAY_ID)
+def takeaway_files(grid: DataFrame, schema: dict, closures: DataFrame, strict_dates: bool = False) -> DataFrame:
+    files = sheet_report(grid.filter(F.col("sheet") == P.TAKEAWAY_SHEET))
+    files = files.withColumn("column_issues", _column_issues(schema)).withColumn(
+        "days", _days(P.BUSINESS_DATE_COLUMN, P.ORDER_TIME_COLUMN)
     )
-    rows = G.data_rows(grid, headers)
-    stats = column_stats(rows)
-    issues = header.unionByName(column_issues(stats, headers, meta, schema))
-    if strict_dates:
-        dated = stats.filter(
-            F.col("column").isin(P.BUSINESS_DATE_COLUMN, P.ORDER_TIME_COLUMN) & F.col("filled") & (F.col("n_valid") > 0)
-        ).select("file").distinct()
-        days = actual_days(valid_id_rows(rows), [P.BUSINESS_DATE_COLUMN, P.ORDER_TIME_COLUMN])
-        issues = issues.unionByName(date_issues(meta.join(dated, "file", "left_semi"), days, closures))
-    return issues, meta
+    files = with_closures(G.file_period(files, takeaway=True), closures)
+    header = _one_if(F.lit(True), 1, 0, "missing_header", F.lit(MSG_HEADER % P.TAKEAWAY_ID))
+    # Without a date column or a valid row the date check is left out.
+    dated = F.lit(strict_dates) & F.col("days").isNotNull() & (F.col("n_valid") > 0)
+    dates = F.when(dated, _date_issues()).otherwise(_none())
+    issues = F.when(F.col("header_idx").isNull(), header).otherwise(F.concat("column_issues", dates))
+    return files.select("file", "store_name", "period_start", "period_end", issues.alias("issues"))
 
 
 def validate_takeaway(grid: DataFrame, schema: dict, closures: DataFrame, strict_dates: bool = False) -> DataFrame:
-    issues, files = takeaway_issues(grid, schema, closures, strict_dates)
-    return summary(files, issues)
+    return summary(takeaway_files(grid, schema, closures, strict_dates))
 
 
-def validate_many(issues: DataFrame) -> DataFrame:
+def validate_many(files: DataFrame) -> DataFrame:
     """All messages of all files, prefixed with their file."""
-    return issues.select(
+    return issue_rows(files).select(
         "file", "step", "ord", F.concat(F.lit("["), "file", F.lit("] "), "message").alias("error")
     )
 
@@ -357,26 +392,21 @@ def fail_gate(report: DataFrame, shown: int = 20) -> None:
         raise ValidationFailed("\n".join(first), failed)
 
 
-def precheck_levels(grid: DataFrame, schema: dict, closures: DataFrame) -> DataFrame:
-    """Error, Warning and Info lines per order file."""
-    issues, files = pos_issues(grid, schema, closures)
-    errors = issues.select("file", F.lit("Error").alias("level"), "code", F.col("message").alias("detail"))
-    named = range_start(F.col("file"))
-    known = files.filter(F.col("store_name").isNotNull())
+def precheck_levels(files: DataFrame) -> DataFrame:
+    """Error, Warning and Info lines per file."""
 
-    def rows(df, level, code, detail):
-        return df.select("file", F.lit(level).alias("level"), F.lit(code).alias("code"), detail.alias("detail"))
+    def line(level, code, detail):
+        return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), detail.alias("detail"))
 
+    known = F.col("store_name").isNotNull()
     span = F.concat_ws("~", "period_start", "period_end")
-    other_name = (named != F.col("period_start")) | (range_end(F.col("file")) != F.col("period_end"))
-    parts = [
-        errors,
-        rows(known.filter(F.col("store_name") == P.STORE_UNKNOWN), "Warning", "unknown_store", F.col("store_name")),
-        rows(known.filter(other_name), "Warning", "period_differs_from_name", span),
-        rows(known, "Info", "store", F.col("store_name")),
-        rows(known.filter(F.col("period_start").isNotNull()), "Info", "period", span),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    renamed = (range_start(F.col("file")) != F.col("period_start")) | (range_end(F.col("file")) != F.col("period_end"))
+    facts = F.array(
+        F.when(known & (F.col("store_name") == P.STORE_UNKNOWN), line("Warning", "unknown_store", F.col("store_name"))),
+        F.when(known & renamed, line("Warning", "period_differs_from_name", span)),
+        F.when(known, line("Info", "store", F.col("store_name"))),
+        F.when(known & F.col("period_start").isNotNull(), line("Info", "period", span)),
+    )
+    errors = F.transform("issues", lambda x: F.struct(F.lit("Error").alias("level"), x["code"].alias("code"), x["message"].alias("detail")))
+    kind = "array<struct<level:string,code:string,detail:string>>"
+    return files.select("file", F.inline(F.concat(errors.cast(kind), F.array_compact(facts).cast(kind))))

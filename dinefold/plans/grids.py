@@ -16,12 +16,14 @@ SPARK = {
     "MONDAY": "cast(date_trunc('week', ts) as date)", "TO_TEXT": "date_format({0}, 'yyyy-MM-dd HH:mm:ss')",
     "TO_DAY": "date_format({0}, 'yyyy-MM-dd')", "PLUS6": "date_add(monday, 6)", "IDIV": "div",
     "WEEK": "datediff(monday, date'2024-01-01') div 7", "MIN": "ts + make_dt_interval(0, 0, {0}, 0)",
+    "ROW": "named_struct('row_idx', {0}, 'cells', {1})", "EXPLODE": "explode",
 }
 DUCK = {
     "L": "[", "R": "]", "CAT": "list_concat", "S": "varchar", "EMPTY": "cast([] as varchar[])",
     "MONDAY": "cast(date_trunc('week', ts) as date)", "TO_TEXT": "strftime({0}, '%Y-%m-%d %H:%M:%S')",
     "TO_DAY": "strftime({0}, '%Y-%m-%d')", "PLUS6": "monday + 6", "IDIV": "//",
     "WEEK": "date_diff('day', date '2024-01-01', monday) // 7", "MIN": "ts + to_minutes({0})",
+    "ROW": "struct_pack(row_idx := {0}, cells := {1})", "EXPLODE": "unnest",
 }
 
 CLOSURES = {P.ALL_STORES: ["2024-02-01"], P.STORE_A: ["2024-02-02"], P.STORE_B: []}
@@ -93,29 +95,35 @@ def sql(d: dict) -> dict[str, str]:
             ),
         ),
     )
-    tables["gorders"] = f"""
-      select {pos} as file, '店内订单明细' as sheet, cast(0 as bigint) as row_idx, {text('店内订单明细')} as cells from gf
-      union all select {pos}, '店内订单明细', cast(1 as bigint), {arr("'门店名称'", null, 'store_raw')} from gf
-      union all select {pos}, '店内订单明细', cast(2 as bigint), {arr("'下单时间'", 'declared', null)} from gf
-        where not (store = '湾里店' and week = 0)
-      union all select {pos}, '店内订单明细', cast(3 as bigint), {arr("'制表人'", "'甲'")} from gf
-      union all select {pos}, '店内订单明细', cast(5 as bigint), {head} from gf
-      union all select {pos}, '店内订单明细', {BIG}, {arr("'合计'", "'-'")} from gf
-      union all select {pos}, '店内订单明细', 10 + event_id, {line} from gw
-        where not (store = '湾里店' and {d['TO_DAY'].format('ts')} = '2024-01-17')"""
+
+    def fixed(file, sheet, where, rows):
+        """The rows above and below the data, one per (row index, cells); a null index is left out."""
+        structs = arr(*[d["ROW"].format(f"cast({i} as bigint)", c) for i, c in rows])
+        return f"""
+      select file, sheet, r.row_idx as row_idx, r.cells as cells
+      from (select {file} as file, {sheet} as sheet, {d['EXPLODE']}({structs}) as r from gf where {where}) x
+      where r.row_idx is not null"""
+
+    lost_day = f"not (store = '湾里店' and {d['TO_DAY'].format('ts')} = '2024-01-17')"
+    tables["gorders"] = fixed(pos, "'店内订单明细'", "true", [
+        (0, arr("'店内订单明细'", null)),
+        (1, arr("'门店名称'", null, "store_raw")),
+        ("case when store = '湾里店' and week = 0 then null else 2 end", arr("'下单时间'", "declared", null)),
+        (3, arr("'制表人'", "'甲'")),
+        (5, head),
+        (BIG, arr("'合计'", "'-'")),
+    ]) + f"""
+      union all select {pos}, '店内订单明细', 10 + event_id, {line} from gw where {lost_day}"""
     sheet = "'商品-店内订单明细'"
-    tables["gitems"] = f"""
-      select {pos} as file, {sheet} as sheet, cast(0 as bigint) as row_idx, {text('商品明细')} as cells from gf
-        where not (store = '万荷店' and week = 3)
-      union all select {pos}, {sheet}, cast(4 as bigint),
-        {text('序号', '订单号', '商品名称', '商品中类', '规格', '单价', '数量', '备用')} from gf
-        where not (store = '万荷店' and week = 3)
+    tables["gitems"] = fixed(pos, sheet, "not (store = '万荷店' and week = 3)", [
+        (0, arr("'商品明细'", null)),
+        (4, text("序号", "订单号", "商品名称", "商品中类", "规格", "单价", "数量", "备用")),
+    ]) + f"""
       union all select {pos}, {sheet}, 10 + event_id, {arr(cast('l_linenumber'), cast('event_id'),
         "concat('SKU', " + cast('l_partkey') + ")", "case when l_returnflag = 'R' then '' else l_returnflag end",
         "case when l_linestatus = 'F' then 'None' else l_linestatus end", cast('l_suppkey'),
         "case when l_linenumber = 7 then '　' else " + cast('cast(l_quantity as int)') + " end", null)}
         from gw join li on l_orderkey = event_id where not (store = '万荷店' and week = 3)"""
-    money = ["order_amount", "item_discount", "order_discount", "platform_discount", "commission", "expense", "refund", "paid", "fee", "other"]
     names = ["订单金额", "菜品优惠", "订单优惠", "平台优惠", "外卖抽佣", "订单支出", "部分退款", "顾客实付", "打包费", "配送费"]
     mods = [5, 4, 3, 2, 8, 9, 30, 40, 6, 7]
     cells = [
@@ -128,18 +136,16 @@ def sql(d: dict) -> dict[str, str]:
         "case when k < 85 then '已完成' else '已退单' end",
         *[f"case when k % {m} = 0 then '' else {cast('k % ' + str(m))} end" for m in mods],
     ]
-    assert len(money) == len(names)
     out_file = "concat(short, '平台外卖订单明细', tail)"
     osheet = "'平台外卖订单明细'"
-    tables["gtake"] = f"""
-      select {out_file} as file, {osheet} as sheet, cast(0 as bigint) as row_idx, {arr("'门店名称'", 'store_raw')} as cells from gf
-      union all select {out_file}, {osheet}, cast(1 as bigint), {arr("'营业日'", 'declared')} from gf where week <> 1
-      union all select {out_file}, {osheet}, cast(2 as bigint), {arr("'下单时间'", 'declared')} from gf where week = 2
-      union all select {out_file}, {osheet}, cast(5 as bigint),
-        {text('外卖订单号', '订单来源', '下单时间', '营业日', '接单时间', '送达时间', '订单状态', *names)} from gf
-      union all select {out_file}, {osheet}, {BIG}, {arr("'-'", "'合计'")} from gf
-      union all select {out_file}, {osheet}, 10 + event_id, {arr(*cells)} from gw
-        where not (store = '湾里店' and {d['TO_DAY'].format('ts')} = '2024-01-17')"""
+    tables["gtake"] = fixed(out_file, osheet, "true", [
+        (0, arr("'门店名称'", "store_raw")),
+        ("case when week <> 1 then 1 end", arr("'营业日'", "declared")),
+        ("case when week = 2 then 2 end", arr("'下单时间'", "declared")),
+        (5, text("外卖订单号", "订单来源", "下单时间", "营业日", "接单时间", "送达时间", "订单状态", *names)),
+        (BIG, arr("'-'", "'合计'")),
+    ]) + f"""
+      union all select {out_file}, {osheet}, 10 + event_id, {arr(*cells)} from gw where {lost_day}"""
     day = d["TO_DAY"].format("ts")
     tables["gvisits"] = f"""
       select distinct concat(case when user_id % 2 = 0 then '桌探数据_' else 'visits_' end, {day}, '.csv') as file,

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dinefold import params as P
-from dinefold.functions import business as B
-from dinefold.functions.cells import is_digit_id, is_empty_cell
+from dinefold.functions.cells import cell_at, is_empty_cell, parse_time
 from dinefold.operators import validation as V
 from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
-from dinefold.plans.grids import CLOSURES, DUCK, SCHEMA, duck, grid
+from dinefold.plans.grids import CLOSURES, SCHEMA, duck, grid
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import oracle
 from dinefold.sources import config as CFG
@@ -199,25 +198,18 @@ def valid_id_rows(spark, sf):
 
 @query("missing_columns", goracle("select file, sheet, replace(cols, '、', ',') as missing from gmiss"))
 def missing_columns(spark, sf):
-    r = rows(spark, sf)
-    columns = V.sheet_columns(V.column_stats(r))
-    given = G.sheet_metadata(grid(spark, sf)).filter(F.col("store_raw") != "").select("file")
-    named = columns.join(given.withColumn("given", F.lit(True)), "file", "left").withColumn(
-        "actual", F.when(F.col("given"), F.array_append("actual", F.lit(P.STORE_COLUMN))).otherwise(F.col("actual"))
-    )
-    return V.missing_columns(named, SCHEMA).select("file", "sheet", F.array_join("missing", ",").alias("missing"))
+    out = V.missing_columns(V.sheet_report(grid(spark, sf)), SCHEMA)
+    return out.select("file", "sheet", F.array_join("missing", ",").alias("missing"))
 
 
 @query("null_cells_by_column", goracle('select file, sheet, col as "column", n_empty from gnull'))
 def null_cells_by_column(spark, sf):
-    return V.null_cells_by_column(V.column_stats(rows(spark, sf)), SCHEMA).drop("check_order")
+    return V.null_cells_by_column(V.sheet_report(grid(spark, sf)), SCHEMA).drop("check_order")
 
 
 @query("truncate_issues", goracle("select file, sheet, message from gnullmsg"))
 def truncate_issues(spark, sf):
-    nulls = V.null_cells_by_column(V.column_stats(rows(spark, sf)), SCHEMA)
-    sheet = F.substring_index("message", "：", 1)
-    return V.truncate_issues(nulls).select("file", sheet.alias("sheet"), "message")
+    return V.truncate_issues(V.sheet_report(grid(spark, sf)), SCHEMA).select("file", "sheet", "message")
 
 
 @query(
@@ -253,10 +245,12 @@ def date_spine(spark, sf):
 
 @query("date_coverage_gaps", goracle("select file, store_name, strftime(day, '%Y-%m-%d') as day from ggap"))
 def date_coverage_gaps(spark, sf):
-    r = V.valid_id_rows(rows(spark, sf))
-    orders = V.actual_days(r.filter(F.col("sheet") == P.ORDERS_SHEET), [P.ORDER_TIME_COLUMN])
-    out = V.actual_days(r.filter(F.col("sheet") == P.TAKEAWAY_SHEET), [P.BUSINESS_DATE_COLUMN, P.ORDER_TIME_COLUMN])
-    gaps = V.date_coverage_gaps(periods(spark, sf), orders.unionByName(out), V.closures_frame(spark, CLOSURES))
+    column = F.when(F.col("sheet") == P.TAKEAWAY_SHEET, F.get(F.col("cells"), F.lit(3))).otherwise(
+        cell_at(F.col("cells"), F.col("header"), P.ORDER_TIME_COLUMN)
+    )
+    r = V.valid_id_rows(rows(spark, sf)).filter(F.col("sheet") != P.ITEMS_SHEET)
+    days = r.select("file", parse_time(column).cast("date").alias("day"))
+    gaps = V.date_coverage_gaps(periods(spark, sf), days, V.closures_frame(spark, CLOSURES))
     return plain(gaps.select("file", "store_name", "day"))
 
 
@@ -286,8 +280,7 @@ def validate_takeaway(spark, sf):
 
 @query("validate_many", goracle("select file, cast(step as int) as step, cast(ord as int) as ord, concat('[', file, '] ', message) as error from gissue"))
 def validate_many(spark, sf):
-    issues, _ = V.pos_issues(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES))
-    return V.validate_many(issues)
+    return V.validate_many(V.pos_files(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
 
 
 @query(
@@ -317,7 +310,7 @@ def fail_gate(spark, sf):
     ),
 )
 def precheck_levels(spark, sf):
-    return V.precheck_levels(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES))
+    return V.precheck_levels(V.pos_files(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
 
 
 # --- configuration documents, one per event user --------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dinefold import params as P
 from dinefold.functions import business as B
-from dinefold.functions.cells import strip
+from dinefold.functions.cells import cell_at, strip
 
 # Per sheet: id column (also the header keyword) and the first row that is looked at. Order
 # exports are read with their first row as column names, so that row is never scanned.
@@ -44,19 +44,35 @@ def known_sheets(grid: DataFrame) -> DataFrame:
     return grid.filter(F.col("sheet").isin(*SHEETS))
 
 
-def locate_headers(grid: DataFrame) -> DataFrame:
-    """Per (file, sheet) the first row with a cell that contains the keyword."""
+def _texts() -> Column:
+    return F.transform(F.filter("cells", lambda c: c.isNotNull() & (c != "nan")), strip)
+
+
+def sheet_heads(grid: DataFrame) -> DataFrame:
+    """One row per (file, sheet) from one pass: its header row and its first rows.
+
+    `top` holds the texts of at most 15 rows, `header_idx` is null without a header.
+    """
     key = id_column()
+    scanned = F.col("row_idx") >= first_row()
     hit = F.exists("cells", lambda c: F.coalesce(F.contains(c, key), F.lit(False)))
+    in_top = scanned & (F.col("row_idx") < first_row() + META_ROWS) & (F.col("sheet") != P.ITEMS_SHEET)
     return (
         known_sheets(grid)
-        .filter((F.col("row_idx") >= first_row()) & hit)
         .groupBy("file", "sheet")
-        .agg(F.min(F.struct("row_idx", "cells")).alias("h"))
-        .select("file", "sheet", F.col("h.row_idx").alias("header_idx"), F.col("h.cells").alias("header"))
+        .agg(
+            F.min(F.when(scanned & hit, F.struct("row_idx", "cells"))).alias("h"),
+            F.array_sort(F.collect_list(F.when(in_top, F.struct("row_idx", _texts().alias("vals"))))).alias("top"),
+        )
+        .select("file", "sheet", F.col("h.row_idx").alias("header_idx"), F.col("h.cells").alias("header"), "top")
     )
 
 
+def locate_headers(grid: DataFrame) -> DataFrame:
+    """Per (file, sheet) the first row with a cell that contains the keyword."""
+    return sheet_heads(grid).filter("header_idx is not null").drop("top")
+
+
 def data_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
     """Rows below the header, with the header of their sheet."""
     return known_sheets(grid).join(headers, ["file", "sheet"]).filter(F.col("row_idx") > F.col("header_idx"))
@@ -64,8 +80,6 @@ def data_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
 
 def grid_to_table(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Project data rows to columns, given as {header name: output name}."""
-    from dinefold.functions.cells import cell_at
-
     return rows.select(
         "file", "sheet", "row_idx", *[cell_at(F.col("cells"), F.col("header"), h).alias(n) for h, n in columns.items()]
     )
@@ -94,47 +108,50 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     return df.select(*[c for c in df.columns if flags[c]])
 
 
-def sheet_metadata(grid: DataFrame) -> DataFrame:
-    """Per file store, order time and business date written above the header.
+def with_metadata(heads: DataFrame) -> DataFrame:
+    """Store, order time and business date written above the header, per sheet.
 
     A key is paired with the next non-null cell of its row; the first occurrence counts and
     the scan ends at the header row or after 15 rows.
     """
-    vals = F.transform(F.filter("cells", lambda c: c.isNotNull() & (c != "nan")), strip)
-    top = (
-        known_sheets(grid)
-        .filter(F.col("sheet") != P.ITEMS_SHEET)
-        .filter((F.col("row_idx") >= first_row()) & (F.col("row_idx") < first_row() + META_ROWS))
-        .select("file", "row_idx", vals.alias("vals"))
-        .withColumn("is_header", F.exists("vals", lambda v: v.isin(P.POS_ID, P.TAKEAWAY_ID)))
-    )
-    # A sheet has at most 15 such rows, whatever the size of the file.
-    end = top.filter("is_header").groupBy("file").agg(F.min("row_idx").alias("end_idx"))
+    is_header = lambda r: F.exists(r["vals"], lambda v: v.isin(P.POS_ID, P.TAKEAWAY_ID))
+    stop = F.array_min(F.transform(F.filter("top", is_header), lambda r: r["row_idx"]))
+    above = F.filter("top", lambda r: F.col("stop").isNull() | (r["row_idx"] < F.col("stop")))
 
     def value_after(key):
-        pos = F.array_position("vals", key)
-        found = F.when(pos > 0, F.get("vals", pos.cast("int")))
-        return F.min(F.when(found.isNotNull(), F.struct("row_idx", found.alias("v"))))["v"]
+        def of(r):
+            pos = F.array_position(r["vals"], key)
+            return F.when(pos > 0, F.get(r["vals"], pos.cast("int")))
+
+        return F.get(F.filter(F.transform("above", of), lambda v: v.isNotNull()), F.lit(0))
 
     return (
-        top.join(end, "file", "left")
-        .withColumn("vals", F.when(F.col("end_idx").isNull() | (F.col("row_idx") < F.col("end_idx")), F.col("vals")))
-        .groupBy("file")
-        .agg(*[value_after(k).alias(n) for k, n in zip(META_KEYS, ("store_raw", "time_text", "business_text"))])
+        heads.withColumn("stop", stop)
+        .withColumn("above", above)
+        .withColumns({n: value_after(k) for k, n in zip(META_KEYS, ("store_raw", "time_text", "business_text"))})
+        .drop("stop", "above", "top")
     )
 
 
+def sheet_metadata(grid: DataFrame) -> DataFrame:
+    """Metadata per file: that of its order or takeaway sheet."""
+    heads = sheet_heads(grid.filter(F.col("sheet") != P.ITEMS_SHEET))
+    return with_metadata(heads).select("file", "store_raw", "time_text", "business_text")
+
+
 def file_period(meta: DataFrame, takeaway: bool = False) -> DataFrame:
     """Canonical store and declared period: metadata first, else the file name."""
     text = F.coalesce(F.nullif("time_text", F.lit("")), F.col("business_text")) if takeaway else F.col("time_text")
     from_meta = B.range_start(text).isNotNull()
-    return meta.select(
-        "file",
-        F.coalesce("store_raw", F.lit("")).alias("store_raw"),
-        B.normalize_store(F.coalesce("store_raw", F.lit(""))).alias("store_name"),
-        F.when(from_meta, B.range_start(text)).otherwise(B.range_start(F.col("file"))).alias("period_start"),
-        F.when(from_meta, B.range_end(text)).otherwise(B.range_end(F.col("file"))).alias("period_end"),
-    )
+    raw = F.coalesce("store_raw", F.lit(""))
+    return meta.withColumns(
+        {
+            "store_raw": raw,
+            "store_name": B.normalize_store(raw),
+            "period_start": F.when(from_meta, B.range_start(text)).otherwise(B.range_start(F.col("file"))),
+            "period_end": F.when(from_meta, B.range_end(text)).otherwise(B.range_end(F.col("file"))),
+        }
+    ).drop("time_text", "business_text")
 
 
 def required_sheets(grid: DataFrame, sheets=POS_SHEETS) -> DataFrame:
