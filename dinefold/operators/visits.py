@@ -2,9 +2,10 @@
 
 Exact match by order number first; what is left may match an order on any two of table,
 amount and time. Two of three always include the amount or the time, so candidates come from
-equi joins. To keep them few, orders are first reduced to one row per key and point in time,
-and far apart ones to the first and last of a five-minute slot: a visit then meets at most a
-constant number of candidates per key, however many orders share that key.
+equi joins. Only the order nearest in time can win per key, so orders are first reduced to
+one row per key and point in time: five minutes hold at most 300 points at the one-second
+resolution of exports, however many orders share the key. Orders further away on the same day
+are reduced to the first and last of each five-minute slot.
 """
 
 from __future__ import annotations

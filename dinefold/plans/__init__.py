@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # One module per section of the inventory; importing it registers its queries.
-SECTIONS = ("merge", "validation", "cleaning", "sources", "visits", "anomalies")
+SECTIONS = ("merge", "validation", "cleaning", "sources", "visits", "anomalies", "reports")
 
 
 def _load():
