@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dinefold import params as P
 from dinefold.functions import business as B
 from dinefold.operators.cleaning import clean_orders, is_dine_in, is_pickup
-from dinefold.operators.sessions import DAY, build_slots, fold_slots, prepare_orders
+from dinefold.operators.sessions import DAY, build_slots, fold_slots, group_partials, prepare_orders
 from dinefold.params import MergeParams
 
 
@@ -19,7 +19,17 @@ def drop_free_orders(orders: DataFrame) -> DataFrame:
 def aggregate_groups(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     """Groups of clean orders. Built from slot statistics, so orders are never joined back."""
     folded = fold_slots(build_slots(prepare_orders(orders, items, p)), p)
-    g = folded.select(*DAY, "group_id", "part.*").groupBy(*DAY, "group_id").agg(
+    return _finish(folded.select(*DAY, "group_id", "part.*"))
+
+
+def groups_from_merged(merged: DataFrame) -> DataFrame:
+    """The same groups from stored rows of `session_merge(..., features=True)`."""
+    parts = merged.groupBy(*DAY, "group_id").agg(F.struct(*group_partials()).alias("part"))
+    return _finish(parts.select(*DAY, "group_id", "part.*"))
+
+
+def _finish(parts: DataFrame) -> DataFrame:
+    g = parts.groupBy(*DAY, "group_id").agg(
         F.sum("n_all").alias("n_all"),
         F.sum("n_orders").alias("n_orders"),
         F.sum("revenue").cast("decimal(18,2)").alias("revenue"),

@@ -89,7 +89,7 @@ def _head() -> Column:
     )
 
 
-def _partials() -> list[Column]:
+def group_partials() -> list[Column]:
     """Group statistics of a slot; free orders count for the merge but not here."""
     paid = F.col("revenue") > 0
 
@@ -118,7 +118,7 @@ def build_slots(prepared: DataFrame) -> DataFrame:
     return prepared.groupBy(*DAY, "slot").agg(
         F.min(_head()).alias("head"),
         F.max(F.struct("t_us", "order_no", "checkout_us")).alias("tail"),
-        F.struct(*_partials()).alias("part"),
+        F.struct(*group_partials()).alias("part"),
     )
 
 
@@ -268,10 +268,16 @@ def merge_explain(orders: DataFrame, items: DataFrame, p: MergeParams = MergePar
     return folded.select(*DAY, "slot", "group_id", "step.*")
 
 
-def session_merge(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
-    """Every order with its group and the decision that put it there."""
+def session_merge(
+    orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams(), features: bool = False
+) -> DataFrame:
+    """Every order with its group and the decision that put it there.
+
+    With features the rows also carry what `groups.groups_from_merged` reads of the item lines.
+    """
     key = [*DAY, "slot"]
     slotted = with_slots(orders, p)
+    rows = prepare_orders(orders, items, p).drop("all_drinks", "names") if features else slotted
     groups = fold_slots(build_slots(prepare_orders(orders, items, p)), p).select(
         *key, "group_id", F.col("step.decision").alias("head_decision"), F.col("head.order_no").alias("head_no")
     )
@@ -284,7 +290,7 @@ def session_merge(orders: DataFrame, items: DataFrame, p: MergeParams = MergePar
     def with_salts(df):
         return df.join(hot, key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
 
-    left = with_salts(slotted).withColumn("salt", F.pmod(F.xxhash64("order_no"), F.col("salts")).cast("int"))
+    left = with_salts(rows).withColumn("salt", F.pmod(F.xxhash64("order_no"), F.col("salts")).cast("int"))
     right = with_salts(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     return (
         left.drop("salts")

@@ -5,7 +5,9 @@ from __future__ import annotations
 import importlib
 
 # One module per section of the inventory; importing it registers its queries.
-SECTIONS = ("merge", "validation", "cleaning", "sources", "visits", "anomalies", "reports")
+SECTIONS = (
+    "merge", "validation", "cleaning", "sources", "visits", "anomalies", "reports", "periods", "takeaway", "drinks",
+)
 
 
 def _load():

@@ -14,6 +14,7 @@ from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import fold_cte, oracle
+from dinefold.session import stored
 
 
 def clean(spark, sf):
@@ -28,9 +29,15 @@ def groups(spark, sf):
     return G.aggregate_groups(clean(spark, sf), R.items(spark, sf))
 
 
-DAY = "strftime(biz_date, '%Y-%m-%d') as biz_date"
+def merged_and_groups(spark, sf, orders=None, items=None):
+    """Merged orders, written once, and the groups read off them; for queries that need both."""
+    orders = clean(spark, sf) if orders is None else orders
+    items = R.items(spark, sf) if items is None else items
+    merged = stored(S.session_merge(orders, items, features=True), "merged")
+    return merged, G.groups_from_merged(merged)
+
 
-MERGE_SQL = "select order_no, store, table_name, {day}, group_no as group_id, decision from seq s join fold f using (order_no)"
+DAY = "strftime(biz_date, '%Y-%m-%d') as biz_date"
 
 
 @query(

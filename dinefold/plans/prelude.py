@@ -101,6 +101,9 @@ CTES["t"] = TAKEAWAY_COLS.format(src="ev")
 CTES["t2"] = TAKEAWAY_COLS.format(src="ev2")
 
 for _n in ("", "2"):
+    CTES[f"tc{_n}"] = f"""
+  select * exclude (rn), status = '已完成' as valid from (select *, row_number() over (
+    partition by store, source, takeaway_id order by order_time desc, serial_no desc) as rn from t{_n} where takeaway_id <> '-') where rn = 1"""
     CTES[f"clean_o{_n}"] = f"""
   select * from o{_n} where order_type = '堂食' and not contains(table_name, '外点自取')"""
     CTES[f"feat{_n}"] = f"""
@@ -205,6 +208,9 @@ def oracle(body: str, **extra: str) -> str:
     """body with every common table expression it needs, in order of need."""
     ctes = {**CTES, **{k: v for k, v in extra.items()}}
     order: list[str] = []
+    body = body.strip()
+    if body.startswith("with "):
+        body = f"select * from ({body})"
 
     def visit(text: str, self_name: str = ""):
         for name in ctes:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from dinefold.operators import cleaning as C
 from dinefold.operators import marts as M
 from dinefold.operators import reports as RP
-from dinefold.operators import sessions as S
+from dinefold.operators.groups import kept
 from dinefold.plans import roles as R
 from dinefold.plans.anomalies import counted
 from dinefold.plans.catalog import query
 from dinefold.plans.grids import grid
-from dinefold.plans.merge import clean, funnel_sql, groups
+from dinefold.plans.merge import funnel_sql, groups, merged_and_groups
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
 from dinefold.plans.validation import goracle
@@ -122,8 +122,8 @@ CTES["links"] = """
 
 
 def links(spark, sf):
-    merged = S.session_merge(clean(spark, sf), R.items(spark, sf))
-    return RP.group_orders(merged, counted(spark, sf))
+    merged, g = merged_and_groups(spark, sf)
+    return RP.group_orders(merged, kept(g))
 
 
 @query(
@@ -169,8 +169,9 @@ def order_index(spark, sf):
     ),
 )
 def group_detail(spark, sf):
-    k = counted(spark, sf)
-    return plain(RP.group_detail(k, links(spark, sf), R.items(spark, sf), linked(spark, sf)))
+    merged, g = merged_and_groups(spark, sf)
+    k = kept(g)
+    return plain(RP.group_detail(k, RP.group_orders(merged, k), R.items(spark, sf), linked(spark, sf, merged)))
 
 
 @query(

@@ -151,6 +151,7 @@ def takeaway_from(e: DataFrame) -> DataFrame:
     return e.select(
         "store",
         pick(F.col("event_type"), {"view": "美团外卖", "click": "淘宝闪购餐饮外卖"}, "饿了么").alias("source"),
+        F.concat("store", F.lit("平台外卖订单明细.xlsx")).alias("file"),
         F.concat(F.lit("#"), F.col("event_id").cast("string")).alias("serial_no"),
         F.when(k == 98, "-").otherwise(F.floor(F.col("event_id") / 2).cast("string")).alias("takeaway_id"),
         F.concat(F.lit("P"), F.col("event_id").cast("string")).alias("cashier_order_no"),

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from dinefold.operators import cleaning as C
 from dinefold.operators import groups as G
 from dinefold.operators import sessions as S
 from dinefold.operators import visits as V
 from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
-from dinefold.plans.merge import clean, groups
+from dinefold.plans.merge import clean, merged_and_groups
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
 
@@ -38,16 +35,12 @@ CTES["corrected"] = """
     partition by group_id order by created_at desc, visit_id desc, visit_guests desc) as rn from linked) where rn = 1) l using (group_id)"""
 
 
-def order_groups(spark, sf):
-    return S.session_merge(clean(spark, sf), R.items(spark, sf)).select("order_no", "group_id")
-
-
 def matches(spark, sf):
     return V.match_visits(R.visits(spark, sf), clean(spark, sf))
 
 
-def linked(spark, sf):
-    return V.visit_associate(R.visits(spark, sf), matches(spark, sf), order_groups(spark, sf))
+def linked(spark, sf, merged):
+    return V.visit_associate(R.visits(spark, sf), matches(spark, sf), merged)
 
 
 @query("visit_exact_match", oracle("select visit_id, order_no from exact"))
@@ -74,7 +67,8 @@ def visit_unmatched(spark, sf):
 
 @query("visit_associate", oracle("select visit_id, order_no, group_id, amount_matched, waiter, visit_guests, satisfaction from linked"))
 def visit_associate(spark, sf):
-    out = linked(spark, sf)
+    merged = S.session_merge(clean(spark, sf), R.items(spark, sf))
+    out = linked(spark, sf, merged)
     return out.select("visit_id", "order_no", "group_id", "amount_matched", "waiter", "visit_guests", "satisfaction")
 
 
@@ -86,7 +80,8 @@ def visit_associate(spark, sf):
     ),
 )
 def guest_correction(spark, sf):
-    out = V.guest_correction(G.kept(groups(spark, sf)), linked(spark, sf))
+    merged, groups = merged_and_groups(spark, sf)
+    out = V.guest_correction(G.kept(groups), linked(spark, sf, merged))
     return plain(out.select("group_id", "pos_guests", "guests", "guests_corrected", "per_capita"))
 
 
@@ -99,4 +94,5 @@ def guest_correction(spark, sf):
     ),
 )
 def visit_coverage(spark, sf):
-    return V.visit_coverage(G.kept(groups(spark, sf)), linked(spark, sf), ["store"])
+    merged, groups = merged_and_groups(spark, sf)
+    return V.visit_coverage(G.kept(groups), linked(spark, sf, merged), ["store"])
