@@ -14,8 +14,10 @@ MINUTE_US = 60_000_000
 
 
 def micros(c: Column) -> Column:
-    """Microseconds since 1970 of a zone-free timestamp."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    """Microseconds since 1970 of a zone-free timestamp, whatever the zone of the session."""
+    seconds = F.date_part(F.lit("SECOND"), c)
+    whole = F.unix_date(c.cast("date")).cast("bigint") * 1440 + F.hour(c) * 60 + F.minute(c)
+    return whole * MINUTE_US + (seconds * 1_000_000).cast("bigint")
 
 
 def contains_any(c: Column, words) -> Column:

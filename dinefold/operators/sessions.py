@@ -48,10 +48,14 @@ def with_slots(orders: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
 
 def prepare_orders(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     """Orders with slot, times in microseconds and item features."""
+    return attach_features(orders, order_features(items), p)
+
+
+def attach_features(orders: DataFrame, features: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     none = F.lit(0).cast("bigint")
     return (
         with_slots(orders, p)
-        .join(order_features(items), "order_no", "left")
+        .join(features, "order_no", "left")
         .withColumns(
             {
                 "t_us": B.micros(F.col("order_time")),
@@ -113,9 +117,9 @@ def group_partials() -> list[Column]:
     ]
 
 
-def build_slots(prepared: DataFrame) -> DataFrame:
+def build_slots(prepared: DataFrame, extra_keys: list[Column] = ()) -> DataFrame:
     """One row per non-empty slot of a table-day: first order, last order, statistics."""
-    return prepared.groupBy(*DAY, "slot").agg(
+    return prepared.groupBy(*DAY, "slot", *extra_keys).agg(
         F.min(_head()).alias("head"),
         F.max(F.struct("t_us", "order_no", "checkout_us")).alias("tail"),
         F.struct(*group_partials()).alias("part"),

@@ -117,10 +117,9 @@ def takeaway_fulfilment(df: DataFrame, by: list[str]) -> DataFrame:
     Percentiles run over counted distinct durations, so memory grows with the number of
     different durations and not with orders.
     """
-    accept = F.timestamp_diff("MICROSECOND", "order_time", "accept_time")
-    deliver = F.when(
-        F.col("delivery_status") == P.DELIVERY_DONE, F.timestamp_diff("MICROSECOND", "order_time", "delivered_time")
-    )
+    accept = B.micros(F.col("accept_time")) - B.micros(F.col("order_time"))
+    to_door = B.micros(F.col("delivered_time")) - B.micros(F.col("order_time"))
+    deliver = F.when(F.col("delivery_status") == P.DELIVERY_DONE, to_door)
     timed = valid_orders(df).select(*by, accept.alias("accept_us"), deliver.alias("deliver_us"))
     counted = timed.groupBy(*by, "deliver_us").agg(
         F.count(F.lit(1)).alias("n"), F.count("accept_us").alias("n_accept"), F.sum("accept_us").alias("accept_us")
