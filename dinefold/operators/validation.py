@@ -82,47 +82,59 @@ def valid_id_rows(rows: DataFrame) -> DataFrame:
 
 
 def column_stats(rows: DataFrame) -> DataFrame:
-    """Per column: has it a value at all, valid rows, empty cells and days of valid rows; one pass.
+    """Per column position: any value at all, valid rows, non-empty cells and days of valid rows.
 
-    Cells are combined on the map side, so a file with a large part of all rows ends as one
-    row per column before the shuffle. Days are kept for date columns only.
+    Cells are counted on the map side with fixed-size counters, so a file with a large part of
+    all rows ends as a few rows per column before the shuffle.
     """
-    cells = F.transform(
-        F.sequence(F.lit(0), F.size("header") - 1),
-        lambda i: F.struct(i.alias("pos"), F.get(F.col("header"), i).alias("column"), F.get(F.col("cells"), i).alias("v")),
+    at = lambda name: F.array_position("header", name).cast("int") - 1
+    cells = rows.select(
+        "file", "sheet", is_digit_id(_id_cell()).alias("valid"), F.size("header").alias("width"),
+        at(P.ORDER_TIME_COLUMN).alias("time_pos"), at(P.BUSINESS_DATE_COLUMN).alias("date_pos"), F.posexplode("cells").alias("pos", "v"),
+    ).filter(F.col("pos") < F.col("width"))
+    dated = F.col("valid") & ((F.col("pos") == F.col("time_pos")) | (F.col("pos") == F.col("date_pos")))
+    per_day = cells.groupBy("file", "sheet", "pos", F.when(dated, parse_time(F.col("v")).cast("date")).alias("day")).agg(
+        F.max(F.col("v").isNotNull()).alias("filled"),
+        F.count_if("valid").alias("n_valid"),
+        F.count_if(F.col("valid") & ~is_empty_cell(F.col("v"))).alias("n_full"),
     )
-    value = F.col("c.v")
-    dated = F.col("valid") & F.col("c.column").isin(P.ORDER_TIME_COLUMN, P.BUSINESS_DATE_COLUMN)
-    return (
-        rows.select("file", "sheet", is_digit_id(_id_cell()).alias("valid"), F.explode(cells).alias("c"))
-        .groupBy("file", "sheet", "c.pos", "c.column")
-        .agg(
-            F.max(value.isNotNull()).alias("filled"),
-            F.count_if("valid").alias("n_valid"),
-            F.count_if(F.col("valid") & is_empty_cell(value)).alias("n_empty"),
-            # Bounded by the calendar.
-            F.collect_set(F.when(dated, parse_time(value).cast("date"))).alias("days"),
-        )
+    return per_day.groupBy("file", "sheet", "pos").agg(
+        F.max("filled").alias("filled"),
+        F.sum("n_valid").alias("n_valid"),
+        F.sum("n_full").alias("n_full"),
+        # Bounded by the calendar.
+        F.collect_set("day").alias("days"),
     )
 
 
 def sheet_columns(heads: DataFrame, stats: DataFrame) -> DataFrame:
     """Sheets with their metadata and the statistics of their columns as a list.
 
-    The store written above the header becomes a column of both order sheets. A sheet
-    without rows below its header has no columns.
+    Only columns with a value in some row count. The store written above the header becomes a
+    column of both order sheets. A sheet without rows below its header has no columns.
     """
     lists = stats.groupBy("file", "sheet").agg(
+        # Every valid row has an id cell, so the id column has the full count.
         F.max("n_valid").alias("n_valid"),
         # Bounded by the width of a sheet.
-        F.array_sort(F.collect_list(F.when(F.col("filled"), F.struct("pos", "column", "n_empty", "days")))).alias("cols"),
+        F.array_sort(F.collect_list(F.when(F.col("filled"), F.struct("pos", "n_full", "days")))).alias("found"),
     )
     cols_t = "array<struct<pos:int,column:string,n_empty:bigint,days:array<date>>>"
     given = F.col("given")
+    named = F.transform(
+        "found",
+        lambda c: F.struct(
+            c["pos"].alias("pos"),
+            F.get(F.col("header"), c["pos"]).alias("column"),
+            (F.col("n_valid") - c["n_full"]).alias("n_empty"),
+            c["days"].alias("days"),
+        ),
+    )
     out = (
         heads.join(lists, ["file", "sheet"], "left")
         .withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("bigint")))
-        .withColumn("cols", F.coalesce("cols", F.array().cast(cols_t)))
+        .withColumn("cols", F.coalesce(named.cast(cols_t), F.array().cast(cols_t)))
+        .drop("found")
         .withColumn("given", (F.max(F.coalesce("store_raw", F.lit(""))).over(W.partitionBy("file")) != "")
                     & (F.col("sheet") != P.TAKEAWAY_SHEET))
         .withColumn("cols", F.filter("cols", lambda c: ~(given & c["column"].eqNullSafe(P.STORE_COLUMN))))

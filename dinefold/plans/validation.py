@@ -12,6 +12,7 @@ from dinefold.plans.catalog import query
 from dinefold.plans.grids import CLOSURES, SCHEMA, duck, grid
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import oracle
+from dinefold.session import stored
 from dinefold.sources import config as CFG
 from dinefold.sources import grid as G
 
@@ -134,12 +135,21 @@ def goracle(body: str) -> str:
     return oracle(body, **duck(), **STEPS)
 
 
+def files(spark, sf, sheets=tuple(G.SHEETS)):
+    """The grid as a table: the checks read it for the heads and for the columns of its sheets."""
+    return stored(grid(spark, sf).filter(F.col("sheet").isin(*sheets)), "grid")
+
+
+def order_files(spark, sf):
+    return files(spark, sf, G.POS_SHEETS)
+
+
 def headers(spark, sf):
     return G.locate_headers(grid(spark, sf))
 
 
 def rows(spark, sf):
-    g = grid(spark, sf)
+    g = files(spark, sf)
     return G.data_rows(g, G.locate_headers(g))
 
 
@@ -165,7 +175,9 @@ def grid_to_table(spark, sf):
 
 @query("drop_all_null_columns", goracle('select file, sheet, cast(pos as int) as pos, col as "column" from gstat where filled'))
 def drop_all_null_columns(spark, sf):
-    return G.drop_all_null_columns(rows(spark, sf))
+    g = files(spark, sf)
+    headers = G.locate_headers(g)
+    return G.drop_all_null_columns(G.data_rows(g, headers), headers)
 
 
 @query("sheet_metadata", goracle("select f.file, store_raw, time_text, business_text from (select distinct file from gtop) f left join gmeta using (file)"))
@@ -198,18 +210,18 @@ def valid_id_rows(spark, sf):
 
 @query("missing_columns", goracle("select file, sheet, replace(cols, '、', ',') as missing from gmiss"))
 def missing_columns(spark, sf):
-    out = V.missing_columns(V.sheet_report(grid(spark, sf)), SCHEMA)
+    out = V.missing_columns(V.sheet_report(files(spark, sf)), SCHEMA)
     return out.select("file", "sheet", F.array_join("missing", ",").alias("missing"))
 
 
 @query("null_cells_by_column", goracle('select file, sheet, col as "column", n_empty from gnull'))
 def null_cells_by_column(spark, sf):
-    return V.null_cells_by_column(V.sheet_report(grid(spark, sf)), SCHEMA).drop("check_order")
+    return V.null_cells_by_column(V.sheet_report(files(spark, sf)), SCHEMA).drop("check_order")
 
 
 @query("truncate_issues", goracle("select file, sheet, message from gnullmsg"))
 def truncate_issues(spark, sf):
-    return V.truncate_issues(V.sheet_report(grid(spark, sf)), SCHEMA).select("file", "sheet", "message")
+    return V.truncate_issues(V.sheet_report(files(spark, sf)), SCHEMA).select("file", "sheet", "message")
 
 
 @query(
@@ -259,7 +271,7 @@ SUMMARY = "file, ok, store_name, period_start, period_end, n_errors, errors"
 
 @query("validate_pos", goracle(f"select {SUMMARY} from gsummary"))
 def validate_pos(spark, sf):
-    return V.validate_pos(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES))
+    return V.validate_pos(order_files(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES))
 
 
 @query(
@@ -275,12 +287,12 @@ def validate_pos(spark, sf):
 )
 def validate_takeaway(spark, sf):
     """Without a column list: all columns are checked; strict dates on."""
-    return V.validate_takeaway(grid(spark, sf), {}, V.closures_frame(spark, CLOSURES), strict_dates=True)
+    return V.validate_takeaway(files(spark, sf, [P.TAKEAWAY_SHEET]), {}, V.closures_frame(spark, CLOSURES), strict_dates=True)
 
 
 @query("validate_many", goracle("select file, cast(step as int) as step, cast(ord as int) as ord, concat('[', file, '] ', message) as error from gissue"))
 def validate_many(spark, sf):
-    return V.validate_many(V.pos_files(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
+    return V.validate_many(V.pos_files(order_files(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
 
 
 @query(
@@ -292,7 +304,7 @@ def validate_many(spark, sf):
 )
 def fail_gate(spark, sf):
     """The gate raises on this data; the registered query is the text it raises with."""
-    return V.gate_text(V.validate_pos(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
+    return V.gate_text(V.validate_pos(order_files(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
 
 
 @query(
@@ -310,7 +322,7 @@ def fail_gate(spark, sf):
     ),
 )
 def precheck_levels(spark, sf):
-    return V.precheck_levels(V.pos_files(grid(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
+    return V.precheck_levels(V.pos_files(order_files(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
 
 
 # --- configuration documents, one per event user --------------------------------

@@ -10,6 +10,7 @@ from dinefold.plans.catalog import query
 from dinefold.plans.merge import clean, merged_and_groups
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
+from dinefold.session import stored
 
 CTES["exact"] = "select visit_id, v.order_no from v join clean_o o on o.order_no = v.order_no"
 CTES["two3"] = """
@@ -35,12 +36,14 @@ CTES["corrected"] = """
     partition by group_id order by created_at desc, visit_id desc, visit_guests desc) as rn from linked) where rn = 1) l using (group_id)"""
 
 
-def matches(spark, sf):
-    return V.match_visits(R.visits(spark, sf), clean(spark, sf))
+def inputs(spark, sf):
+    """Visits and clean orders, written once: matching reads them along several keys."""
+    return stored(R.visits(spark, sf), "visits"), stored(clean(spark, sf), "orders")
 
 
 def linked(spark, sf, merged):
-    return V.visit_associate(R.visits(spark, sf), matches(spark, sf), merged)
+    visits, orders = inputs(spark, sf)
+    return V.visit_associate(visits, V.match_visits(visits, orders), merged)
 
 
 @query("visit_exact_match", oracle("select visit_id, order_no from exact"))
@@ -50,7 +53,7 @@ def visit_exact_match(spark, sf):
 
 @query("visit_two_of_three", oracle("select visit_id, order_no, cast(n_conditions as int) as n_conditions, diff_us from two3"))
 def visit_two_of_three(spark, sf):
-    return V.visit_two_of_three(R.visits(spark, sf), clean(spark, sf))
+    return V.visit_two_of_three(*inputs(spark, sf))
 
 
 @query(
@@ -62,7 +65,8 @@ def visit_two_of_three(spark, sf):
     ),
 )
 def visit_unmatched(spark, sf):
-    return plain(V.visit_unmatched(R.visits(spark, sf), matches(spark, sf)))
+    visits, orders = inputs(spark, sf)
+    return plain(V.visit_unmatched(visits, V.match_visits(visits, orders)))
 
 
 @query("visit_associate", oracle("select visit_id, order_no, group_id, amount_matched, waiter, visit_guests, satisfaction from linked"))

@@ -55,7 +55,8 @@ def sheet_heads(grid: DataFrame) -> DataFrame:
     """
     key = id_column()
     scanned = F.col("row_idx") >= first_row()
-    hit = F.exists("cells", lambda c: F.coalesce(F.contains(c, key), F.lit(False)))
+    # The keyword holds no separator, so it is in a cell if and only if it is in the joined row.
+    hit = F.contains(F.array_join("cells", "\x1f"), key)
     in_top = scanned & (F.col("row_idx") < first_row() + META_ROWS) & (F.col("sheet") != P.ITEMS_SHEET)
     return (
         known_sheets(grid)
@@ -85,29 +86,15 @@ def grid_to_table(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     )
 
 
-def column_presence(rows: DataFrame) -> DataFrame:
-    """Per column of a sheet whether any row below the header has a value."""
-    at = F.transform(F.sequence(F.lit(0), F.size("header") - 1), lambda i: F.struct(
-        i.alias("pos"), F.get(F.col("header"), i).alias("column"), F.get(F.col("cells"), i).isNotNull().alias("filled")
-    ))
-    return (
-        rows.select("file", "sheet", F.explode(at).alias("c"))
-        .groupBy("file", "sheet", "c.pos", "c.column")
-        .agg(F.max("c.filled").alias("filled"))
+def drop_all_null_columns(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """Columns that stay: those with a value in at least one row below the header."""
+    cells = rows.select("file", "sheet", F.posexplode("cells").alias("pos", "v")).filter("v is not null")
+    used = cells.select("file", "sheet", "pos").distinct().join(headers, ["file", "sheet"])
+    return used.filter(F.col("pos") < F.size("header")).select(
+        "file", "sheet", "pos", F.get(F.col("header"), F.col("pos")).alias("column")
     )
 
 
-def drop_all_null_columns(rows: DataFrame) -> DataFrame:
-    """Columns that stay: those with a value in at least one row."""
-    return column_presence(rows).filter("filled").drop("filled")
-
-
-def drop_null_columns(df: DataFrame) -> DataFrame:
-    """The same for a plain table: one aggregate over all columns, then a projection."""
-    flags = df.agg(*[F.max(F.col(f"`{c}`").isNotNull()).alias(c) for c in df.columns]).first()
-    return df.select(*[c for c in df.columns if flags[c]])
-
-
 def with_metadata(heads: DataFrame) -> DataFrame:
     """Store, order time and business date written above the header, per sheet.
 
