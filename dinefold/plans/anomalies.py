@@ -10,6 +10,7 @@ from dinefold.plans.catalog import query
 from dinefold.plans.merge import groups
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
+from dinefold.session import stored
 
 CTES["anom"] = """
   select *, case when guests >= 5 and item_count <= 3 then '1a' when guests >= 3 and item_count <= 2 then '1b'
@@ -38,6 +39,11 @@ def counted(spark, sf):
     return G.kept(groups(spark, sf))
 
 
+def counted_once(spark, sf):
+    """Counted groups as a table, for reports that read them more than once."""
+    return stored(counted(spark, sf), "groups")
+
+
 @query("anomaly_few_items", oracle("select group_id, guests, item_count, r1 as few_items_rule from anom"))
 def anomaly_few_items(spark, sf):
     return A.anomaly_few_items(counted(spark, sf)).select("group_id", "guests", "item_count", "few_items_rule")
@@ -50,13 +56,13 @@ def anomaly_low_per_capita(spark, sf):
 
 @query("anomaly_same_party", oracle("select group_id, prev_items, strftime(prev_end, '%Y-%m-%d %H:%M:%S') as prev_end, r3 as same_party_rule from anom"))
 def anomaly_same_party(spark, sf):
-    out = A.anomaly_same_party(counted(spark, sf))
+    out = A.anomaly_same_party(counted_once(spark, sf))
     return plain(out.select("group_id", F.col("prev.item_count").alias("prev_items"), F.col("prev.end").alias("prev_end"), "same_party_rule"))
 
 
 @query("detect_anomalies", oracle("select group_id, rule, message from found"))
 def detect_anomalies(spark, sf):
-    return A.detect_anomalies(counted(spark, sf)).select("group_id", "rule", "message")
+    return A.detect_anomalies(counted_once(spark, sf)).select("group_id", "rule", "message")
 
 
 @query(
@@ -75,5 +81,5 @@ def red_line(spark, sf):
     ),
 )
 def anomaly_summary(spark, sf):
-    out = A.anomaly_summary(counted(spark, sf))
+    out = A.anomaly_summary(counted_once(spark, sf))
     return plain(out.select("table_name", "guests", "item_count", "per_capita", "group_id", "message").orderBy("table_name", "group_id"))

@@ -9,7 +9,7 @@ from dinefold.operators import marts as M
 from dinefold.operators import reports as RP
 from dinefold.operators.groups import kept
 from dinefold.plans import roles as R
-from dinefold.plans.anomalies import counted
+from dinefold.plans.anomalies import counted, counted_once
 from dinefold.plans.catalog import query
 from dinefold.plans.grids import grid
 from dinefold.plans.merge import funnel_sql, groups, merged_and_groups
@@ -185,7 +185,7 @@ def group_detail(spark, sf):
     ),
 )
 def top_bottom_groups(spark, sf):
-    out = RP.top_bottom_groups(counted(spark, sf), ["store"])
+    out = RP.top_bottom_groups(counted_once(spark, sf), ["store"])
     return plain(out.select("store", "group_id", "per_capita", "which", "position"))
 
 
@@ -197,7 +197,7 @@ def top_bottom_groups(spark, sf):
     ),
 )
 def per_capita_rank(spark, sf):
-    out = RP.per_capita_rank(counted(spark, sf), ["store", "biz_date"])
+    out = RP.per_capita_rank(counted_once(spark, sf), ["store", "biz_date"])
     return plain(out.select("store", "biz_date", "group_id", "per_capita", "per_capita_rank"))
 
 
@@ -218,7 +218,7 @@ DAY = "strftime(biz_date, '%Y-%m-%d') as biz_date"
     ),
 )
 def daily_overview(spark, sf):
-    return plain(M.daily_overview(counted(spark, sf)))
+    return plain(M.daily_overview(counted_once(spark, sf)))
 
 
 @query("daily_order_counts", oracle(funnel_sql(True)))
