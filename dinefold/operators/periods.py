@@ -7,7 +7,7 @@ is a conditional sum, so history is scanned once.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -62,6 +62,21 @@ def in_period(df: DataFrame, day: str, period: Period) -> DataFrame:
     return df.filter(cond).withColumn("role", period_role(F.col(day), period))
 
 
+def orders_in_periods(orders: DataFrame, period: Period, cutover_hour: int = 0) -> DataFrame:
+    """Orders of the business days of the three periods.
+
+    Sessions never cross a business day, so the merge may run on these orders alone. The
+    bounds are plain comparisons on the order time, which reach the scan.
+    """
+    cond = F.lit(False)
+    for a, b in period.bounds.values():
+        start = datetime.combine(a, time(cutover_hour))
+        end = datetime.combine(b, time(cutover_hour)) + timedelta(days=1)
+        lo, hi = (F.lit(x.isoformat(" ")).cast("timestamp_ntz") for x in (start, end))
+        cond = cond | ((F.col("order_time") >= lo) & (F.col("order_time") < hi))
+    return orders.filter(cond)
+
+
 def period_bounds(days: DataFrame, mode: str) -> DataFrame:
     """The three periods of every week or month that has a day in `days` (order_date)."""
     unit = "week" if mode == "week" else "month"

@@ -38,14 +38,18 @@ def history(spark, sf):
     return R.orders_from(R.with_last_year(R.events(spark, sf)))
 
 
+def compared_orders(spark, sf):
+    return PD.orders_in_periods(C.clean_orders(history(spark, sf)), WEEK)
+
+
 def history_groups(spark, sf):
-    return kept(aggregate_groups(C.clean_orders(history(spark, sf)), R.items_with_last_year(spark, sf)))
+    return kept(aggregate_groups(compared_orders(spark, sf), R.items_with_last_year(spark, sf)))
 
 
 def history_sold(spark, sf):
     """Sold lines of counted groups with store, day and group."""
     items = R.items_with_last_year(spark, sf)
-    merged, groups = merged_and_groups(spark, sf, C.clean_orders(history(spark, sf)), items)
+    merged, groups = merged_and_groups(spark, sf, compared_orders(spark, sf), items)
     inside = kept(groups).select("group_id")
     links = merged.filter(F.col("revenue") > 0).join(inside, "group_id", "left_semi")
     return C.sold_items(items).join(links.select("order_no", "store", "biz_date", "group_id"), "order_no"), merged, groups

@@ -38,10 +38,14 @@ def merge_archives(older: DataFrame, newer: DataFrame, keys: list[str], load_col
     return upsert_latest(both, keys, [load_col])
 
 
-def mart_overwrite(df: DataFrame, path: str, partitions: list[str]) -> None:
-    """Replace the partitions present in df, keep all others: a rerun of a day is safe."""
+def mart_overwrite(df: DataFrame, path: str, partitions: list[str], files: int = 8) -> None:
+    """Replace the partitions present in df, keep all others: a rerun of a day is safe.
+
+    A partition is written by up to `files` tasks, so a large day is no single task and a small
+    one no swarm of files.
+    """
     (
-        df.repartition(*partitions, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        df.repartition(*partitions, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)

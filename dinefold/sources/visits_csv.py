@@ -25,8 +25,9 @@ BOM = "﻿"
 
 
 def read_visits(spark: SparkSession, paths) -> DataFrame:
-    """Columns are found by header word, so their order and number may differ between files.
+    """Visits of one or more files with the same header; columns are found by header word.
 
+    Files with another header are refused by the reader: read them in a call of their own.
     Transcripts may hold line breaks. The mark before the first name is stripped, numbers
     and times that do not parse become null.
     """

@@ -208,3 +208,22 @@ def test_overview_shares_add_up(spark):
     areas = sum(r["share"] for r in rows if r["daypart"] == R.ALL and r["area"] != R.ALL)
     parts = sum(r["share"] for r in rows if r["daypart"] != R.ALL and r["area"] == R.ALL)
     assert abs(areas - 1) < 1e-9 and abs(parts - 1) < 1e-9
+
+
+def test_merging_only_the_compared_days_changes_nothing(spark):
+    from datetime import date, timedelta
+
+    from dinefold.operators import groups as G
+
+    monday = date(2024, 3, 4)
+    week = PD.Period("week", monday)
+    times = [datetime(2024, 3, 3, 23, 58), datetime(2024, 3, 4, 0, 0), datetime(2024, 3, 10, 23, 59, 59), datetime(2024, 3, 11, 0, 1),
+             datetime(2024, 2, 25, 12), datetime(2024, 2, 26, 12), datetime(2023, 3, 6, 12), datetime(2023, 3, 5, 12)]
+    rows = [order(i, 0, 50 + i, order_time=t, guests=1 + i % 3) for i, t in enumerate(times)]
+    o, i = frames(spark, rows, [("x", 1, "S", "n", "c", None, None, None, Decimal(1), Decimal(1), Decimal(1))])
+    few = PD.orders_in_periods(o, week)
+    assert sorted(r["order_no"] for r in few.select("order_no").collect()) == ["0", "1", "2", "5", "6"]
+    late = PD.orders_in_periods(o, week, cutover_hour=6)
+    assert "3" in [r["order_no"] for r in late.select("order_no").collect()]
+    compare = lambda x: sorted(map(str, PD.period_compare(G.aggregate_groups(x, i), week, ["store"]).collect()))
+    assert compare(o) == compare(few) and monday + timedelta(days=6) == week.bounds["current"][1]
