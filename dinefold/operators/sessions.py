@@ -38,10 +38,18 @@ def order_features(items: DataFrame) -> DataFrame:
 
 
 def with_slots(orders: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
-    """Orders with business day and slot."""
+    """Orders with business day and slot.
+
+    Orders without a time have no day and are left out. A missing table or store counts as one
+    of its own, blank, so that joins on these keys lose nothing.
+    """
     shifted = F.col("order_time") - F.expr(f"INTERVAL '{p.cutover_hour}' HOUR")
     in_day = B.micros(shifted) % F.lit(24 * HOUR_US)
-    return orders.withColumn("biz_date", shifted.cast("date")).withColumn(
+    blank = F.lit("")
+    known = orders.filter("order_time is not null").withColumns(
+        {"store": F.coalesce("store", blank), "table_name": F.coalesce("table_name", blank)}
+    )
+    return known.withColumn("biz_date", shifted.cast("date")).withColumn(
         "slot", F.floor(in_day / F.lit(p.concurrent_minutes * B.MINUTE_US)).cast("int")
     )
 

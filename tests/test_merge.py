@@ -232,3 +232,11 @@ def test_funnel_adds_up(spark):
     dropped = sum(f[c] for c in ("no_per_capita_groups", "snack_groups", "packing_groups", "stray_groups", "bar_groups"))
     assert f["merged_groups"] - dropped == f["counted_groups"]
     assert (f["takeaway_orders"], f["not_dine_in_orders"]) == (4, 1)
+
+
+def test_orders_without_table_or_time(spark):
+    orders = [order(1, 600, 50, None), order(2, 602, 20, None), order(3, 600, 50, order_time=None), order(4, 600, 50, store=None)]
+    o, i = frames(spark, orders, items_of(1, ["a"]))
+    out = {r["order_no"]: r["group_id"] for r in S.session_merge(o, i).collect()}
+    assert out == {"1": "1", "2": "1", "4": "4"}
+    assert sorted(r["group_id"] for r in G.aggregate_groups(o, i).collect()) == ["1", "4"]
