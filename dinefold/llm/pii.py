@@ -135,9 +135,10 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, disclosure: float =
     pairs = around.select("key", "entity", F.explode(terms_of("words")).alias("term")).distinct()
     joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "pii-pairs")
     entities = around.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    # Every text of the corpus counts for a term, whether or not it has an entity.
-    words = keyed.select("key", F.explode(terms_of("text")).alias("term"))
-    of_term = words.join(joint.select("term").distinct(), "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    # Every text of the corpus counts for a term, whether or not it has an entity. Copies of a text meet
+    # by its key, combined before the shuffle; the counts of terms then add up in each task.
+    words = keyed.dropDuplicates(["key"]).select(F.explode(terms_of("text")).alias("term"))
+    of_term = words.join(joint.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     texts = keyed.select("key").distinct().count()
     share = F.col("both") / F.col("with_term")
     gain = F.log2(share * F.lit(float(texts)) / F.col("with_entity"))
