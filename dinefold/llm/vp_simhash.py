@@ -30,7 +30,7 @@ SEED = 42
 RADIUS = 3
 
 #: Fingerprints of one shard, and of the sample that shapes the tree.
-LEAF = 4096
+LEAF = 16384
 SAMPLE = 16384
 #: Cells of a distance matrix that are in memory at once.
 CELLS = 1 << 21
@@ -117,27 +117,45 @@ def _walk(tree, fps: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forest(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect all that is within the radius of a home point; at most one per point."""
-    label = np.arange(len(home))
+    """Links that connect all that is within the radius of a home point; at most one per point and merge.
+
+    Home points are sorted by their distance to a vantage point of the shard; a point is compared with
+    those alone whose distance differs by no more than the radius.
+    """
     a, b = [], []
-    step = max(1, CELLS // max(1, len(home)))
+    if not len(home):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    vantage = home[len(home) // 2]
+    far = hamming(home, vantage).astype(np.int64)
+    order = np.argsort(far, kind="stable")
+    home, far = home[order], far[order]
+    label = np.arange(len(home))
+
+    def compare(part: np.ndarray, low: int, high: int, at_home: bool) -> None:
+        row, col = np.nonzero(hamming(part[:, None], home[None, low:high]) <= radius)
+        col += low
+        starts = np.flatnonzero(np.diff(row, prepend=-1))
+        for s, e in zip(starts, [*starts[1:], len(row)]):
+            if at_home and e - s == 1:
+                continue  # only itself
+            groups = np.unique(label[col[s:e]])
+            if not at_home:
+                a.append(part[row[s]])
+                b.append(home[groups[0]])
+            for other in groups[1:]:
+                a.append(home[groups[0]])
+                b.append(home[other])
+            if len(groups) > 1:
+                label[np.isin(label, groups[1:])] = groups[0]
+
     for own, at_home in ((home, True), (visitors, False)):
-        for k in range(0, len(own), step):
-            part = own[k : k + step]
-            row, col = np.nonzero(hamming(part[:, None], home[None, :]) <= radius)
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            for s, e in zip(starts, [*starts[1:], len(row)]):
-                if at_home and e - s == 1:
-                    continue  # only itself
-                groups = np.unique(label[col[s:e]])
-                if not at_home:
-                    a.append(part[row[s]])
-                    b.append(home[groups[0]])
-                for other in groups[1:]:
-                    a.append(home[groups[0]])
-                    b.append(home[other])
-                if len(groups) > 1:
-                    label[np.isin(label, groups[1:])] = groups[0]
+        away = hamming(own, vantage).astype(np.int64)
+        for d in np.unique(away):
+            low, high = np.searchsorted(far, d - radius, "left"), np.searchsorted(far, d + radius, "right")
+            same = own[away == d]
+            step = max(1, CELLS // max(1, high - low))
+            for k in range(0, len(same) if high > low else 0, step):
+                compare(same[k : k + step], low, high, at_home)
     return np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)
 
 
