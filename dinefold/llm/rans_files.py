@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dinefold.llm.bpe import encoder
 from dinefold.llm.common import in_arrow, small_batches
-from dinefold.session import scratch_dir, stored
+from dinefold.session import scratch_dir
 
 SCALE_BITS = 20
 BLOCK_TOKENS = 1 << 18
@@ -133,8 +133,7 @@ def token_ids(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     kind = id_type(tokenizer)
 
     def encode(batch: pa.RecordBatch) -> dict:
-        packed = encoder(tokenizer).encode([t or "" for t in batch["text"].to_pylist()])
-        ids = [np.append(np.frombuffer(p, dtype="<u4"), end_id).astype(kind) for p in packed]
+        ids = [np.append(i, end_id).astype(kind) for i in encoder(tokenizer).encode([t or "" for t in batch["text"].to_pylist()])]
         return {"doc_id": batch["doc_id"], "n_tokens": [len(i) for i in ids], "ids": [i.tobytes() for i in ids]}
 
     return in_arrow(df.select("doc_id", "text"), encode, IDS)
@@ -166,7 +165,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, end_id: int) ->
     """
     spark = df.sparkSession
     kind, size = id_type(tokenizer), encoder(tokenizer).size
-    ids = stored(token_ids(df, tokenizer, end_id), "token-ids")
+    held = scratch_dir(spark, "token-ids")
+    token_ids(df, tokenizer, end_id).write.option("compression", "zstd").parquet(held)
+    ids = spark.read.parquet(held)
     # At most one row per entry of the vocabulary comes to the driver.
     counts = {r["token"]: r["n"] for r in token_counts(ids, kind, size).toLocalIterator()}
     freq = shared_frequencies(counts, size)

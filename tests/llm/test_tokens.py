@@ -24,21 +24,30 @@ def ids_of(library, text):
 
 def test_units_equal_the_library(library):
     rng = random.Random(3)
-    alphabet = ["a", "B", "é", "你", "\U0001f600", "1", "'", "'s", "'re", ".", ",", " ", "  ", "\n", "\t", "\r", " ", " ", "　", "\x1c", "᠎", "​", "<|endoftext|>", "<|endof", "_", "word"]
+    alphabet = ["a", "B", "é", "你", "\U0001f600", "1", "'", "'s", "'re", ".", ",", " ", "  ", "\n", "\t", "\r", " ", " ", "　", "\x1c", "᠎", "​", "<|endoftext|>", "<|endof", "_", "word", "word.", ",word", "\n\n", "é.", "\x0b"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
-    packed = UnitEncoder(PATH).encode(texts)
-    assert [np.frombuffer(p, "<u4").tolist() for p in packed] == [ids_of(library, t) for t in texts]
+    coder = UnitEncoder(PATH)
+    for _ in range(2):
+        assert [i.tolist() for i in coder.encode(texts)] == [ids_of(library, t) for t in texts]
 
 
 def test_memo_is_bounded(monkeypatch, library):
     from dinefold.llm import bpe
 
     monkeypatch.setattr(bpe, "MEMO_UNITS", 40)
+    monkeypatch.setattr(bpe, "PART_BYTES", 100)
     coder = UnitEncoder(PATH)
     for k in range(20):
-        text = " ".join(f"w{k}x{i}" for i in range(15))
-        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == ids_of(library, text)
-        assert len(coder.memo) <= 55
+        texts = [" ".join(f"w{k}x{i}" for i in range(15)), "", "a. b, c"]
+        assert [i.tolist() for i in coder.encode(texts)] == [ids_of(library, t) for t in texts]
+        assert coder.table.size <= 80
+
+
+def test_table_grows(library):
+    coder = UnitEncoder(PATH)
+    texts = [" ".join(f"{k:x}z{i:x}" for i in range(3000)) for k in range(40)]
+    assert [i.tolist() for i in coder.encode(texts)] == [ids_of(library, t) for t in texts]
+    assert coder.table.size > 100_000
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 63, 64, 65, 1000, 40_000, 300_000])
