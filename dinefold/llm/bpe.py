@@ -228,3 +228,8 @@ class UnitEncoder:
 def encoder(path: str) -> UnitEncoder:
     """One encoder for each Python worker and vocabulary file."""
     return UnitEncoder(path)
+
+
+def id_type(path: str) -> str:
+    """The packed type of ids: 16 bits where the vocabulary allows it, else 32."""
+    return "<u2" if encoder(path).size <= 1 << 16 else "<u4"

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dinefold.llm.bpe import encoder
+from dinefold.llm.bpe import encoder, id_type
 from dinefold.llm.common import in_arrow, small_batches
 from dinefold.session import scratch_dir
 
@@ -139,10 +139,6 @@ def token_ids(df: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return in_arrow(df.select("doc_id", "text"), encode, IDS)
 
 
-def id_type(tokenizer: str) -> str:
-    return "<u2" if encoder(tokenizer).size <= 1 << 16 else "<u4"
-
-
 def token_counts(ids: DataFrame, kind: str, size: int) -> DataFrame:
     """(token, n) over all rows; at most one row per entry of the vocabulary and task goes to the shuffle."""
 
