@@ -29,7 +29,7 @@ LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 #: Units that a worker remembers; beyond, it starts anew.
-MEMO_UNITS = 3_000_000
+MEMO_UNITS = 2_000_000
 #: Units that one call of the library gets as one text, and bytes of text that are cut at once.
 JOINED = 4000
 PART_BYTES = 1 << 20

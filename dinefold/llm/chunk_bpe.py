@@ -27,8 +27,8 @@ from dinefold.session import stored
 ROLL = 32
 MEAN = 1024
 
-#: Bits of the filter that keeps texts without a shared chunk out of the joins; the driver holds it once.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that keeps texts without a shared chunk out of the joins.
+FILTER_BITS = 1 << 22
 
 GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -135,29 +135,18 @@ def chunk_table(df: DataFrame, mean: int = MEAN) -> DataFrame:
     return in_arrow(df.select(F.xxhash64("text").alias("key"), "text"), run, "key long, start long, end long, digest binary")
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits with one bit set for each key; its size doesn't depend on the data."""
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap with one bit set for each key, at most FILTER_BITS / 32 rows whatever the data."""
     bit = keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    words = bit.groupBy(F.expr("bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, dtype=np.uint32)
-    for r in words.toLocalIterator():  # FILTER_BITS / 32 rows at most
-        out[r["word"]] = r["bits"]
-    return out
-
-
-def passes(keys: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = keys % FILTER_BITS
-    return (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
+    return bit.groupBy(F.expr("bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits"))
 
 
-def may_share(docs: DataFrame, bitmap: np.ndarray, wanted: bool) -> DataFrame:
+def may_share(docs: DataFrame, bitmap: DataFrame, wanted: bool) -> DataFrame:
     """Rows of docs (doc_id, text, key) that may hold a shared chunk, or those that surely don't."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(batch["key"].to_numpy(), bitmap) == wanted))
-
-    return docs.mapInArrow(run, "doc_id long, text string, key long")
+    placed = docs.withColumn("bit", F.pmod("key", F.lit(FILTER_BITS)).cast("int")).withColumn("word", F.expr("bit div 32").cast("int"))
+    # The bitmap's size is bounded by a constant, a few MB.
+    hit = placed.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("shiftright(coalesce(bits, 0L), bit % 32) & 1L") == 1)
+    return hit.where(F.col("hit") == wanted).select("doc_id", "text", "key")
 
 
 def shared_chunks(docs: DataFrame, chunks: DataFrame, groups: DataFrame, tokenizer: str) -> DataFrame:
@@ -240,7 +229,7 @@ def code(df: DataFrame, tokenizer: str, make, schema: str, mean: int = MEAN) ->
     groups = stored(chunks.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-chunks")
     # Only texts with a shared chunk, and the few that the filter lets pass by chance, are shuffled.
     occurrences = stored(chunks.join(groups.select("digest"), "digest"), "chunk-places")
-    bitmap = key_filter(occurrences)
+    bitmap = stored(key_filter(occurrences), "key-filter")
     some = may_share(docs, bitmap, True)
     shared = stored(shared_chunks(some, occurrences, groups, tokenizer), "shared-ids")
     run = _rows(tokenizer, make)
