@@ -20,16 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dinefold.llm.bpe import UNSURE, UNSURE_ASCII, WHITE, UnitEncoder, encoder, id_type
-from dinefold.llm.common import in_arrow
+from dinefold.llm.common import in_arrow, key_filter, may_hold
 from dinefold.session import stored
 
 #: Bytes that the rolling hash sees, and mean bytes of a chunk (a power of two); none has over 16 times as many.
 ROLL = 32
 MEAN = 1024
 
-#: Bits of the filter that keeps texts without a shared chunk out of the joins.
-FILTER_BITS = 1 << 22
-
 GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -135,20 +132,6 @@ def chunk_table(df: DataFrame, mean: int = MEAN) -> DataFrame:
     return in_arrow(df.select(F.xxhash64("text").alias("key"), "text"), run, "key long, start long, end long, digest binary")
 
 
-def key_filter(keys: DataFrame) -> DataFrame:
-    """(word, bits): a bitmap with one bit set for each key, at most FILTER_BITS / 32 rows whatever the data."""
-    bit = keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("bit"))
-    return bit.groupBy(F.expr("bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits"))
-
-
-def may_share(docs: DataFrame, bitmap: DataFrame, wanted: bool) -> DataFrame:
-    """Rows of docs (doc_id, text, key) that may hold a shared chunk, or those that surely don't."""
-    placed = docs.withColumn("bit", F.pmod("key", F.lit(FILTER_BITS)).cast("int")).withColumn("word", F.expr("bit div 32").cast("int"))
-    # The bitmap's size is bounded by a constant, a few MB.
-    hit = placed.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("shiftright(coalesce(bits, 0L), bit % 32) & 1L") == 1)
-    return hit.where(F.col("hit") == wanted).select("doc_id", "text", "key")
-
-
 def shared_chunks(docs: DataFrame, chunks: DataFrame, groups: DataFrame, tokenizer: str) -> DataFrame:
     """(key, shared): for texts by their key, the spans of chunks that occur elsewhere too, with their ids.
 
@@ -230,11 +213,11 @@ def code(df: DataFrame, tokenizer: str, make, schema: str, mean: int = MEAN) ->
     # Only texts with a shared chunk, and the few that the filter lets pass by chance, are shuffled.
     occurrences = stored(chunks.join(groups.select("digest"), "digest"), "chunk-places")
     bitmap = stored(key_filter(occurrences), "key-filter")
-    some = may_share(docs, bitmap, True)
+    some = may_hold(docs, bitmap, True)
     shared = stored(shared_chunks(some, occurrences, groups, tokenizer), "shared-ids")
     run = _rows(tokenizer, make)
     mixed = in_arrow(some.join(shared, "key", "left").select("doc_id", "text", "shared"), run, schema)
-    return in_arrow(may_share(docs, bitmap, False), run, schema).unionByName(mixed)
+    return in_arrow(may_hold(docs, bitmap, False), run, schema).unionByName(mixed)
 
 
 def encode_documents(df: DataFrame, tokenizer: str, mean: int = MEAN) -> DataFrame:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch. Texts may be long, so a batch holds few of them.
 BATCH_ROWS = 512
 
+#: Bits of the filter that keeps rows without a partner out of a join.
+FILTER_BITS = 1 << 22
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,3 +47,17 @@ def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """(word, bits): a bitmap with one bit set for each `key`, at most FILTER_BITS / 32 rows whatever the data."""
+    bit = keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("bit"))
+    return bit.groupBy(F.expr("bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits"))
+
+
+def may_hold(rows: DataFrame, bitmap: DataFrame, wanted: bool) -> DataFrame:
+    """Rows whose `key` may be among the filter's keys, or those whose key surely isn't."""
+    placed = rows.withColumn("bit", F.pmod("key", F.lit(FILTER_BITS)).cast("int")).withColumn("word", F.expr("bit div 32").cast("int"))
+    # The bitmap's size is bounded by a constant, a few MB.
+    hit = placed.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("shiftright(coalesce(bits, 0L), bit % 32) & 1L") == 1)
+    return hit.where(F.col("hit") == wanted).select(*rows.columns)

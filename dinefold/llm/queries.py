@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dinefold.llm import chunk_bpe, language_id, packing, pii, rans_files, shuffle_shards, tree_dedup, vp_search, vp_simhash
+from dinefold.llm import chunk_bpe, language_id, packing, pii, rans_files, shuffle_shards, suffix_dedup, tree_dedup, vp_search, vp_simhash
 from dinefold.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -15,6 +15,10 @@ def op1_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_files.token_file_report(table(spark, sf_dir, "documents"), BPE, end_id=2)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op3_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.coding_report(table(spark, sf_dir, "documents"), BPE)
 
