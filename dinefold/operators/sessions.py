@@ -19,10 +19,6 @@ from dinefold.params import MergeParams
 
 DAY = ["store", "table_name", "biz_date"]
 HOUR_US = 60 * B.MINUTE_US
-# A slot with this share of all orders counts as hot, so there are at most 1000 hot slots.
-HOT_SHARE = 0.001
-HOT_MIN = 100_000
-SALTS = 64
 
 
 def order_features(items: DataFrame) -> DataFrame:
@@ -293,22 +289,11 @@ def session_merge(
     groups = fold_slots(build_slots(prepare_orders(orders, items, p)), p).select(
         *key, "group_id", F.col("step.decision").alias("head_decision"), F.col("head.order_no").alias("head_no")
     )
-    # Orders of a hot slot are spread over salted copies of its one map row. The list of hot
-    # slots is small by construction: each holds at least HOT_SHARE of all orders.
-    counts = slotted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    floor = F.greatest(F.lit(HOT_SHARE) * counts.agg(F.sum("n")).scalar(), F.lit(float(HOT_MIN)))
-    hot = F.broadcast(counts.filter(F.col("n") >= floor).select(*key, F.lit(SALTS).alias("salts")))
-
-    def with_salts(df):
-        return df.join(hot, key, "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
-
-    left = with_salts(rows).withColumn("salt", F.pmod(F.xxhash64("order_no"), F.col("salts")).cast("int"))
-    right = with_salts(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    # One row per slot on the right; the adaptive split of skewed joins spreads the orders of a hot slot.
     return (
-        left.drop("salts")
-        .join(right.drop("salts"), [*key, "salt"])
+        rows.join(groups, key)
         .withColumn("decision", F.when(F.col("order_no") == F.col("head_no"), F.col("head_decision")).otherwise("R0"))
-        .drop("salt", "head_no", "head_decision")
+        .drop("head_no", "head_decision")
     )
 
 

@@ -396,12 +396,22 @@ def gate_text(report: DataFrame) -> DataFrame:
     )
 
 
-def fail_gate(report: DataFrame, shown: int = 20) -> None:
-    """Stop the load when any file failed. The text shows some files, the exception carries all."""
+def fail_gate(report: DataFrame, sink: str | None = None) -> None:
+    """Stop the load when any file failed.
+
+    The message says how many files failed and with how many issues; the texts of all of them are in
+    the exception's `issues` and, with a sink, in a table written there. No text comes to the driver.
+    """
     failed = gate_text(report)
-    first = [r["text"] for r in failed.orderBy("file").limit(shown).collect()]
-    if first:
-        raise ValidationFailed("\n".join(first), failed)
+    lines = F.size(F.split("text", "\n  - ")) - 1
+    files, issues = failed.agg(F.count(F.lit(1)), F.sum(lines)).first()
+    if not files:
+        return
+    if sink is not None:
+        failed.write.mode("overwrite").parquet(sink)
+        failed = report.sparkSession.read.parquet(sink)
+    where = f": {sink}" if sink else ""
+    raise ValidationFailed(f"{MSG_GATE} ({files} files, {issues} issues){where}", failed)
 
 
 def precheck_levels(files: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ SLOT_US = P.VISIT_TIME_MINUTES * B.MINUTE_US
 
 def visit_exact_match(visits: DataFrame, orders: DataFrame) -> DataFrame:
     v = visits.withColumn("order_no", real_text(F.col("order_no")))
-    return v.select("visit_id", "order_no").join(orders.select("order_no"), "order_no").select("visit_id", "order_no")
+    return v.select("visit_id", "order_no").join(orders.select("order_no").distinct(), "order_no").select("visit_id", "order_no")
 
 
 def _left_over(visits: DataFrame, orders: DataFrame) -> DataFrame:

@@ -78,7 +78,8 @@ CTES["v"] = """
     'W' || cast(user_id % 7 as varchar) as waiter,
     case when k % 3 = 0 then '会员' else '非会员' end as member_status,
     c.text as transcript, cast(k % 5 + 1 as double) as satisfaction, ts + to_minutes(60) as created_at
-  from ev e left join conversations c on c.conv_id = e.event_id and c.turn = 0"""
+  from ev e left join (select conv_id, string_agg(text, chr(10) order by turn, text) as text from conversations group by conv_id) c
+    on c.conv_id = e.event_id"""
 TAKEAWAY_COLS = """
   select store,
     case event_type when 'view' then '美团外卖' when 'click' then '淘宝闪购餐饮外卖' else '饿了么' end as source,

@@ -110,8 +110,10 @@ def items(spark: SparkSession, sf: str) -> DataFrame:
 
 def visits(spark: SparkSession, sf: str) -> DataFrame:
     e = events(spark, sf)
-    text = table(spark, sf, "conversations").filter(F.col("turn") == 0).select(
-        F.col("conv_id").alias("event_id"), F.col("text").alias("transcript")
+    # A transcript is the whole conversation, turn by turn.
+    said = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", "text"))))
+    text = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("event_id")).agg(
+        F.when(F.count("text") > 0, F.array_join(said["text"], "\n")).alias("transcript")
     )
     k, i = F.col("k"), F.col("event_id")
     order_no = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dinefold import params as P
 from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
 from dinefold.plans.cleaning import LINE_COLS, NEWEST, REPEATED_SQL, repeated_lines
@@ -103,14 +104,17 @@ def archive_backfill(spark, sf):
     ),
 )
 def mart_overwrite(spark, sf):
-    """Write the mart, rerun the second half of the month, read back: days are replaced, not doubled."""
+    """Write the mart, rerun the second half of the month store by store, read back: what was run again is
+    replaced, not doubled, and the other stores' days stay."""
     o = R.orders(spark, sf).withColumn("order_date", F.col("order_time").cast("date"))
     mart = o.groupBy("store", "order_date").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("revenue").alias("revenue"))
     path = scratch_dir(spark, "mart")
     wrong = F.col("order_date") >= F.lit("2024-01-16").cast("date")
     first = mart.withColumn("n_orders", F.when(wrong, F.col("n_orders") + 1).otherwise(F.col("n_orders")))
-    S.mart_overwrite(first, path, ["order_date"])
-    S.mart_overwrite(mart.filter(wrong), path, ["order_date"])
+    S.mart_overwrite(first, path, ["order_date", "store"])
+    of_a = F.col("store") == P.STORE_A
+    for part in (of_a, ~of_a):
+        S.mart_overwrite(mart.filter(wrong & part), path, ["order_date", "store"])
     return plain(spark.read.parquet(path).select("store", "order_date", "n_orders", "revenue"))
 
 

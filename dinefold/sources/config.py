@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +39,10 @@ def allowed_missing_dates(calendar: DataFrame, stores: DataFrame) -> DataFrame:
 
 def sheet_schema(docs: DataFrame) -> DataFrame:
     """Columns per document and sheet with their required and nullable marks."""
-    kind = "map<string,struct<required:array<string>,nullable:array<string>>>"
-    sheets = docs.select("file", F.explode(F.from_json("text", kind)).alias("sheet", "d")).filter(
-        ~F.startswith("sheet", F.lit("_")) & F.col("d").isNotNull()
-    )
+    kind = "struct<required:array<string>,nullable:array<string>>"
+    entries = docs.select("file", F.explode(F.from_json("text", "map<string,string>")).alias("sheet", "d"))
+    # Notes and entries that are no object are skipped.
+    sheets = entries.filter(~F.startswith("sheet", F.lit("_")) & F.startswith("d", F.lit("{"))).withColumn("d", F.from_json("d", kind))
     none = F.array().cast("array<string>")
     required, nullable = F.coalesce("d.required", none), F.coalesce("d.nullable", none)
     return sheets.select(
@@ -57,22 +54,3 @@ def sheet_schema(docs: DataFrame) -> DataFrame:
         F.array_contains("r", F.col("column")).alias("required"),
         F.array_contains("n", F.col("column")).alias("nullable"),
     )
-
-
-def load_json(path: str | None) -> dict:
-    """A small configuration file; empty when there is none."""
-    if path is None or not os.path.exists(path):
-        return {}
-    with open(path, encoding="utf-8") as f:
-        return json.load(f)
-
-
-def load_closures(path: str | None = None) -> dict[str, list[str]]:
-    out = {k: sorted(set(v)) for k, v in load_json(path).items() if k != "_comment" and isinstance(v, list)}
-    for store in (P.ALL_STORES, P.STORE_A, P.STORE_B):
-        out.setdefault(store, [])
-    return out
-
-
-def load_schema(path: str | None = None) -> dict[str, dict]:
-    return {k: v for k, v in load_json(path).items() if not k.startswith("_") and isinstance(v, dict)}

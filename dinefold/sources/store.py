@@ -24,8 +24,11 @@ def upsert_latest(df: DataFrame, keys: list[str], newest: list[str]) -> DataFram
 def multi_file_load(
     spark: SparkSession, paths: list[str], keys: list[str], newest: list[str], fmt: str = "parquet", **options
 ) -> DataFrame:
-    """Read many files into one frame, tag rows with their file, newest row per key wins."""
-    df = spark.read.format(fmt).options(**options).load(paths)
+    """Read many files into one frame, tag rows with their file, newest row per key wins.
+
+    The frame has the columns of all files; a column that a file lacks is null in its rows.
+    """
+    df = spark.read.format(fmt).options(**{"mergeSchema": "true"} | options).load(paths)
     df = df.withColumn("source_file", F.col("_metadata.file_name"))
     return upsert_latest(df, keys, newest)
 
@@ -38,14 +41,15 @@ def merge_archives(older: DataFrame, newer: DataFrame, keys: list[str], load_col
     return upsert_latest(both, keys, [load_col])
 
 
-def mart_overwrite(df: DataFrame, path: str, partitions: list[str], files: int = 8) -> None:
+def mart_overwrite(df: DataFrame, path: str, partitions: list[str]) -> None:
     """Replace the partitions present in df, keep all others: a rerun of a day is safe.
 
-    A partition is written by up to `files` tasks, so a large day is no single task and a small
-    one no swarm of files.
+    Rows are rebalanced by partition: adaptive execution joins small partitions and splits large ones
+    by their size, so a large day is no single task and a small one no swarm of files. Stores whose
+    days are run apart need the store among the partitions.
     """
     (
-        df.repartition(*partitions, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+        df.hint("rebalance", *partitions)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partitions)
@@ -64,4 +68,4 @@ def rows_from_json(df: DataFrame, schema: str, name: str = "raw") -> DataFrame:
 
 def incremental_new_keys(incoming: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of incoming whose key the store does not hold yet."""
-    return incoming.join(stored.select(*keys), keys, "left_anti")
+    return incoming.join(stored.select(*keys).distinct(), keys, "left_anti")

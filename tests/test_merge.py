@@ -159,9 +159,8 @@ def test_drinks_after_dinner_in_a_private_room_stay(spark):
     assert decisions(spark, late, items_of(2, BIG))["2"] != "R3.5"
 
 
-def test_hot_table_day(spark, monkeypatch):
-    """One table-day with nearly all orders: bounded slots, salted join, same result as the loop."""
-    monkeypatch.setattr(S, "HOT_MIN", 50)
+def test_hot_table_day(spark):
+    """One table-day with nearly all orders: bounded slots, one plan for any size, same result as the loop."""
     rnd = random.Random(3)
     orders = [order(i, 600 + rnd.random() * 200, rnd.choice([20, 40, 90]), "大厅1") for i in range(1500)]
     orders += [order(5000 + i, 600 + rnd.random() * 10, 30, "大厅2") for i in range(400)]

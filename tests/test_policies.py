@@ -15,6 +15,7 @@ from dinefold.operators import drinks as D
 from dinefold.operators import periods as PD
 from dinefold.operators import reports as R
 from dinefold.operators import takeaway as T
+from dinefold.operators import visits as VI
 from dinefold.sources import store as S
 from tests.helpers import ORDER, frames, order
 
@@ -118,6 +119,28 @@ def test_mart_rerun_replaces_only_its_days(spark, tmp_path):
     assert sorted((r["day"], r["n"]) for r in spark.read.parquet(path).collect()) == [("d1", 1), ("d2", 5)]
 
 
+def test_one_store_rerun_keeps_the_other_store(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    schema = "store string, day string, n int"
+    S.mart_overwrite(spark.createDataFrame([("a", "d1", 1), ("b", "d1", 2)], schema), path, ["day", "store"])
+    for _ in range(2):
+        S.mart_overwrite(spark.createDataFrame([("a", "d1", 7)], schema), path, ["day", "store"])
+        assert sorted((r["store"], r["n"]) for r in spark.read.parquet(path).collect()) == [("a", 7), ("b", 2)]
+
+
+def test_files_with_further_columns(spark, tmp_path):
+    spark.createDataFrame([("k1", 1)], "k string, v int").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([("k1", 2, "x"), ("k2", 3, "y")], "k string, v int, extra string").write.parquet(str(tmp_path / "b"))
+    rows = S.multi_file_load(spark, [str(tmp_path / "a"), str(tmp_path / "b")], ["k"], ["v"]).collect()
+    assert sorted((r["k"], r["v"], r["extra"]) for r in rows) == [("k1", 2, "x"), ("k2", 3, "y")]
+
+
+def test_repeated_orders_match_a_visit_once(spark):
+    visits = spark.createDataFrame([(1, "7")], "visit_id long, order_no string")
+    orders = spark.createDataFrame([("7",), ("7",)], "order_no string")
+    assert VI.visit_exact_match(visits, orders).count() == 1
+
+
 @pytest.mark.parametrize("value,band", [(300, "300+"), (299.99, "200-300"), (100, "100-150"), (99.99, "<100")])
 def test_price_bands(spark, value, band):
     assert spark.range(1).select(B.price_band(F.lit(value))).first()[0] == band

@@ -147,11 +147,17 @@ def test_takeaway_first_row_counts_and_dates_are_optional(spark):
     assert V.validate_takeaway(undated, {}, none, strict_dates=True).first()["ok"]
 
 
-def test_gate(spark):
+def test_gate(spark, tmp_path):
     report = V.validate_pos(grid(spark, pos(days(1))), {}, V.closures_frame(spark, {}))
     with pytest.raises(V.ValidationFailed) as e:
         V.fail_gate(report)
-    assert V.MSG_GATE in str(e.value) and e.value.issues.count() == 1
+    assert V.MSG_GATE in str(e.value) and "1 files, 1 issues" in str(e.value) and e.value.issues.count() == 1
+    many = report
+    for i in range(24):
+        many = many.unionByName(report.withColumn("file", F.lit(f"f{i}")))
+    with pytest.raises(V.ValidationFailed) as e:
+        V.fail_gate(many, str(tmp_path / "issues"))
+    assert "25 files, 25 issues" in str(e.value) and str(tmp_path) in str(e.value) and e.value.issues.count() == 25
     V.fail_gate(V.validate_pos(grid(spark, pos(days(1, 2, 3))), {}, V.closures_frame(spark, {})))
 
 
@@ -166,16 +172,14 @@ def test_many_files(spark):
 def test_configuration(spark, tmp_path):
     path = tmp_path / "closures.json"
     path.write_text(json.dumps({"_comment": "x", P.ALL_STORES: ["2024-02-10"], P.STORE_A: ["2023-10-10", "2023-10-17"], "bad": 3}), encoding="utf-8")
-    c = CFG.load_closures(str(path))
-    assert set(c) == {P.ALL_STORES, P.STORE_A, P.STORE_B} and CFG.load_closures(None)[P.STORE_B] == []
     cal = CFG.closure_calendar(CFG.read_documents(spark, str(path)))
     stores = spark.createDataFrame([("closures.json", P.STORE_A), ("closures.json", P.STORE_B)], "file string, store string")
     allowed = {(r["store"], r["closed_date"]) for r in CFG.allowed_missing_dates(cal, stores).collect()}
     assert allowed == {(P.STORE_A, d) for d in ("2024-02-10", "2023-10-10", "2023-10-17")} | {(P.STORE_B, "2024-02-10")}
     schema = tmp_path / "schema.json"
     schema.write_text(json.dumps({"_note": {}, "takeaway": {"required": ["a"], "nullable": ["b"]}, "x": 1}), encoding="utf-8")
-    assert CFG.load_schema(str(schema)) == {"takeaway": {"required": ["a"], "nullable": ["b"]}}
-    assert CFG.load_schema("/none") == {}
+    rows = {(r["sheet"], r["column"], r["required"], r["nullable"]) for r in CFG.sheet_schema(CFG.read_documents(spark, str(schema))).collect()}
+    assert rows == {("takeaway", "a", True, False), ("takeaway", "b", False, True)}
 
 
 @pytest.mark.parametrize("text,empty", [(None, True), ("", True), ("　\t", True), (" NaT ", True), ("None", True), ("-", False), ("0", False)])
