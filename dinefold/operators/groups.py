@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dinefold import params as P
 from dinefold.functions import business as B
+from dinefold.functions.cells import is_digit_id
 from dinefold.operators.cleaning import clean_orders, is_dine_in, is_pickup
 from dinefold.operators.sessions import DAY, build_slots, fold_slots, group_partials, prepare_orders
 from dinefold.params import MergeParams
@@ -73,8 +74,13 @@ def kept(groups: DataFrame) -> DataFrame:
 
 
 def order_count_funnel(raw_orders: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
-    """From raw orders down to counted groups; every step is a column."""
-    clean = is_dine_in() & ~is_pickup() & F.col("order_no").rlike(r"^\d+$")
+    """From raw orders down to counted groups; every step is a column, and the steps add up.
+
+    A dine-in order is invalid if its number is not digits alone, or its revenue or time can't be read.
+    """
+    dine_in = is_dine_in() & ~is_pickup()
+    readable = is_digit_id(F.col("order_no")) & F.col("revenue").isNotNull() & F.col("order_time").isNotNull()
+    clean = dine_in & readable
     before = (
         raw_orders.withColumn("group_date", F.col("order_time").cast("date"))
         .groupBy(*by)
@@ -82,6 +88,7 @@ def order_count_funnel(raw_orders: DataFrame, groups: DataFrame, by: list[str])
             F.count(F.lit(1)).alias("raw_orders"),
             F.count_if(is_pickup()).alias("takeaway_orders"),
             F.count_if(~is_dine_in() & ~is_pickup()).alias("not_dine_in_orders"),
+            F.count_if(dine_in & ~readable).alias("invalid_orders"),
             F.count_if(clean & (F.col("revenue") <= 0)).alias("free_orders"),
             F.count_if(clean & (F.col("revenue") > 0)).alias("paid_orders"),
         )

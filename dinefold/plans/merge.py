@@ -156,9 +156,11 @@ FUNNEL_SQL = """
   select store, {day} count(*) as raw_orders,
     count(*) filter (where contains(table_name, '外点自取')) as takeaway_orders,
     count(*) filter (where order_type <> '堂食' and not contains(table_name, '外点自取')) as not_dine_in_orders,
-    count(*) filter (where order_type = '堂食' and not contains(table_name, '外点自取') and revenue <= 0) as free_orders,
-    count(*) filter (where order_type = '堂食' and not contains(table_name, '外点自取') and revenue > 0) as paid
-  from o group by all"""
+    count(*) filter (where order_type = '堂食' and not contains(table_name, '外点自取') and not readable) as invalid_orders,
+    count(*) filter (where order_type = '堂食' and not contains(table_name, '外点自取') and readable and revenue <= 0) as free_orders,
+    count(*) filter (where order_type = '堂食' and not contains(table_name, '外点自取') and readable and revenue > 0) as paid
+  from (select *, regexp_full_match(order_no, '[0-9]+') and revenue is not null and order_time is not null as readable from o)
+  group by all"""
 FUNNEL_GROUPS_SQL = """
   select store, {day} count(*) as merged_groups,
     count(*) filter (where filter_status = 'no_per_capita') as no_per_capita_groups,
@@ -176,7 +178,7 @@ def funnel_sql(daily: bool) -> str:
     using = "store, d" if daily else "store"
     day = "strftime(d, '%Y-%m-%d') as group_date," if daily else ""
     nums = [
-        "raw_orders", "takeaway_orders", "not_dine_in_orders", "free_orders", "merged_groups", "no_per_capita_groups",
+        "raw_orders", "takeaway_orders", "not_dine_in_orders", "invalid_orders", "free_orders", "merged_groups", "no_per_capita_groups",
         "snack_groups", "packing_groups", "stray_groups", "bar_groups", "counted_groups",
     ]
     return f"""select store, {day} {', '.join(f'coalesce({n}, 0) as {n}' for n in nums)},

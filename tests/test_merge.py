@@ -225,12 +225,15 @@ def test_filter_status(spark, rows, lines, status):
 def test_funnel_adds_up(spark):
     orders, items = random_case(5, 200)
     orders += [order(900 + i, 700, 50, "外点自取") for i in range(4)] + [order(950, 700, 60, order_type="外带")]
+    orders += [order(960, 700, 10), order(961, 700, 10, order_time=None), order(962, 700, 10), order(963, 700, 10)]
     o, i = frames(spark, orders, items)
+    number = F.when(F.col("order_no") == "962", "x962").when(F.col("order_no") == "963", "963\n").otherwise(F.col("order_no"))
+    o = o.withColumn("order_no", number).withColumn("revenue", F.when(F.col("order_no") != "960", F.col("revenue")))
     f = G.order_count_funnel(o, G.groups_of(o, i), ["store"]).first().asDict()
-    assert f["raw_orders"] - f["takeaway_orders"] - f["not_dine_in_orders"] - f["free_orders"] - f["merged_away"] == f["merged_groups"]
+    assert f["raw_orders"] - f["takeaway_orders"] - f["not_dine_in_orders"] - f["invalid_orders"] - f["free_orders"] - f["merged_away"] == f["merged_groups"]
     dropped = sum(f[c] for c in ("no_per_capita_groups", "snack_groups", "packing_groups", "stray_groups", "bar_groups"))
     assert f["merged_groups"] - dropped == f["counted_groups"]
-    assert (f["takeaway_orders"], f["not_dine_in_orders"]) == (4, 1)
+    assert (f["takeaway_orders"], f["not_dine_in_orders"], f["invalid_orders"]) == (4, 1, 4)
 
 
 def test_orders_without_table_or_time(spark):
