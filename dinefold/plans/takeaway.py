@@ -63,7 +63,7 @@ _OVERVIEWS = {
     "takeaway_overview": ([], ""),
     "takeaway_by_store": (["store"], "store"),
     "takeaway_daily": (["business_date", "store"], f"{DATE}, store"),
-    "takeaway_by_platform": (["source"], "source"),
+    "takeaway_by_platform": (["business_date", "store", "source"], f"{DATE}, store, source"),
 }
 
 
@@ -80,15 +80,17 @@ for _name, (_by, _out) in _OVERVIEWS.items():
 @query(
     "takeaway_hourly",
     oracle(
-        """with h as (select store, case when h < 16 then '午市' else '晚市' end as daypart, h, count(v.store) as n, coalesce(sum(v.revenue), 0) as r
-            from (select distinct store from tc where valid) s cross join range(0, 24) x(h)
-            left join (select store, hour(order_time) as h, revenue from tc where valid) v using (store, h) group by all)
-        select store, daypart, cast(h as int) as order_hour, n as n_orders, cast(r as double) as revenue from h
-        union all select store, daypart, -1, cast(sum(n) as bigint), cast(sum(r) as double) from h group by all"""
+        f"""with h as (select business_date, store, case when h < 16 then '午市' else '晚市' end as daypart, h, count(v.store) as n,
+              coalesce(sum(v.revenue), 0) as r
+            from (select distinct business_date, store from tc where valid) s cross join range(0, 24) x(h)
+            left join (select business_date, store, hour(order_time) as h, revenue from tc where valid) v using (business_date, store, h) group by all)
+        select {DATE}, store, daypart, cast(h as int) as order_hour, n as n_orders, cast(r as double) as revenue from h
+        union all select {DATE}, store, daypart, -1, n, r
+          from (select business_date, store, daypart, cast(sum(n) as bigint) as n, cast(sum(r) as double) as r from h group by all)"""
     ),
 )
 def takeaway_hourly(spark, sf):
-    return plain(T.takeaway_hourly(cleaned(spark, sf), ["store"]))
+    return plain(T.takeaway_hourly(cleaned(spark, sf), ["business_date", "store"]))
 
 
 @query(
