@@ -42,13 +42,18 @@ def compared_orders(spark, sf):
     return PD.orders_in_periods(C.clean_orders(history(spark, sf)), WEEK)
 
 
+def compared_items(spark, sf):
+    """Lines of the compared orders only, so that the lines of all other days are not aggregated."""
+    return R.items_with_last_year(spark, sf).join(compared_orders(spark, sf).select("order_no"), "order_no", "left_semi")
+
+
 def history_groups(spark, sf):
-    return kept(aggregate_groups(compared_orders(spark, sf), R.items_with_last_year(spark, sf)))
+    return kept(aggregate_groups(compared_orders(spark, sf), compared_items(spark, sf)))
 
 
 def history_sold(spark, sf):
     """Sold lines of counted groups with store, day and group."""
-    items = R.items_with_last_year(spark, sf)
+    items = compared_items(spark, sf)
     merged, groups = merged_and_groups(spark, sf, compared_orders(spark, sf), items)
     inside = kept(groups).select("group_id")
     links = merged.filter(F.col("revenue") > 0).join(inside, "group_id", "left_semi")
@@ -162,10 +167,15 @@ def core_name(spark, sf):
 
 @query(
     "drink_ranking",
-    oracle(f"select {CORE} as core_name, category, cast(sum(qty) as double) as qty from sold where category in {DRINKS} group by all"),
+    oracle(
+        f"""select store, {CORE} as core_name, category, cast(sum(qty) as double) as qty from sold_role
+        where role = 'current' and category in {DRINKS} group by all"""
+    ),
 )
 def drink_ranking(spark, sf):
-    return plain(PD.drink_ranking(C.sold_items(R.items(spark, sf)), []).orderBy(F.desc("qty"), "core_name"))
+    """Counted orders of the week, per store."""
+    sold = PD.in_period(history_sold(spark, sf)[0], "biz_date", WEEK).filter(F.col("role") == "current")
+    return plain(PD.drink_ranking(sold, ["store"]).orderBy("store", F.desc("qty"), "core_name"))
 
 
 @query(

@@ -111,11 +111,6 @@ CTES["sold"] = "select * from i where item_revenue > 0 and sale_type is distinct
 CTES["sold2"] = "select * from i2 where item_revenue > 0 and sale_type is distinct from '套餐'"
 
 
-@query("dish_sales", oracle(f"select {DISH_CASE} as dish, cast(sum(qty) as double) as qty from sold where {DISH_CASE} is not null group by 1"))
-def dish_sales(spark, sf):
-    return plain(RP.dish_sales(C.sold_items(R.items(spark, sf)), DISHES))
-
-
 CTES["links"] = """
   select m.order_no, m.store, m.biz_date, m.order_time, m.revenue, m.group_no as group_id, m.decision, k.daypart as group_daypart
   from merged m join kept k on k.group_id = m.group_no where m.revenue > 0"""
@@ -126,6 +121,23 @@ def links(spark, sf):
     return RP.group_orders(merged, kept(g))
 
 
+def counted_lines(spark, sf):
+    """Sold lines of counted orders, with the store and daypart of their group."""
+    of = links(spark, sf).select("order_no", "store", F.col("group_daypart").alias("daypart"))
+    return C.sold_items(R.items(spark, sf)).join(of, "order_no")
+
+
+@query(
+    "dish_sales",
+    oracle(
+        f"""select l.store, {DISH_CASE} as dish, cast(sum(qty) as double) as qty from sold join links l using (order_no)
+        where {DISH_CASE} is not null group by all"""
+    ),
+)
+def dish_sales(spark, sf):
+    return plain(RP.dish_sales(counted_lines(spark, sf), DISHES, ["store"]))
+
+
 @query(
     "daypart_top6",
     oracle(
@@ -136,10 +148,7 @@ def links(spark, sf):
     ),
 )
 def daypart_top6(spark, sf):
-    sold = C.sold_items(R.items(spark, sf)).join(
-        links(spark, sf).select("order_no", "store", F.col("group_daypart").alias("daypart")), "order_no"
-    )
-    return plain(RP.daypart_top(sold, ["store"]))
+    return plain(RP.daypart_top(counted_lines(spark, sf), ["store"]))
 
 
 TIME = "strftime({0}, '%Y-%m-%d %H:%M:%S') as {0}"
