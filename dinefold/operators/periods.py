@@ -141,6 +141,23 @@ def period_compare(groups: DataFrame, period: Period, by: list[str]) -> DataFram
     return wide.select(*by, "daypart", "area", F.inline(rows)).withColumns(_deltas())
 
 
+def whole_revenue(pos_orders: DataFrame, takeaway_done: DataFrame, period: Period, by: list[str]) -> DataFrame:
+    """Total rows of the period report that close with the back office, in the columns of `period_compare`.
+
+    Whole revenue is that of all paid dine-in orders, groups the report filters out included, and of
+    completed takeaway orders. Both sides carry the day as `biz_date`.
+    """
+    cols = [*by, "biz_date", "revenue"]
+    both = pos_orders.select(*cols, F.lit(True).alias("pos")).unionByName(takeaway_done.select(*cols, F.lit(False).alias("pos")))
+    r = F.col("revenue")
+    parts = {"pos_revenue": F.when(F.col("pos"), r), "takeaway_revenue": F.when(~F.col("pos"), r), "whole_revenue": r}
+    wide = in_period(both, "biz_date", period).groupBy(*by).agg(*_sums(parts))
+    rows = F.array(*[
+        F.struct(F.lit(m).alias("metric"), *[F.coalesce(F.col(f"{m}_{x}").cast("double"), F.lit(0.0)).alias(x) for x in ROLES]) for m in parts
+    ])
+    return wide.select(*by, F.lit(ALL).alias("daypart"), F.lit(ALL).alias("area"), F.inline(rows)).withColumns(_deltas())
+
+
 def _compare(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """One row per key with the sum of value in each period."""
     wide = df.groupBy(*keys).agg(*_sums({"v": value}))
@@ -161,7 +178,10 @@ def drink_ranking(sold: DataFrame, by: list[str]) -> DataFrame:
 
 
 def category_distribution(sold: DataFrame, period: Period, by: list[str]) -> DataFrame:
-    """Revenue by category with a total row, its share and the changes."""
+    """Revenue by category with a total row, its share and the changes.
+
+    `sold` holds the counted lines of all paid dine-in orders, so that the total closes with their revenue.
+    """
     s = in_period(sold, "biz_date", period)
     wide = s.groupingSets([[*by, "category"], by], *by, "category").agg(
         F.when(F.grouping("category") == 1, F.lit(P.TOTAL_ROW)).otherwise(F.col("category")).alias("category_l"),
@@ -193,27 +213,28 @@ def bucket_compare(groups: DataFrame, period: Period, by: list[str]) -> DataFram
     return out.withColumn("share", F.try_divide("current", F.nullif("n_current", F.lit(0.0)))).drop("n_current").withColumns(_deltas())
 
 
-def revenue_closure(pos_orders: DataFrame, takeaway_done: DataFrame, sold: DataFrame, total: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Do the totals agree: total = POS + takeaway, and category sum = POS? One row per check and store.
+def revenue_closure(totals: DataFrame, categories: DataFrame, back_office: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Do the reported tables agree? One row per check and store.
 
-    `total` (store, revenue) is the back-office figure. Each side is reduced to one row per
-    store before anything is joined.
+    The back office's revenue of the current period against `whole_revenue`, and the total row of
+    `category_distribution` against the POS revenue reported there. `totals` and `categories` are those two
+    reports by store, `back_office` is (store, revenue).
     """
-    pos = pos_orders.groupBy("store").agg(F.sum("revenue").alias("pos"))
-    away = takeaway_done.groupBy("store").agg(F.sum("revenue").alias("takeaway"))
-    cats = sold.groupBy("store").agg(F.sum("item_revenue").alias("categories"))
-    back = total.groupBy("store").agg(F.sum("revenue").alias("total"))
-    all_ = back.join(pos, "store", "full").join(away, "store", "full").join(cats, "store", "full")
+
+    def of(metric):
+        return F.max(F.when(F.col("metric") == metric, F.col("current")))
+
+    reported = totals.groupBy("store").agg(of("whole_revenue").alias("whole"), of("pos_revenue").alias("pos"))
+    cats = categories.filter(F.col("category") == P.TOTAL_ROW).select("store", F.col("current").alias("categories"))
+    back = back_office.groupBy("store").agg(F.sum("revenue").alias("total"))
+    all_ = back.join(reported, "store", "full").join(cats, "store", "full")
     x = lambda c: F.coalesce(F.col(c).cast("decimal(28,2)"), F.lit(0).cast("decimal(28,2)"))
 
     def check(name, left, right):
         return F.struct(F.lit(name).alias("check"), left.cast("double").alias("left_value"), right.cast("double").alias("right_value"),
                         (left - right).cast("double").alias("diff"))
 
-    rows = F.array(
-        check("total_is_pos_and_takeaway", x("total"), x("pos") + x("takeaway")),
-        check("categories_are_pos", x("categories"), x("pos")),
-    )
+    rows = F.array(check("total_is_pos_and_takeaway", x("total"), x("whole")), check("categories_are_pos", x("categories"), x("pos")))
     return all_.select("store", F.inline(rows)).withColumn("closes", F.abs("diff") < tolerance)
 
 

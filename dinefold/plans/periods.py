@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from dinefold.operators import cleaning as C
 from dinefold.operators import periods as PD
 from dinefold.operators.groups import kept
+from dinefold.operators import takeaway as T
 from dinefold.operators.groups import aggregate_groups
 from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
-from dinefold.plans.merge import clean, merged_and_groups
+from dinefold.plans.merge import merged_and_groups
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
 from dinefold.plans.reports import BAND, BANDS, DISH_CASE, DISHES
@@ -32,6 +33,12 @@ CTES["links2"] = """
 CTES["sold_role"] = f"""
   select s.*, l.store, l.group_id, {role_sql('l.biz_date')} as role from sold2 s join links2 l using (order_no)"""
 
+CTES["whole_role"] = f"""
+  select store, true as pos, revenue, {role_sql('cast(order_time as date)')} as role from clean_o2 where revenue > 0
+  union all select store, false, revenue, {role_sql('cast(order_time as date)')} from tc2 where valid"""
+CTES["paid_sold_role"] = f"""
+  select s.*, c.store, {role_sql('cast(c.order_time as date)')} as role from sold2 s join clean_o2 c using (order_no) where c.revenue > 0"""
+
 
 def history(spark, sf):
     """Orders of this year and of the year before."""
@@ -60,6 +67,27 @@ def history_sold(spark, sf):
     return C.sold_items(items).join(links.select("order_no", "store", "biz_date", "group_id"), "order_no"), merged, groups
 
 
+def paid_orders(spark, sf):
+    """Paid dine-in orders of the compared days, whether their group is kept or not."""
+    paid = compared_orders(spark, sf).filter(F.col("revenue") > 0)
+    return paid.select("order_no", "store", "revenue", F.col("order_time").cast("date").alias("biz_date"))
+
+
+def paid_sold(spark, sf):
+    """Sold lines of all paid dine-in orders with store and day."""
+    return C.sold_items(R.items_with_last_year(spark, sf)).join(paid_orders(spark, sf).drop("revenue"), "order_no")
+
+
+def takeaway_done(spark, sf):
+    """Completed takeaway orders with their day."""
+    cleaned = T.takeaway_clean(R.takeaway_from(R.with_last_year(R.events(spark, sf))))
+    return T.valid_orders(cleaned).select("store", "revenue", F.col("order_time").cast("date").alias("biz_date"))
+
+
+def whole_rows(spark, sf):
+    return PD.whole_revenue(paid_orders(spark, sf), takeaway_done(spark, sf), WEEK, ["store"])
+
+
 def _orders(unit: str) -> str:
     end = "p + 6" if unit == "week" else "last_day(p)"
     return f"""select store, strftime(p, '%Y-%m-%d') as period_start, strftime({end}, '%Y-%m-%d') as period_end, n as n_days,
@@ -115,16 +143,26 @@ def _level(daypart: str, area: str) -> str:
     )
 
 
+def _whole(metric: str, cond: str) -> str:
+    value = _three(f"coalesce(cast(sum(revenue) filter (where role = '{{r}}' and {cond}) as double), 0)")
+    return f"select store, '全部' as daypart, '全部' as area, '{metric}' as metric, {value} from whole_role where role is not null group by store"
+
+
+WHOLE = " union all ".join(_whole(m, c) for m, c in (("pos_revenue", "pos"), ("takeaway_revenue", "not pos"), ("whole_revenue", "true")))
+
+
 @query(
     "period_compare",
     oracle(
         f"select *, {CHANGES} from ("
-        + " union all ".join(_level(d, a) for d in ("'全部'", "daypart") for a in ("'全部'", "area"))
+        + " union all ".join([*(_level(d, a) for d in ("'全部'", "daypart") for a in ("'全部'", "area")), WHOLE])
         + ")"
     ),
 )
 def period_compare(spark, sf):
-    return plain(PD.period_compare(history_groups(spark, sf), WEEK, ["store"]))
+    """Groups by area and daypart, and the total that closes with the back office."""
+    groups = PD.period_compare(history_groups(spark, sf), WEEK, ["store"])
+    return plain(groups.unionByName(whole_rows(spark, sf)))
 
 
 def _sum3(column: str) -> str:
@@ -146,12 +184,12 @@ def dish_compare(spark, sf):
     "category_distribution",
     oracle(
         f"""select *, "current" / (max(case when category = '合计' then "current" end) over (partition by store)) as share, {CHANGES} from (
-          select store, category, {_sum3('item_revenue')} from sold_role where role is not null group by store, category
-          union all select store, '合计', {_sum3('item_revenue')} from sold_role where role is not null group by store)"""
+          select store, category, {_sum3('item_revenue')} from paid_sold_role where role is not null group by store, category
+          union all select store, '合计', {_sum3('item_revenue')} from paid_sold_role where role is not null group by store)"""
     ),
 )
 def category_distribution(spark, sf):
-    return plain(PD.category_distribution(history_sold(spark, sf)[0], WEEK, ["store"]))
+    return plain(PD.category_distribution(paid_sold(spark, sf), WEEK, ["store"]))
 
 
 CORE = "coalesce(nullif(trim(regexp_replace(name, '\\s*(（(杯|小瓶|大瓶|扎|壶|盅)）|\\((杯|小瓶|大瓶|扎|壶|盅)\\)|(杯|小瓶|大瓶|扎|壶|盅))\\s*$', '')), ''), name)"
@@ -195,20 +233,21 @@ def bucket_compare(spark, sf):
     oracle(
         """select store, "check", cast(l as double) as left_value, cast(r as double) as right_value, cast(l - r as double) as diff,
           abs(l - r) < 0.01 as closes from (
-          with p as (select store, sum(revenue) as pos from clean_o where revenue > 0 group by store),
-            a as (select store, sum(revenue) as away from t where status = '已完成' and takeaway_id <> '-' group by store),
-            b as (select store, sum(value) as total from ev group by store),
-            c as (select o.store, sum(item_revenue) as cats from sold join clean_o o using (order_no) where o.revenue > 0 group by o.store)
-          select store, 'total_is_pos_and_takeaway' as "check", total as l, pos + away as r from p join a using (store) join b using (store)
-          union all select store, 'categories_are_pos', cats, pos from p join c using (store))"""
+          with w as (select store, sum(revenue) as whole, coalesce(sum(revenue) filter (where pos), 0) as pos
+              from whole_role where role = 'current' group by store),
+            b as (select store, sum(value) as total from ev where cast(ts as date) between date '2024-01-15' and date '2024-01-21' group by store),
+            c as (select store, sum(item_revenue) as cats from paid_sold_role where role = 'current' group by store)
+          select store, 'total_is_pos_and_takeaway' as "check", coalesce(total, 0) as l, coalesce(whole, 0) as r
+            from (select store from b union select store from w union select store from c) left join b using (store) left join w using (store)
+          union all select store, 'categories_are_pos', coalesce(cats, 0), coalesce(pos, 0)
+            from (select store from b union select store from w union select store from c) left join c using (store) left join w using (store))"""
     ),
 )
 def revenue_closure(spark, sf):
-    paid = clean(spark, sf).filter(F.col("revenue") > 0)
-    away = R.takeaway(spark, sf).filter((F.col("status") == "已完成") & F.col("takeaway_id").rlike(r"^\d+$"))
-    sold = C.sold_items(R.items(spark, sf)).join(paid.select("order_no", "store"), "order_no")
-    total = R.events(spark, sf).select("store", F.col("value").alias("revenue"))
-    return PD.revenue_closure(paid, away, sold, total)
+    """The week's reports against the back office; the revenue of all events plays the latter."""
+    events = R.events(spark, sf).withColumn("day", F.col("ts").cast("date"))
+    back = PD.in_period(events, "day", WEEK).filter(F.col("role") == "current").select("store", F.col("value").alias("revenue"))
+    return PD.revenue_closure(whole_rows(spark, sf), PD.category_distribution(paid_sold(spark, sf), WEEK, ["store"]), back)
 
 
 @query(

@@ -174,11 +174,25 @@ def test_period_bounds():
 
 
 def test_revenue_closes(spark):
-    one = lambda v, c="revenue": spark.createDataFrame([("s", Decimal(str(v)))], f"store string, {c} decimal(18,2)")
-    ok = PD.revenue_closure(one(100), one(40), one(100, "item_revenue"), one(140)).collect()
-    assert all(r["closes"] for r in ok) and len(ok) == 2
-    bad = PD.revenue_closure(one(100), one(40), one(99, "item_revenue"), one(140)).collect()
-    assert {r["check"]: r["closes"] for r in bad} == {"total_is_pos_and_takeaway": True, "categories_are_pos": False}
+    """Both checks close over the reports; groups that the report filters out still count."""
+    from datetime import date
+
+    monday = date(2024, 1, 15)
+    week = PD.Period("week", monday)
+    frame = lambda rows, c: spark.createDataFrame([("s", monday, *r) for r in rows], f"store string, biz_date date, {c}")
+    pos = frame([(Decimal(60),), (Decimal(40),)], "revenue decimal(18,2)")
+    away = frame([(Decimal(40),)], "revenue decimal(18,2)")
+    back = spark.createDataFrame([("s", Decimal(140))], "store string, revenue decimal(18,2)")
+    totals = PD.whole_revenue(pos, away, week, ["store"])
+    assert {r["metric"]: r["current"] for r in totals.collect()} == {"pos_revenue": 100.0, "takeaway_revenue": 40.0, "whole_revenue": 140.0}
+
+    def checks(lines):
+        sold = frame(lines, "category string, item_revenue decimal(18,2)")
+        cats = PD.category_distribution(sold, week, ["store"])
+        return {r["check"]: r["closes"] for r in PD.revenue_closure(totals, cats, back).collect()}
+
+    assert checks([("茶", Decimal(70)), (None, Decimal(30))]) == {"total_is_pos_and_takeaway": True, "categories_are_pos": True}
+    assert checks([("茶", Decimal(70)), ("汤", Decimal(29))]) == {"total_is_pos_and_takeaway": True, "categories_are_pos": False}
 
 
 TAKE = (
