@@ -270,12 +270,29 @@ def fold_slots(slots: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     )
 
 
-def merge_explain(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
+def explain_slots(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     """Rule values and decision for the first order of every slot."""
     folded = fold_slots(build_slots(prepare_orders(orders, items, p)), p)
     return folded.select(*DAY, "slot", "group_id", "step.*")
 
 
+def merge_explain(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
+    """Group, anchor, decision and rule values of every order.
+
+    The first order of a table-day and concurrent orders (R0) are decided before any other rule, so they
+    have no rule values; their anchor is the order that opened the group.
+    """
+    values = ["gap_us", "since_first_us", "small", "r1", "r2", "r3", "r35", "jaccard", "score"]
+    steps = explain_slots(orders, items, p).withColumnsRenamed({"order_no": "head_no", "decision": "head_decision"})
+    rows = with_slots(orders, p).select(*DAY, "slot", "order_no").join(steps, [*DAY, "slot"])
+    decision = F.when(F.col("order_no") == F.col("head_no"), F.col("head_decision")).otherwise("R0")
+    judged = ~F.col("decision").isin("first", "R0")
+    return rows.withColumn("decision", decision).select(
+        "order_no", *DAY, "group_id", F.when(judged, F.col("anchor_no")).otherwise(F.col("group_id")).alias("anchor_no"),
+        *[F.when(judged, F.col(c)).alias(c) for c in values], "decision",
+    )
+
+
 def session_merge(
     orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams(), features: bool = False
 ) -> DataFrame:

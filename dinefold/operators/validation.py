@@ -81,17 +81,25 @@ def valid_id_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(is_digit_id(_id_cell()))
 
 
+def _positions(heads: DataFrame) -> DataFrame:
+    """Where the cells that matter stand, as numbers, so that rows don't carry the header and search it."""
+    at = lambda name: F.nullif(F.array_position("header", name), F.lit(0)).cast("int") - 1
+    return heads.filter("header_idx is not null").select(
+        "file", "sheet", "header_idx", F.size("header").alias("width"), at(G.id_column()).alias("id_pos"),
+        at(P.ORDER_TIME_COLUMN).alias("time_pos"), at(P.BUSINESS_DATE_COLUMN).alias("date_pos"),
+    )
+
+
 def column_stats(rows: DataFrame) -> DataFrame:
     """Per column position: any value at all, valid rows, non-empty cells and days of valid rows.
 
-    Cells are counted on the map side with fixed-size counters, so a file with a large part of
-    all rows ends as a few rows per column before the shuffle.
+    Rows carry the numbers of `_positions`. Cells are counted on the map side with fixed-size counters,
+    so a file with a large part of all rows ends as a few rows per column before the shuffle.
     """
-    at = lambda name: F.array_position("header", name).cast("int") - 1
     cells = rows.select(
-        "file", "sheet", is_digit_id(_id_cell()).alias("valid"), F.size("header").alias("width"),
-        at(P.ORDER_TIME_COLUMN).alias("time_pos"), at(P.BUSINESS_DATE_COLUMN).alias("date_pos"), F.posexplode("cells").alias("pos", "v"),
-    ).filter(F.col("pos") < F.col("width"))
+        "file", "sheet", "time_pos", "date_pos", is_digit_id(F.get(F.col("cells"), F.col("id_pos"))).alias("valid"),
+        F.posexplode(F.slice("cells", F.lit(1), F.col("width"))).alias("pos", "v"),
+    )
     dated = F.col("valid") & ((F.col("pos") == F.col("time_pos")) | (F.col("pos") == F.col("date_pos")))
     per_day = cells.groupBy("file", "sheet", "pos", F.when(dated, parse_time(F.col("v")).cast("date")).alias("day")).agg(
         F.max(F.col("v").isNotNull()).alias("filled"),
@@ -147,8 +155,8 @@ def sheet_columns(heads: DataFrame, stats: DataFrame) -> DataFrame:
 
 def sheet_report(grid: DataFrame) -> DataFrame:
     """Everything the checks need, one row per sheet."""
-    heads = G.with_metadata(G.sheet_heads(grid))
-    return sheet_columns(heads, column_stats(G.data_rows(grid, G.locate_headers(grid))))
+    heads = G.sheet_heads(grid)
+    return sheet_columns(G.with_metadata(heads), column_stats(G.data_rows(grid, _positions(heads))))
 
 
 def _missing(schema: dict) -> Column:

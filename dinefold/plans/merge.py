@@ -22,7 +22,7 @@ def clean(spark, sf):
 
 
 def explain(spark, sf, p=MergeParams()):
-    return S.merge_explain(clean(spark, sf), R.items(spark, sf), p)
+    return S.explain_slots(clean(spark, sf), R.items(spark, sf), p)
 
 
 def groups(spark, sf):
@@ -109,16 +109,18 @@ _rule("small_order", "small")
 _rule("item_jaccard", "jaccard")
 
 
+VALUES = ["gap_us", "since_first_us", "small", "r1", "r2", "r3", "r35", "jaccard", "score"]
+
+
 @query(
     "merge_explain",
     oracle(
-        f"""select order_no, store, table_name, {DAY}, group_no as group_id, anchor_no, gap_us, since_first_us,
-        small, r1, r2, r3, r35, jaccard, score, decision from fold where {HEADS}"""
+        f"""select order_no, store, table_name, {DAY}, group_no as group_id, case when {HEADS} then anchor_no else group_no end as anchor_no,
+        {', '.join(f"case when {HEADS} then {c} end as {c}" for c in VALUES)}, decision from fold"""
     ),
 )
 def merge_explain(spark, sf):
-    out = explain(spark, sf).filter(~F.col("decision").isin("first", "R0"))
-    return plain(out.drop("slot", "r0"))
+    return plain(S.merge_explain(clean(spark, sf), R.items(spark, sf)))
 
 
 @query(

@@ -242,3 +242,15 @@ def test_orders_without_table_or_time(spark):
     out = {r["order_no"]: r["group_id"] for r in S.session_merge(o, i).collect()}
     assert out == {"1": "1", "2": "1", "4": "4"}
     assert sorted(r["group_id"] for r in G.aggregate_groups(o, i).collect()) == ["1", "4"]
+
+
+def test_every_order_is_explained(spark):
+    """One row per order with the group and decision of the merge; R0 and first orders have no rule values."""
+    o, i = frames(spark, *random_case(5))
+    clean = o.filter("order_type = '堂食'")
+    told = S.merge_explain(clean, i).collect()
+    merged = {r["order_no"]: (r["group_id"], r["decision"]) for r in S.session_merge(clean, i).collect()}
+    assert {r["order_no"]: (r["group_id"], r["decision"]) for r in told} == merged and len(told) == len(merged)
+    for r in told:
+        early = r["decision"] in ("first", "R0")
+        assert (r["score"] is None) == early and (not early or r["anchor_no"] == r["group_id"])

@@ -29,7 +29,7 @@ def test_session_merge_stream_equals_batch(spark, tmp_path):
     ST.stream_session_merge(prepared, slots, out, str(tmp_path / "check"), delay="30 minutes").awaitTermination()
     last = o.agg(F.max("order_time")).first()[0]
     closed = F.window("order_time", "5 minutes")["end"] <= F.lit(last) - F.expr("interval 30 minutes")
-    batch = S.merge_explain(o.filter(closed), i).select("order_no", "group_id", "decision")
+    batch = S.explain_slots(o.filter(closed), i).select("order_no", "group_id", "decision")
     got = ST.read_merged(spark, out).select("order_no", "group_id", "decision")
     assert sorted(got.collect()) == sorted(batch.collect()) and got.count() > 20
 
