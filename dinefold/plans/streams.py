@@ -93,15 +93,20 @@ CTES["seq_closed"] = """
     "stream_session_merge",
     oracle(
         "select store, table_name, strftime(biz_date, '%Y-%m-%d') as biz_date, order_no, group_no as group_id, decision"
-        " from fold_closed where decision <> 'R0'",
+        " from fold_closed",
         fold_closed=fold_cte().replace("from fold f", "from fold_closed f").replace("from seq", "from seq_closed").replace("join seq ", "join seq_closed "),
     ),
 )
 def stream_session_merge(spark, sf):
     features = stored(S.order_features(R.items(spark, sf)), "features")
     orders = C.clean_orders(R.orders_from(stream_events(spark, sf)))
-    slots, out = scratch_dir(spark, "slots"), scratch_dir(spark, "merged")
-    q = sessions.stream_session_merge(S.attach_features(orders, features), slots, out, scratch_dir(spark, "merge-checkpoint"))
-    q.awaitTermination()
-    merged = sessions.read_merged(spark, out).filter(F.col("decision") != "R0")
+    prepared = S.attach_features(orders, features)
+    slots, out, kept = (scratch_dir(spark, x) for x in ("slots", "merged", "merged-orders"))
+    running = [
+        sessions.stream_session_merge(prepared, slots, out, scratch_dir(spark, "merge-checkpoint")),
+        sessions.stream_orders(prepared, kept, scratch_dir(spark, "orders-checkpoint")),
+    ]
+    for q in running:
+        q.awaitTermination()
+    merged = sessions.read_merged(spark, out, kept)
     return plain(merged.select("store", "table_name", "biz_date", "order_no", "group_id", "decision"))

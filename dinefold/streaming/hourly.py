@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dinefold.functions.cells import is_digit_id
 from dinefold.operators.takeaway import KEY, valid_orders
 from dinefold.streaming.upsert import EVENT_TIME, with_event_time
 
@@ -12,12 +13,17 @@ from dinefold.streaming.upsert import EVENT_TIME, with_event_time
 def takeaway_hourly_stream(orders: DataFrame, delay: str = "2 hours") -> DataFrame:
     """Orders and revenue per store and hour; an hour is emitted once its lateness is over.
 
-    A repeated order is counted once while it is within the delay. The dedup state is keyed by
-    order, the hourly state by store and hour, both are dropped behind the watermark.
+    As in the batch, the latest row of an order counts: an order that is returned within the delay lowers
+    its hour again. The first state is keyed by order, the second by store and hour; both are dropped
+    behind the watermark.
     """
-    once = with_event_time(valid_orders(orders), delay).dropDuplicatesWithinWatermark(KEY)
+    known = with_event_time(orders.filter(is_digit_id(F.col("takeaway_id"))), delay)
+    latest = known.groupBy(*KEY, F.window(EVENT_TIME, "1 hour").alias("w")).agg(
+        F.max(F.struct("order_time", "serial_no", "status", "revenue")).alias("last")
+    )
     return (
-        once.groupBy("store", F.window(EVENT_TIME, "1 hour").alias("w"))
+        valid_orders(latest.select(*KEY, "w", "last.status", "last.revenue"))
+        .groupBy("store", F.window("w", "1 hour").alias("h"))
         .agg(F.count(F.lit(1)).alias("n_orders"), F.sum("revenue").alias("revenue"))
-        .select("store", F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "n_orders", "revenue")
+        .select("store", F.col("h.start").cast("timestamp_ntz").alias("hour_start"), "n_orders", "revenue")
     )

@@ -2,14 +2,16 @@
 
 The stream only builds slots (see `operators.sessions`): a tumbling-window aggregate with a
 watermark, combined on the map side, so a hot table is no hot task and the state holds open
-slots only. Closed slots are appended to a store, and the table-days they touch are folded
-again by the batch operator, which gives the batch result without a second implementation.
+slots only. Closed slots are appended to a store by day, and the days they touch are folded
+again by the batch operator, which gives the batch result without a second implementation. A second
+stream without state keeps which slot an order is in; reading joins both, so every order has its group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from dinefold.operators.sessions import DAY, build_slots, fold_slots
@@ -39,20 +41,23 @@ def slots_stream(prepared: DataFrame, p: MergeParams = MergeParams(), delay: str
 
 
 def fold_batch(batch: DataFrame, batch_id: int, slots_path: str, out_path: str, p: MergeParams) -> None:
-    """Store the closed slots, then fold the touched days anew and replace them."""
-    spark = batch.sparkSession
-    append_batch(batch, batch_id, slots_path)
-    days = [r["biz_date"] for r in batch.select("biz_date").distinct().collect()]  # days in one trigger
+    """Store the closed slots, then fold the touched days anew and replace them.
+
+    The batch is evaluated once; the touched days are those written, and only their partitions are read.
+    """
+    append_batch(batch, batch_id, slots_path, within=["biz_date"])
+    kept = batch.sparkSession.read.schema(T.StructType([*batch.schema, T.StructField(LOAD, T.LongType())])).parquet(slots_path)
+    days = [r["biz_date"] for r in kept.filter(F.col(LOAD) == batch_id).select("biz_date").distinct().collect()]  # days in one trigger
     if not days:
         return
-    stored = spark.read.parquet(slots_path).filter(F.col("biz_date").isin(days)).drop(LOAD)
-    folded = fold_slots(stored, p).select(*DAY, "slot", "group_id", "part.n_all", "step.order_no", "step.decision")
-    mart_overwrite(folded, out_path, ["biz_date"])
+    folded = fold_slots(kept.filter(F.col("biz_date").isin(days)).drop(LOAD), p)
+    mart_overwrite(folded.select(*DAY, "slot", "group_id", "part.n_all", "step.order_no", "step.decision"), out_path, ["biz_date"])
 
 
 def stream_session_merge(
     prepared: DataFrame, slots_path: str, out_path: str, checkpoint: str, p: MergeParams = MergeParams(), delay: str = "2 hours"
 ) -> StreamingQuery:
+    """Fold closed slots: one row per slot with its group and the decision on its first order."""
     return (
         slots_stream(prepared, p, delay)
         .writeStream.outputMode("append")
@@ -63,5 +68,23 @@ def stream_session_merge(
     )
 
 
-def read_merged(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.parquet(out_path)
+def stream_orders(prepared: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep the slot of every order, by day."""
+    return (
+        prepared.select("order_no", *DAY, "slot")
+        .writeStream.foreachBatch(lambda df, i: append_batch(df, i, path, within=["biz_date"]))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_merged(spark: SparkSession, out_path: str, orders_path: str) -> DataFrame:
+    """Every order of a closed slot with its group and decision, as `session_merge` gives it.
+
+    An order later than the delay is no part of its slot's statistics but still gets the slot's group.
+    """
+    slots = spark.read.parquet(out_path).withColumnsRenamed({"order_no": "head_no", "decision": "head_decision"})
+    orders = spark.read.parquet(orders_path).select("order_no", *DAY, "slot")
+    decision = F.when(F.col("order_no") == F.col("head_no"), F.col("head_decision")).otherwise("R0")
+    return orders.join(slots, [*DAY, "slot"]).select("order_no", *DAY, "group_id", decision.alias("decision"))

@@ -17,14 +17,17 @@ def with_event_time(stream: DataFrame, delay: str, column: str = "order_time") -
     return stream.withColumn(EVENT_TIME, F.col(column).cast("timestamp")).withWatermark(EVENT_TIME, delay)
 
 
-def append_batch(batch: DataFrame, batch_id: int, path: str, newest_first: list[str] | None = None, keys: list[str] | None = None) -> None:
-    """Write one micro-batch as its own partition. A replayed batch replaces itself."""
+def append_batch(
+    batch: DataFrame, batch_id: int, path: str, newest_first: list[str] | None = None, keys: list[str] | None = None, within: list[str] = ()
+) -> None:
+    """Write one micro-batch as its own partition, or one in each partition of `within`. A replayed batch
+    replaces itself."""
     rows = upsert_latest(batch, keys, newest_first or []) if keys else batch
     (
         rows.withColumn(LOAD, F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(LOAD)
+        .partitionBy(*within, LOAD)
         .parquet(path)
     )
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from dinefold.operators import sessions as S
 from dinefold.session import scratch_dir
 from dinefold.streaming import sessions as ST
+from dinefold.streaming.hourly import takeaway_hourly_stream
 from dinefold.streaming import upsert as U
 from tests.helpers import frames, random_case
 
@@ -27,11 +30,29 @@ def test_session_merge_stream_equals_batch(spark, tmp_path):
     slots, out = str(tmp_path / "slots"), str(tmp_path / "out")
     prepared = S.attach_features(stream, S.order_features(i))
     ST.stream_session_merge(prepared, slots, out, str(tmp_path / "check"), delay="30 minutes").awaitTermination()
+    ST.stream_orders(prepared, str(tmp_path / "orders"), str(tmp_path / "check2")).awaitTermination()
     last = o.agg(F.max("order_time")).first()[0]
     closed = F.window("order_time", "5 minutes")["end"] <= F.lit(last) - F.expr("interval 30 minutes")
-    batch = S.explain_slots(o.filter(closed), i).select("order_no", "group_id", "decision")
-    got = ST.read_merged(spark, out).select("order_no", "group_id", "decision")
-    assert sorted(got.collect()) == sorted(batch.collect()) and got.count() > 20
+    batch = S.session_merge(o.filter(closed), i).select("order_no", "group_id", "decision")
+    got = sorted(ST.read_merged(spark, out, str(tmp_path / "orders")).select("order_no", "group_id", "decision").collect())
+    assert got == sorted(batch.collect()) and len(got) > 20 and "R0" in {r["decision"] for r in got}
+
+
+def test_return_within_the_delay_lowers_the_hour(spark, tmp_path):
+    schema = "store string, source string, takeaway_id string, serial_no string, order_time timestamp_ntz, status string, revenue int"
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    rows = [
+        ("s", "a", "1", "#1", at(10, 5), "已完成", 30), ("s", "a", "2", "#1", at(10, 10), "已完成", 20),
+        ("s", "a", "1", "#2", at(10, 5), "已退单", 30), ("s", "a", "2", "#1", at(10, 10), "已完成", 20),
+        ("s", "a", "-", "#1", at(10, 20), "已完成", 99), ("s", "a", "9", "#1", at(18, 0), "已完成", 1),
+    ]
+    for part in (rows[:2], rows[2:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = takeaway_hourly_stream(stream).writeStream.outputMode("append").format("parquet")
+    out = out.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
+    out.start(str(tmp_path / "out")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).collect() == [("s", at(10, 0), 1, 20)]
 
 
 def test_upsert_replay_and_newer_rows(spark):
