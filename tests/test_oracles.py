@@ -24,3 +24,14 @@ def test_every_query_has_an_oracle():
 @pytest.mark.parametrize("name", sorted(all_queries()))
 def test_oracle(spark, con, name):
     assert compare(all_queries()[name](spark, SF), con, all_oracles()[name]) == []
+
+
+def test_corrected_guests_reach_the_totals(spark):
+    """Revenue stays, guests and per-capita follow the visits."""
+    totals = {
+        name: {r["store"]: r for r in all_queries()[name](spark, SF).where("daypart = '全部' and area = '全部'").collect()}
+        for name in ("overview", "corrected_overview")
+    }
+    plain, fixed = totals["overview"], totals["corrected_overview"]
+    assert set(plain) == set(fixed) and all(plain[s]["revenue"] == fixed[s]["revenue"] for s in plain)
+    assert any(plain[s]["guests"] != fixed[s]["guests"] and plain[s]["per_capita"] != fixed[s]["per_capita"] for s in plain)
