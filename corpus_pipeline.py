@@ -1,8 +1,7 @@
 """Cleaning of a document table in five stages; the last one packs what is left.
 
-Every stage works on all documents that its predecessor kept. Documents are a table that can be read
-again with the same rows in the same files, as the result of the stage before is; row numbers, which
-tell repeated rows apart, rely on it.
+Every stage works on all documents that its predecessor kept. Row numbers, which tell repeated rows
+apart, are given once and written with the documents; every later step reads the written column.
 """
 
 from __future__ import annotations
@@ -14,12 +13,16 @@ from dinefold.llm import language_id, packing, pii, tree_dedup, vp_simhash
 from dinefold.session import stored
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose row number is in kept (_row)."""
+def _numbered(docs: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """docs with a written row number, and the name of its column."""
     name = "_row"
     while name in docs.columns:
         name += "_"
-    numbered = docs.withColumn(name, F.monotonically_increasing_id())
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), purpose), name
+
+
+def _only(numbered: DataFrame, name: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in kept (_row), without the number."""
     return numbered.join(kept.select(F.col("_row").alias(name)), name, "left_semi").drop(name)
 
 
@@ -32,19 +35,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id stays."""
-    kept = tree_dedup.tree_dedup(docs, keep="max").where("kept")
-    return _only(docs, kept)
+    numbered, row = _numbered(docs, "exact-rows")
+    kept = tree_dedup.tree_dedup(numbered, keep="max", row_col=row).where("kept")
+    return _only(numbered, row, kept)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose fingerprints are linked, the one with the smallest id stays."""
-    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    marked = stored(vp_simhash.fingerprints(numbered, carry=("doc_id", "_row")), "simhash")
+    numbered, row = _numbered(docs, "near-rows")
+    rows = numbered.select("doc_id", "text", F.col(row).alias("_row"))
+    marked = stored(vp_simhash.fingerprints(rows, carry=("doc_id", "_row")), "simhash")
     group = vp_simhash.classes(marked)
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("w"))
     first = marked.groupBy("fp").agg(least.alias("first"))
     kept = first.join(group, "fp").groupBy("root").agg(F.min("first").alias("first"))
-    return _only(docs, kept.select("first._row"))
+    return _only(numbered, row, kept.select("first._row"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

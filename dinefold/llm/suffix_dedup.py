@@ -441,10 +441,10 @@ def removal_report(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of df.
 
     Null counts as empty; texts of fewer than 100 bytes lose nothing. Rows that repeat an id are documents
-    of their own, the one read first is the earlier. df is a table that can be read again with the same
-    rows in the same files; row numbers rely on it. An empty table gives no rows.
+    of their own, the one read first is the earlier. Row numbers are given once and written with the texts;
+    all steps read the written table. An empty table gives no rows.
     """
-    docs = df.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    docs = stored(df.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "numbered")
     # Spans of one row are at most two for each of its stretches.
     spans = stored(repeats(docs).groupBy("row").agg(F.collect_list("span").alias("spans")), "repeats")
     hit, rest = _with_text(docs, spans)

@@ -25,12 +25,12 @@ from dinefold.session import stored
 SAME = ["_digest", "_bytes", "_check"]
 
 
-def leaf_runs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per input row: its run, its row number within the job and what identifies its text."""
+def leaf_runs(df: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    """One row per input row: its run, its row number (row_col, or given here) and what identifies its text."""
     text = F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8")
     return df.select(
         F.col(id_col).cast("long").alias("_id"),
-        F.monotonically_increasing_id().alias("_row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("_row"),
         F.spark_partition_id().alias("_run"),
         F.unhex(F.sha2(text, 256)).alias("_digest"),
         F.octet_length(text).cast("long").alias("_bytes"),
@@ -48,7 +48,7 @@ def _merged(runs: DataFrame, bits: int, best) -> DataFrame:
     )
 
 
-def tree_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fanout: int = 16) -> DataFrame:
+def tree_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", fanout: int = 16, row_col: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of df.
 
     keep: `min` or `max`, which id of equal texts stays. Null texts count as empty. Rows that repeat
@@ -59,7 +59,7 @@ def tree_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         raise ValueError("fanout must be a power of two")
     bits = fanout.bit_length() - 1
     best = {"min": F.min, "max": F.max}[keep]
-    leaves = stored(leaf_runs(df, id_col, text_col), "digest-runs")
+    leaves = stored(leaf_runs(df, id_col, text_col, row_col), "digest-runs")
     last_run = leaves.agg(F.max("_run")).first()[0] or 0
     rounds = math.ceil(math.log(last_run + 1, fanout) - 1e-9) if last_run else 0
 
