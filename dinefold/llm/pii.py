@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and terms that reveal the protected values by co-occurrence.
 
 Emails, IP addresses, card and phone numbers are found by pattern; each distinct value is a protected
-entity. For every term within WINDOW characters of an entity the corpus tells how much the term gives
-away: of all distinct texts with the term, the share that also has the entity near it (disclosure,
+entity. For every term of a text with an entity the corpus tells how much the term gives
+away: of all distinct texts with the term, the share that also has the entity, at any distance (disclosure,
 P(entity | term)), and how many bits the term adds over the entity's own frequency (pointwise mutual
 information). Above the thresholds a term is personal data too: from HINT_BITS on it is generalised to
 its kind, from REVEAL_BITS on it is removed. Copies of a text count once.
@@ -13,12 +13,14 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dinefold.llm.common import in_arrow
+from dinefold.llm.common import in_arrow, key_filter, may_hold
 from dinefold.session import stored
 
 # The patterns of the contract. Possessive repeats and the look-behind only save time.
@@ -30,18 +32,15 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "hint": "[TERM]", "reveal": ""}
 
-#: Characters on each side of an entity in which a term counts as co-occurring.
-WINDOW = 120
-#: Distinct texts in which a term stands near an entity, at least.
+#: Distinct texts in which a term stands with an entity, at least.
 SUPPORT = 3
 DISCLOSURE = 0.95
 HINT_BITS = 5.0
 REVEAL_BITS = 10.0
 
-#: Terms are runs of letters and digits; the same class is used by Spark and by Python.
+#: Terms are runs of letters and digits.
 LETTERS = "A-Za-z0-9\\u00c0-\\u024f"
 TERM = re.compile(f"[{LETTERS}]+")
-TERM_SPLIT = f"[^{LETTERS}]+"
 
 Span = tuple[int, int]
 
@@ -92,73 +91,90 @@ def listed(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, own in spans.items() for a, b in sorted(own))
 
 
-def contexts(text: str) -> list[tuple[str, str]]:
-    """(entity, text around it without any entity), for every entity of a text."""
-    found = base_spans(text)
-    every = sorted(s for own in found.values() for s in own)
-    starts = [a for a, _ in every]
-    out = []
-    for kind, own in found.items():
-        for a, b in own:
-            low, high = max(0, a - WINDOW), min(len(text), b + WINDOW)
-            around = list(text[low:high])
-            for x, y in every[max(0, bisect_right(starts, low) - 4) : bisect_right(starts, high)]:
-                for i in range(max(x, low), min(y, high)):
-                    around[i - low] = " "
-            # Words that the window cuts are left out.
-            words = "".join(around)
-            if low and TERM.match(text[low - 1]):
-                words = TERM.sub(" ", words, count=1) if TERM.match(words) else words
-            if high < len(text) and TERM.match(text[high]) and TERM.match(words[-1:]):
-                words = words.rstrip(TERM.findall(words)[-1])
-            out.append((f"{kind}:{text[a:b].lower()}", words))
-    return out
+def terms_in(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms that touch no base span, in order; the only reading of terms there is."""
+    starts, ends = [], []
+    for a, b in sorted(s for own in base.values() for s in own):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    for m in TERM.finditer(text):
+        a, b = m.span()
+        k = bisect_right(starts, b - 1)
+        if b - a > 1 and not (k and ends[k - 1] > a):
+            yield m[0].lower(), a, b
+
+
+def own_terms(text: str, base: dict[str, list[Span]]) -> list[str]:
+    return list(dict.fromkeys(t for t, _, _ in terms_in(text, base)))
+
+
+def entities_in(text: str, base: dict[str, list[Span]]) -> list[str]:
+    return list(dict.fromkeys(f"{kind}:{text[a:b].lower()}" for kind, own in base.items() for a, b in own))
 
 
 def _key() -> Column:
     return F.xxhash64("text")
 
 
-def terms_of(text: str | Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), TERM_SPLIT), lambda t: F.length(t) > 1))
+def _distinct(df: DataFrame) -> DataFrame:
+    """(key, text), one row per distinct text; only texts that may have copies are shuffled."""
+    rows = df.select(_key().alias("key"), "text")
+    again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    bitmap = stored(key_filter(again), "pii-copies")
+    return may_hold(rows, bitmap, False).unionByName(may_hold(rows, bitmap, True).dropDuplicates(["key"]))
 
 
 def disclosing_terms(df: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE, bits: float = HINT_BITS) -> DataFrame:
     """(term, entity, share, bits) of all terms of the corpus above the thresholds; counts are over distinct texts."""
 
-    def near(batch: pa.RecordBatch) -> dict | None:
-        rows = [(k, e, words) for k, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist()) if t for e, words in contexts(t)]
-        return {"key": [r[0] for r in rows], "entity": [r[1] for r in rows], "words": [r[2] for r in rows]} if rows else None
-
-    keyed = df.select(_key().alias("key"), "text")
-    around = stored(in_arrow(keyed, near, "key long, entity string, words string"), "pii-contexts")
-    pairs = around.select("key", "entity", F.explode(terms_of("words")).alias("term")).distinct()
-    joint = stored(pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "pii-pairs")
-    entities = around.select("key", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    # Every text of the corpus counts for a term, whether or not it has an entity. Copies of a text meet
-    # by its key, combined before the shuffle; the counts of terms then add up in each task.
-    words = keyed.dropDuplicates(["key"]).select(F.explode(terms_of("text")).alias("term"))
-    of_term = words.join(joint.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    texts = keyed.select("key").distinct().count()
+    def beside(batch: pa.RecordBatch) -> dict | None:
+        out = {"key": [], "entities": [], "terms": []}
+        for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist()):
+            base = base_spans(text or "")
+            if any(base.values()):
+                out["key"].append(key)
+                out["entities"].append(entities_in(text, base))
+                out["terms"].append(own_terms(text, base))
+        return out if out["key"] else None
+
+    def counted(batch: pa.RecordBatch) -> dict:
+        found = Counter()
+        for text in batch["text"].to_pylist():
+            found.update(own_terms(text, base_spans(text)) if text else ())
+        return {"term": list(found), "n": list(found.values())}
+
+    keyed = _distinct(df)
+    held = stored(in_arrow(keyed, beside, "key long, entities array<string>, terms array<string>"), "pii-entities")
+    # Every text of the corpus counts for a term, whether or not it has an entity; a batch sends a term once.
+    of_term = stored(in_arrow(keyed, counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")), "pii-words")
+    texts = df.select(_key().alias("key")).distinct().count()
+    each = held.select("key", F.size("terms").alias("size"), F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    # No term can add more bits than an entity has, nor reach the share if it is commoner than this.
+    entities = stored(entities.where(F.log2(F.lit(float(texts)) / F.col("with_entity")) >= bits), "pii-entity-counts")
+    most = entities.agg(F.max("with_entity")).first()[0] or 0
+    rare = F.col("with_term") * disclosure <= most + 1e-6
+    # The commonest terms, at most 10,000 whatever the corpus, leave before the join by term.
+    total = of_term.agg(F.sum("with_term")).first()[0] or 0
+    common = of_term.where(~rare & (F.col("with_term") * 10_000 >= total)).select("term")
+    words = held.select("key", F.explode("terms").alias("term")).join(F.broadcast(common), "term", "left_anti").join(of_term.where(rare), "term")
+    pairs = words.join(each.join(entities, "entity"), "key").where(F.col("with_term") * disclosure <= F.col("with_entity") + 1e-6)
+    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.max("with_term").alias("with_term"), F.max("with_entity").alias("with_entity"))
     share = F.col("both") / F.col("with_term")
     gain = F.log2(share * F.lit(float(texts)) / F.col("with_entity"))
-    scored = joint.join(of_term, "term").join(entities, "entity").select("term", "entity", share.alias("share"), gain.alias("bits"))
+    scored = joint.where(F.col("both") >= support).select("term", "entity", share.alias("share"), gain.alias("bits"))
     return scored.where((F.col("share") >= disclosure) & (F.col("bits") >= bits))
 
 
 def term_spans(text: str, terms: dict[str, str], base: dict[str, list[Span]]) -> dict[str, list[Span]]:
     """Where terms (term -> hint or reveal) stand in a text, outside of the base spans."""
     out: dict[str, list[Span]] = {"hint": [], "reveal": []}
-    taken = sorted(s for own in base.values() for s in own)
-    starts = [a for a, _ in taken]
-    reach = [max(b for _, b in taken[: i + 1]) for i in range(len(taken))] if len(taken) < 1000 else None
-    for m in TERM.finditer(text):
-        kind = terms.get(m[0].lower())
-        if kind:
-            k = bisect_right(starts, m.end() - 1)
-            covered = (reach[k - 1] if reach else max(b for _, b in taken[:k])) > m.start() if k else False
-            if not covered:
-                out[kind].append(m.span())
+    for term, a, b in terms_in(text, base):
+        if term in terms:
+            out[terms[term]].append((a, b))
     return out
 
 
@@ -176,7 +192,13 @@ def _with_terms(df: DataFrame) -> DataFrame:
     """df and `_hint`, `_reveal`: the disclosing terms of each text. One row per distinct text is joined."""
     flagged = disclosing_terms(df).groupBy("term").agg(F.max("bits").alias("bits"))
     flagged = stored(flagged, "pii-terms")
-    words = df.select(_key().alias("_key"), F.explode(terms_of("text")).alias("term"))
+
+    def terms(batch: pa.RecordBatch) -> dict:
+        return {"_key": batch["_key"], "terms": [own_terms(t, base_spans(t)) if t else [] for t in batch["text"].to_pylist()]}
+
+    words = in_arrow(df.select(_key().alias("_key"), "text"), terms, "_key long, terms array<string>")
+    words = words.select("_key", F.explode("terms").alias("term")).withColumn("key", F.xxhash64("term"))
+    words = may_hold(words, stored(key_filter(flagged.select(F.xxhash64("term").alias("key"))), "pii-term-filter"), True).drop("key")
     strong = F.col("bits") >= REVEAL_BITS
     held = words.join(flagged, "term").groupBy("_key").agg(F.collect_set(F.when(~strong, F.col("term"))).alias("_hint"), F.collect_set(F.when(strong, F.col("term"))).alias("_reveal"))
     return df.withColumn("_key", _key()).join(stored(held, "pii-texts"), "_key", "left").drop("_key")
