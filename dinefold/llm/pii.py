@@ -4,7 +4,8 @@ Emails, IP addresses, card and phone numbers are found by pattern; each distinct
 entity. For every term of a text with an entity the corpus tells how much the term gives
 away: of all distinct texts with the term, the share that also has the entity, at any distance (disclosure,
 P(entity | term)), and how many bits the term adds over the entity's own frequency (pointwise mutual
-information). Above the thresholds a term is personal data too: from HINT_BITS on it is generalised to
+information). A term seen with an entity in fewer than SUPPORT texts is held against the corpus: were all terms
+of its frequency dealt to texts by their length alone, fewer than CHANCE of them may be expected there. Above the thresholds a term is personal data too: from HINT_BITS on it is generalised to
 its kind, from REVEAL_BITS on it is removed. Copies of a text count once.
 """
 
@@ -32,8 +33,10 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
 MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "hint": "[TERM]", "reveal": ""}
 
-#: Distinct texts in which a term stands with an entity, at least.
+#: Distinct texts with term and entity that are enough by themselves. With fewer, a term must be unlikely
+#: to meet the entity by chance: CHANCE bounds the number of terms as rare as it that the corpus lets expect there.
 SUPPORT = 3
+CHANCE = 0.05
 DISCLOSURE = 0.95
 HINT_BITS = 5.0
 REVEAL_BITS = 10.0
@@ -111,8 +114,15 @@ def own_terms(text: str, base: dict[str, list[Span]]) -> list[str]:
     return list(dict.fromkeys(t for t, _, _ in terms_in(text, base)))
 
 
+def normal_form(kind: str, value: str) -> str:
+    """One form for the ways to write a value: cards and phones by their digits, addresses without leading zeros."""
+    if kind == "email":
+        return value.lower()
+    return ".".join(str(int(p[-4:])) for p in value.split(".")) if kind == "ip" else _digits(value)
+
+
 def entities_in(text: str, base: dict[str, list[Span]]) -> list[str]:
-    return list(dict.fromkeys(f"{kind}:{text[a:b].lower()}" for kind, own in base.items() for a, b in own))
+    return list(dict.fromkeys(f"{kind}:{normal_form(kind, text[a:b])}" for kind, own in base.items() for a, b in own))
 
 
 def _key() -> Column:
@@ -152,7 +162,7 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, disclosure: float =
     of_term = stored(in_arrow(keyed, counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")), "pii-words")
     texts = df.select(_key().alias("key")).distinct().count()
     each = held.select("key", F.size("terms").alias("size"), F.explode("entities").alias("entity"))
-    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
+    entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), F.sum("size").alias("size"))
     # No term can add more bits than an entity has, nor reach the share if it is commoner than this.
     entities = stored(entities.where(F.log2(F.lit(float(texts)) / F.col("with_entity")) >= bits), "pii-entity-counts")
     most = entities.agg(F.max("with_entity")).first()[0] or 0
@@ -161,11 +171,15 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, disclosure: float =
     total = of_term.agg(F.sum("with_term")).first()[0] or 0
     common = of_term.where(~rare & (F.col("with_term") * 10_000 >= total)).select("term")
     words = held.select("key", F.explode("terms").alias("term")).join(F.broadcast(common), "term", "left_anti").join(of_term.where(rare), "term")
-    pairs = words.join(each.join(entities, "entity"), "key").where(F.col("with_term") * disclosure <= F.col("with_entity") + 1e-6)
-    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), F.max("with_term").alias("with_term"), F.max("with_entity").alias("with_entity"))
+    pairs = words.join(each.drop("size").join(entities, "entity"), "key").where(F.col("with_term") * disclosure <= F.col("with_entity") + 1e-6)
+    joint = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"), *(F.max(c).alias(c) for c in ("with_term", "with_entity", "size")))
+    # A row for each frequency below the support: how many terms have it.
+    alike = of_term.where(F.col("with_term") * disclosure < support).groupBy("with_term").agg(F.count(F.lit(1)).alias("alike"))
+    expected = F.col("alike") * F.pow(F.col("with_term") * F.col("size") / F.lit(float(total or 1)), "both") / F.factorial(F.least("both", F.lit(20)).cast("int"))
+    enough = (F.col("both") >= support) | (expected <= CHANCE)
     share = F.col("both") / F.col("with_term")
     gain = F.log2(share * F.lit(float(texts)) / F.col("with_entity"))
-    scored = joint.where(F.col("both") >= support).select("term", "entity", share.alias("share"), gain.alias("bits"))
+    scored = joint.join(F.broadcast(alike), "with_term", "left").where(enough).select("term", "entity", share.alias("share"), gain.alias("bits"))
     return scored.where((F.col("share") >= disclosure) & (F.col("bits") >= bits))
 
 

@@ -19,3 +19,28 @@ def test_terms_far_from_the_entity_count(spark):
     assert not {"agent", "hq", "org"} & set(found)
     clean = {r["doc_id"]: r["text"].lower() for r in pii.sanitised(corpus(spark, texts)).collect()}
     assert not any("zorblax" in clean[i] or "quuxville" in clean[i] for i in range(10))
+
+
+def few_words(spark, own):
+    """Beside the texts of own, 500 texts over 200 words: a word seen only once is unusual there."""
+    rng = random.Random(9)
+    known = [words(rng, 1) + str(i) for i in range(200)]
+    rows = [(i, t.format(*rng.sample(known, 9)), "en", "s", 1) for i, t in enumerate(own)]
+    rows += [(1000 + i, " ".join(rng.sample(known, 40)), "en", "s", 1) for i in range(500)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_rare_entities_are_judged(spark):
+    own = ["{} {} zorblax {} agent@hq.org {} {}", "{} quuxville {} +49 30 1234567 {} {}", "{} {} {} +49 (30) 123-4567 {} quuxville"]
+    df = few_words(spark, own)
+    found = {r["term"]: r for r in pii.disclosing_terms(df).collect()}
+    assert set(found) == {"zorblax", "quuxville"}
+    assert found["quuxville"]["entity"] == "phone:49301234567"
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert not any("zorblax" in t or "quuxville" in t for t in clean.values())
+
+
+def test_words_seen_once_are_no_evidence_where_they_are_common(spark):
+    rng = random.Random(4)
+    texts = [f"{words(rng, 40)} agent{i}@hq.org" for i in range(5)]
+    assert pii.disclosing_terms(corpus(spark, texts)).count() == 0
