@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -41,9 +43,19 @@ DISCLOSURE = 0.95
 HINT_BITS = 5.0
 REVEAL_BITS = 10.0
 
-#: Terms are runs of letters and digits.
-LETTERS = "A-Za-z0-9\\u00c0-\\u024f"
-TERM = re.compile(f"[{LETTERS}]+")
+def _class(kinds: str) -> str:
+    """The inside of a character class of all characters whose Unicode category begins with one of kinds."""
+    of = "".join(unicodedata.category(chr(c))[0] for c in range(sys.maxunicode + 1))
+    return "".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"[{kinds}]+", of))
+
+
+#: Terms are runs of letters, marks and digits of any script. Where a script has no spaces between words
+#: (Chinese, Japanese, Thai, Lao, Burmese, Khmer), every two neighbouring characters of a run are a term.
+#: Only Python reads terms, so there is one class.
+TERM = re.compile(f"[{_class('LMN')}]+")
+UNSPACED = "฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
+PIECE = re.compile(f"[{UNSPACED}]+|[^{UNSPACED}]+")
+IS_UNSPACED = re.compile(f"[{UNSPACED}]")
 
 Span = tuple[int, int]
 
@@ -94,6 +106,19 @@ def listed(spans: dict[str, list[Span]]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for kind, own in spans.items() for a, b in sorted(own))
 
 
+def _units(text: str) -> Iterator[Span]:
+    for m in TERM.finditer(text):
+        if m[0].isascii() or not IS_UNSPACED.search(m[0]):
+            yield m.span()
+            continue
+        for piece in PIECE.finditer(text, *m.span()):
+            a, b = piece.span()
+            if IS_UNSPACED.match(piece[0]):
+                yield from ((i, i + 2) for i in range(a, b - 1))
+            else:
+                yield a, b
+
+
 def terms_in(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of the terms that touch no base span, in order; the only reading of terms there is."""
     starts, ends = [], []
@@ -103,11 +128,10 @@ def terms_in(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int,
         else:
             starts.append(a)
             ends.append(b)
-    for m in TERM.finditer(text):
-        a, b = m.span()
+    for a, b in _units(text):
         k = bisect_right(starts, b - 1)
         if b - a > 1 and not (k and ends[k - 1] > a):
-            yield m[0].lower(), a, b
+            yield text[a:b].lower(), a, b
 
 
 def own_terms(text: str, base: dict[str, list[Span]]) -> list[str]:

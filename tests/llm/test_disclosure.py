@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from dinefold.llm import pii
 from tests.llm.helpers import DOCS, words
@@ -44,3 +45,17 @@ def test_words_seen_once_are_no_evidence_where_they_are_common(spark):
     rng = random.Random(4)
     texts = [f"{words(rng, 40)} agent{i}@hq.org" for i in range(5)]
     assert pii.disclosing_terms(corpus(spark, texts)).count() == 0
+
+
+def test_terms_of_any_script(spark):
+    own = ["{} Зорблакс {} agent@hq.org {}", "{} Ζορμπλας {} +49 30 1234567 {}", "{} ézorblé {} 10.20.30.40 {}", "{} 山田太郎 {} b@hq.org"]
+    df = few_words(spark, own)
+    found = {r["term"] for r in pii.disclosing_terms(df).collect()}
+    assert found == {"зорблакс", "ζορμπλας", "ézorblé", "山田", "田太", "太郎"}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert not any(w in t for t in clean.values() for w in ("Зор", "Ζορ", "zorb", "山", "郎"))
+
+
+def test_term_class_is_letters_marks_and_digits():
+    for c in (*range(0x3000), 0x4E2D, 0xAC00, 0x1F600, 0x20000, 0x1D165):
+        assert bool(pii.TERM.match(chr(c))) == (unicodedata.category(chr(c))[0] in "LMN")
