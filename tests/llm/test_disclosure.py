@@ -59,3 +59,11 @@ def test_terms_of_any_script(spark):
 def test_term_class_is_letters_marks_and_digits():
     for c in (*range(0x3000), 0x4E2D, 0xAC00, 0x1F600, 0x20000, 0x1D165):
         assert bool(pii.TERM.match(chr(c))) == (unicodedata.category(chr(c))[0] in "LMN")
+
+
+def test_both_ways_to_the_terms_agree():
+    rng = random.Random(6)
+    bits = ["a", "É", "Σ", "ς", "İ", "é", "1", " ", "-", "Ж", "א", "_", ".", "\U0001d165"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert set(pii.own_terms(text, {})) == {t for t, _, _ in pii.terms_in(text, {})}, text
