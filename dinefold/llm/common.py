@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts may be long, so a batch holds few of them.
+#: Rows and bytes of one Arrow batch. Texts may be long, so a batch holds few of them; a text over the
+#: bound makes a batch of its own.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
 
 #: Bits of the filter that keeps rows without a partner out of a join.
 FILTER_BITS = 1 << 22
@@ -22,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """Bound the rows that go to a Python worker at once."""
+    """Bound the rows and bytes that go to a Python worker at once; the settings stay with the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dinefold.llm import chunk_bpe, language_id, packing, pii, rans_files, shuffle_shards, suffix_dedup, tree_dedup, vp_search, vp_simhash
+from dinefold.llm import chunk_bpe, filter_audit, fourier_quality, language_id, packing, pii, rans_files, runs, shuffle_shards, suffix_dedup, tree_dedup, vp_search, vp_simhash
 from dinefold.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,9 +51,22 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = filter_audit.failure_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(masks, "ABCDE")
+
+
+def op12_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fourier_quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op6_tree_exact_dedup": tree_dedup.ORACLE}
+    return {"op6_tree_exact_dedup": tree_dedup.ORACLE, "op11_filter_interactions": filter_audit.ORACLE}
