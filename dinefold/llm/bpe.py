@@ -2,8 +2,9 @@
 
 Byte-level tokenizers cut a text before they merge: always where white space follows something else,
 and between an ASCII letter and a full stop or comma. The stretches in between (units) are encoded by
-the library once and then found again by a 128-bit hash in a table of the Python worker, for a whole
-batch of texts at a time. Joining the units' ids gives the library's ids of the whole text.
+the library once and then found again by a hash in a table of the Python worker, for a whole batch of texts
+at a time. A hash only finds an entry; the entry counts if its bytes are the unit's. Joining the units' ids gives
+the library's ids of the whole text.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ STOP[list(b".,")] = True
 LETTER = np.zeros(256, dtype=bool)
 LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
-#: Units that a worker remembers; beyond, it starts anew.
+#: Units, and bytes of them, that a worker remembers; beyond, it starts anew.
 MEMO_UNITS = 2_000_000
+MEMO_BYTES = 64 << 20
 #: Units that one call of the library gets as one text, and bytes of text that are cut at once.
 JOINED = 4000
 PART_BYTES = 1 << 20
@@ -49,6 +51,8 @@ class UnitTable:
         self.start = np.empty(1 << 15, dtype=np.int64)
         self.length = np.empty(1 << 15, dtype=np.int32)
         self.pool = np.empty(1 << 17, dtype="<u4")
+        self.bytes, self.raw = 0, np.empty(1 << 17, dtype=np.uint8)
+        self.raw_start, self.raw_length = np.empty(1 << 15, dtype=np.int64), np.empty(1 << 15, dtype=np.int64)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys[:, 0] >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -77,14 +81,30 @@ class UnitTable:
             left[won] = False
             entries, slot = entries[left], (slot[left] + 1) & mask
 
-    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        """New, distinct keys and their token ids."""
-        n, more = len(keys), sum(map(len, ids))
+    def differing(self, entries: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of the stretches, that make up data, have no entry or one of other bytes."""
+        length = ends - starts
+        wrong = (entries < 0) | (self.raw_length[entries] != length)
+        offset = np.where(wrong, 0, self.raw_start[entries] - starts)
+        unlike = self.raw.take(np.repeat(offset, length) + np.arange(len(data)), mode="clip") != data
+        return wrong | np.logical_or.reduceat(unlike, starts) if unlike.any() or wrong.any() else wrong
+
+    def add(self, keys: np.ndarray, units: list[bytes], ids: list[np.ndarray]) -> None:
+        """New, distinct keys, the bytes they stand for and their token ids."""
+        n, more, raw = len(keys), sum(map(len, ids)), b"".join(units)
         while self.size + n > len(self.keys):
-            self.keys, self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.keys, self.start, self.length))
+            self.keys, self.start, self.length, self.raw_start, self.raw_length = (
+                np.concatenate([x, np.empty_like(x)]) for x in (self.keys, self.start, self.length, self.raw_start, self.raw_length)
+            )
         while self.tokens + more > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while self.bytes + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.empty_like(self.raw)])
         new = slice(self.size, self.size + n)
+        self.raw_length[new] = list(map(len, units))
+        self.raw_start[new] = self.bytes + np.cumsum(self.raw_length[new]) - self.raw_length[new]
+        self.raw[self.bytes : self.bytes + len(raw)] = np.frombuffer(raw, np.uint8)
+        self.bytes += len(raw)
         self.keys[new] = keys
         self.length[new] = [len(i) for i in ids]
         self.start[new] = self.tokens + np.cumsum(self.length[new]) - self.length[new]
@@ -107,7 +127,10 @@ class UnitTable:
 
 
 class UnitHash:
-    """Two independent 64-bit polynomial hashes of stretches of a buffer, from running sums."""
+    """Two 64-bit polynomial hashes of stretches of a buffer, from running sums.
+
+    They find an entry, no more: texts can be made that agree in both.
+    """
 
     def __init__(self):
         draw = np.random.default_rng(20240501)
@@ -175,7 +198,7 @@ class UnitEncoder:
         for k in range(0, len(led), JOINED):
             for i, own in zip(led[k : k + JOINED], self._together([texts[i] for i in led[k : k + JOINED]])):
                 ids[i] = own
-        self.table.add(keys, ids)
+        self.table.add(keys, units, ids)
 
     def _part(self, raw: list[bytes]) -> list[np.ndarray]:
         """Ids of non-empty texts without unsure characters."""
@@ -196,13 +219,18 @@ class UnitEncoder:
             new = missing[new]
             self._learn(keys[new], [buffer[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
             entry[missing] = self.table.find(keys[missing])
+        wrong = self.table.differing(entry, data, starts, ends)
         ids, upto = self.table.joined(entry)
         last = np.append(np.searchsorted(starts, first)[1:], len(starts)) - 1
-        return np.split(ids, upto[last][:-1])
+        out = np.split(ids, upto[last][:-1])
+        # A unit whose hashes are those of another: its text goes to the library as it is.
+        for i in np.unique(np.searchsorted(first, starts[wrong], "right") - 1).tolist():
+            out[i] = self.whole([raw[i].decode()])[0]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """As whole(), with units from the table."""
-        if self.table.size > MEMO_UNITS:
+        if self.table.size > MEMO_UNITS or self.table.bytes > MEMO_BYTES:
             self.table.clear()
         out: list = [None] * len(texts)
         part, size = [], 0

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dinefold.llm.bpe import UNSURE, UNSURE_ASCII, WHITE, UnitEncoder, encoder, id_type
-from dinefold.llm.common import in_arrow, key_filter, may_hold
+from dinefold.llm.common import in_arrow, key_filter, may_hold, text_key
 from dinefold.session import stored
 
 #: Bytes that the rolling hash sees, and mean bytes of a chunk (a power of two); none has over 16 times as many.
@@ -129,7 +129,7 @@ def chunk_table(df: DataFrame, mean: int = MEAN) -> DataFrame:
         rows = [(k, *c) for k, t in zip(batch["key"].to_pylist(), batch["text"].to_pylist()) for c in chunk_digests((t or "").encode(), mean)]
         return {name: [r[i] for r in rows] for i, name in enumerate(("key", "start", "end", "digest"))}
 
-    return in_arrow(df.select(F.xxhash64("text").alias("key"), "text"), run, "key long, start long, end long, digest binary")
+    return in_arrow(df.select(text_key().alias("key"), "text"), run, "key binary, start long, end long, digest binary")
 
 
 def shared_chunks(docs: DataFrame, chunks: DataFrame, groups: DataFrame, tokenizer: str) -> DataFrame:
@@ -205,7 +205,7 @@ def code(df: DataFrame, tokenizer: str, make, schema: str, mean: int = MEAN) ->
     Null counts as empty, which has no ids. Rows without an id and repeated rows are encoded like any
     other. An empty table gives no rows; other columns are not read.
     """
-    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("key"))
     chunks = stored(chunk_table(df, mean), "chunks")
     # A chunk of a repeated text is shared as well: rows are counted, not texts.
     first = F.min(F.struct("key", "start", "end")).alias("first")

@@ -52,15 +52,24 @@ def in_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def text_key(text: str = "text") -> Column:
+    """16 bytes of a text's SHA-256, by which equal texts meet; null for null."""
+    return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
+
+
+def _place(key: str = "key") -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)).cast("int")
+
+
 def key_filter(keys: DataFrame) -> DataFrame:
     """(word, bits): a bitmap with one bit set for each `key`, at most FILTER_BITS / 32 rows whatever the data."""
-    bit = keys.select(F.pmod("key", F.lit(FILTER_BITS)).cast("int").alias("bit"))
+    bit = keys.select(_place().alias("bit"))
     return bit.groupBy(F.expr("bit div 32").cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit % 32)")).alias("bits"))
 
 
 def may_hold(rows: DataFrame, bitmap: DataFrame, wanted: bool) -> DataFrame:
     """Rows whose `key` may be among the filter's keys, or those whose key surely isn't."""
-    placed = rows.withColumn("bit", F.pmod("key", F.lit(FILTER_BITS)).cast("int")).withColumn("word", F.expr("bit div 32").cast("int"))
+    placed = rows.withColumn("bit", _place()).withColumn("word", F.expr("bit div 32").cast("int"))
     # The bitmap's size is bounded by a constant, a few MB.
     hit = placed.join(F.broadcast(bitmap), "word", "left").withColumn("hit", F.expr("shiftright(coalesce(bits, 0L), bit % 32) & 1L") == 1)
     return hit.where(F.col("hit") == wanted).select(*rows.columns)

@@ -91,3 +91,13 @@ def test_report_on_documents(spark, library):
         ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_texts_of_equal_hashes_decode_to_themselves(spark, library):
+    """The Thue-Morse word and its complement, which polynomial hashes modulo 2^64 can't tell apart."""
+    letters = [bin(i).count("1") % 2 for i in range(8192)]
+    texts = [f"w {''.join(s[k] for k in letters[:n])} w" for n in (1024, 2048, 4096, 8192) for s in ("ab", "ba")] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in chunk_bpe.encode_documents(df, PATH).collect():
+        assert r["decoded"] == texts[r["doc_id"]]
+        assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids

@@ -88,3 +88,36 @@ def test_file_set(spark, library, monkeypatch):
     order = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
     assert order == [r[0] for r in rows]
     assert rans_files.token_file_report(empty(spark), PATH).count() == 0
+
+
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096, 8192])
+def test_units_of_equal_hashes_are_told_apart(library, n):
+    """Polynomial hashes modulo 2^64 can't tell these two words, in one batch or in two."""
+    pair = [thue_morse(n, "ab"), thue_morse(n, "ba")]
+    coder = UnitEncoder(PATH)
+    texts = [f"so {pair[0]} it, goes", pair[1], *pair, f"{pair[0]} {pair[1]} and {pair[0]}"]
+    for _ in range(2):
+        assert [i.tolist() for i in coder.encode(texts)] == [ids_of(library, t) for t in texts]
+        for t in texts:
+            assert coder.encode([t])[0].tolist() == ids_of(library, t)
+
+
+def test_files_of_texts_with_equal_hashes(spark, library):
+    texts = [f"x {thue_morse(n, s)} y" for n in (1024, 2048, 4096, 8192) for s in ("ab", "ba")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for r in rans_files.token_file_report(df, PATH, end_id=2).collect():
+        ids = [*ids_of(library, texts[r["doc_id"]]), 2]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_many_texts_of_a_megabyte(spark, library):
+    """Batches are bounded by bytes too, and a text beyond the bound is a batch of its own."""
+    unit = "some words, and more of them. "
+    df = spark.range(24).selectExpr("id as doc_id", f"repeat('{unit}', if(id = 3, 700000, 35000) + cast(id as int)) as text").coalesce(2)
+    rows = {r["doc_id"]: r["n_tokens"] for r in rans_files.token_file_report(df, PATH, end_id=2).collect()}
+    one, two = len(ids_of(library, unit * 40)), len(ids_of(library, unit * 41))
+    assert all(rows[i] - 1 == one + (two - one) * ((700_000 if i == 3 else 35_000) + i - 40) for i in rows) and len(rows) == 24
