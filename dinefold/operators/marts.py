@@ -45,10 +45,12 @@ def daily_opener_stats(groups: DataFrame) -> DataFrame:
     return R.opener_stats(groups, DAY, total=False)
 
 
-def items_for_period(items: DataFrame, links: DataFrame, start: str, end: str) -> DataFrame:
-    """Items of every order of the groups of a period, not only of their first order."""
-    inside = links.filter(F.col("biz_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-    return items.join(inside.select("order_no", "store", "biz_date", "group_id", "group_daypart"), "order_no")
+def items_for_period(lines: DataFrame, start: str, end: str) -> DataFrame:
+    """Items of every order of the groups of a period, not only of their first order.
+
+    `lines` are those of the stored history, which carry day and group: a filter on folders, no join.
+    """
+    return lines.filter(F.col("biz_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")) & F.col("counted"))
 
 
 def store_by_content(grid: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
 from dinefold.plans.merge import merged_and_groups
 from dinefold.plans.out import plain
-from dinefold.plans.periods import DRINKS, WEEK, history_sold, role_sql
+from dinefold.plans.periods import DRINKS, WEEK, history_groups, history_sold, paid_orders, role_sql
 from dinefold.plans.prelude import CTES, oracle
 
 DIM = "case when category in ('调饮汁', '饮料和水果', '茶', '咖啡', '冰淇淋') then '非酒精' else '含酒精' end"
@@ -86,7 +86,6 @@ CTES["dcmp"] = f"""
     ),
 )
 def drink_compare(spark, sf):
-    sold, merged, groups = history_sold(spark, sf)
-    paid = merged.filter(F.col("revenue") > 0)
+    sold, groups, paid = history_sold(spark, sf), history_groups(spark, sf), paid_orders(spark, sf)
     away = T.valid_orders(T.takeaway_clean(R.takeaway_from(R.with_last_year(R.events(spark, sf)))))
-    return plain(D.drink_compare(sold, kept(groups), paid, away, WEEK, ["store"]))
+    return plain(D.drink_compare(sold, groups, paid, away, WEEK, ["store"]))

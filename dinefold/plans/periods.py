@@ -7,16 +7,17 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from dinefold.operators import cleaning as C
+from dinefold.operators import marts as M
 from dinefold.operators import periods as PD
 from dinefold.operators.groups import kept
 from dinefold.operators import takeaway as T
-from dinefold.operators.groups import aggregate_groups
 from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
-from dinefold.plans.merge import merged_and_groups
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
 from dinefold.plans.reports import BAND, BANDS, DISH_CASE, DISHES
+from dinefold.session import scratch_dir
+from dinefold.sources.history import History
 
 WEEK = PD.Period("week", date(2024, 1, 15))
 
@@ -45,37 +46,42 @@ def history(spark, sf):
     return R.orders_from(R.with_last_year(R.events(spark, sf)))
 
 
-def compared_orders(spark, sf):
-    return PD.orders_in_periods(C.clean_orders(history(spark, sf)), WEEK)
+STORED: dict[tuple[str, str], str] = {}
 
 
-def compared_items(spark, sf):
-    """Lines of the compared orders only, so that the lines of all other days are not aggregated."""
-    return R.items_with_last_year(spark, sf).join(compared_orders(spark, sf).select("order_no"), "order_no", "left_semi")
+def stored_history(spark, sf) -> History:
+    """The tables' history, loaded once per application and kept with its other stored results."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in STORED:
+        path = scratch_dir(spark, "history")
+        History(spark, path).load(C.clean_orders(history(spark, sf)), R.items_with_last_year(spark, sf))
+        STORED[key] = path
+    return History(spark, STORED[key])
+
+
+def history_orders(spark, sf):
+    """Merged orders of the compared days; the days select the folders that are read."""
+    return PD.in_period(stored_history(spark, sf).table("orders"), "biz_date", WEEK).drop("role")
 
 
 def history_groups(spark, sf):
-    return kept(aggregate_groups(compared_orders(spark, sf), compared_items(spark, sf)))
+    return kept(PD.in_period(stored_history(spark, sf).table("groups"), "biz_date", WEEK).drop("role"))
 
 
 def history_sold(spark, sf):
-    """Sold lines of counted groups with store, day and group."""
-    items = compared_items(spark, sf)
-    merged, groups = merged_and_groups(spark, sf, compared_orders(spark, sf), items)
-    inside = kept(groups).select("group_id")
-    links = merged.filter(F.col("revenue") > 0).join(inside, "group_id", "left_semi")
-    return C.sold_items(items).join(links.select("order_no", "store", "biz_date", "group_id"), "order_no"), merged, groups
+    """Sold lines of counted groups with store, day and group; they are stored with them."""
+    lines = PD.in_period(stored_history(spark, sf).table("items"), "biz_date", WEEK).drop("role")
+    return C.sold_items(lines.filter("counted"))
 
 
 def paid_orders(spark, sf):
     """Paid dine-in orders of the compared days, whether their group is kept or not."""
-    paid = compared_orders(spark, sf).filter(F.col("revenue") > 0)
-    return paid.select("order_no", "store", "revenue", F.col("order_time").cast("date").alias("biz_date"))
+    return history_orders(spark, sf).filter(F.col("revenue") > 0).select("order_no", "store", "revenue", "biz_date")
 
 
 def paid_sold(spark, sf):
     """Sold lines of all paid dine-in orders with store and day."""
-    return C.sold_items(R.items_with_last_year(spark, sf)).join(paid_orders(spark, sf).drop("revenue"), "order_no")
+    return C.sold_items(PD.in_period(stored_history(spark, sf).table("items"), "biz_date", WEEK).drop("role").filter("paid"))
 
 
 def takeaway_done(spark, sf):
@@ -177,7 +183,7 @@ def _sum3(column: str) -> str:
     ),
 )
 def dish_compare(spark, sf):
-    return plain(PD.dish_compare(history_sold(spark, sf)[0], DISHES, WEEK, ["store"]))
+    return plain(PD.dish_compare(history_sold(spark, sf), DISHES, WEEK, ["store"]))
 
 
 @query(
@@ -212,7 +218,7 @@ def core_name(spark, sf):
 )
 def drink_ranking(spark, sf):
     """Counted orders of the week, per store."""
-    sold = PD.in_period(history_sold(spark, sf)[0], "biz_date", WEEK).filter(F.col("role") == "current")
+    sold = PD.in_period(history_sold(spark, sf), "biz_date", WEEK).filter(F.col("role") == "current")
     return plain(PD.drink_ranking(sold, ["store"]).orderBy("store", F.desc("qty"), "core_name"))
 
 
@@ -250,6 +256,18 @@ def revenue_closure(spark, sf):
     return PD.revenue_closure(whole_rows(spark, sf), PD.category_distribution(paid_sold(spark, sf), WEEK, ["store"]), back)
 
 
+@query(
+    "items_for_period",
+    oracle(
+        f"""select l.group_id, l.store, strftime(l.biz_date, '%Y-%m-%d') as biz_date, i.order_no, i.seq, i.name, cast(i.qty as double) as qty
+        from i join links l using (order_no) where l.biz_date between date '2024-01-08' and date '2024-01-14'"""
+    ),
+)
+def items_for_period(spark, sf):
+    lines = stored_history(spark, sf).table("items")
+    return plain(M.items_for_period(lines, "2024-01-08", "2024-01-14").select("group_id", "store", "biz_date", "order_no", "seq", "name", "qty"))
+
+
 @query(
     "completeness_notes",
     oracle(

@@ -248,18 +248,6 @@ def daily_opener_stats(spark, sf):
     return plain(M.daily_opener_stats(counted(spark, sf)))
 
 
-@query(
-    "items_for_period",
-    oracle(
-        f"""select l.group_id, l.store, strftime(l.biz_date, '%Y-%m-%d') as biz_date, i.order_no, i.seq, i.name, cast(i.qty as double) as qty
-        from i join links l using (order_no) where l.biz_date between date '2024-01-08' and date '2024-01-14'"""
-    ),
-)
-def items_for_period(spark, sf):
-    out = M.items_for_period(R.items(spark, sf), links(spark, sf), "2024-01-08", "2024-01-14")
-    return plain(out.select("group_id", "store", "biz_date", "order_no", "seq", "name", "qty"))
-
-
 @query(
     "store_by_content",
     goracle(
