@@ -9,7 +9,7 @@ from dinefold.operators import sessions as S
 from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
 from dinefold.plans.out import plain
-from dinefold.plans.prelude import CTES, fold_cte, oracle
+from dinefold.plans.prelude import CTES, oracle
 from dinefold.session import scratch_dir, stored
 from dinefold.streaming import hourly, sessions, upsert
 
@@ -58,14 +58,15 @@ def stream_upsert(spark, sf):
     oracle(
         """select store, strftime(h, '%Y-%m-%d %H:%M:%S') as hour_start, n as n_orders, cast(r as double) as revenue from (
           select store, date_trunc('hour', ts) as h, count(*) as n, sum(value) as r from ev where k < 85 group by all) cross join mark
-        where h + interval 1 hour <= mark.t"""
+        where h + interval 3 hour <= mark.t"""
     ),
 )
 def stream_takeaway_hourly(spark, sf):
-    """Every order arrives twice; ids here are unique per event."""
+    """Every order arrives twice, first an hour early; ids here are unique per event."""
     e = stream_events(spark, sf)
     orders = R.takeaway_from(e).withColumn("takeaway_id", F.substring("serial_no", 2, 20))
-    twice = orders.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    early = F.explode(F.array(F.lit(0), F.lit(1))).alias("early")
+    twice = orders.select("*", early).withColumn("order_time", F.col("order_time") - F.make_dt_interval(hours="early")).drop("early")
     return plain(run_append(hourly.takeaway_hourly_stream(twice), "hourly"))
 
 
@@ -85,17 +86,9 @@ def stream_sessions_r0(spark, sf):
     return plain(run_append(sessions.concurrent_sessions_stream(orders), "sessions"))
 
 
-CTES["seq_closed"] = """
-  select seq.* from seq cross join mark where time_bucket(interval 5 minute, order_time) + interval 5 minute <= mark.t"""
-
-
 @query(
     "stream_session_merge",
-    oracle(
-        "select store, table_name, strftime(biz_date, '%Y-%m-%d') as biz_date, order_no, group_no as group_id, decision"
-        " from fold_closed",
-        fold_closed=fold_cte().replace("from fold f", "from fold_closed f").replace("from seq", "from seq_closed").replace("join seq ", "join seq_closed "),
-    ),
+    oracle("select store, table_name, strftime(biz_date, '%Y-%m-%d') as biz_date, order_no, group_no as group_id, decision from fold"),
 )
 def stream_session_merge(spark, sf):
     features = stored(S.order_features(R.items(spark, sf)), "features")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert_latest(df: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
@@ -21,16 +25,39 @@ def upsert_latest(df: DataFrame, keys: list[str], newest: list[str]) -> DataFram
     ])
 
 
+def csv_by_name(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    """CSV files with columns in any order: each file is read by its own first line, all columns as text.
+
+    The first lines are found in one pass; files that share one are read together, so the driver holds one entry
+    per file, as the listing of the files does. A byte order mark is no part of a name.
+    """
+    options = {"header": "true", "enforceSchema": "false"} | {k: str(v) for k, v in options.items()}
+    lines = spark.read.text(paths).select("value", "_metadata.file_path", F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("at"))
+    heads = lines.groupBy("file_path").agg(F.min_by("value", "at").alias("head")).filter("head is not null")
+    frames = []
+    for head, files in heads.groupBy("head").agg(F.collect_list("file_path")).orderBy("head").collect():
+        names = next(csv.reader([head.lstrip("\ufeff")], delimiter=options.get("sep", ","), quotechar=options.get("quote", '"')))
+        schema = T.StructType([T.StructField(n.strip(), T.StringType()) for n in names])
+        # The mark would make the first name another one, so a file that begins with it is read by position.
+        by_place = {"enforceSchema": "true"} if head.startswith("\ufeff") else {}
+        frames.append(spark.read.schema(schema).options(**options | by_place).csv(files).select("*", F.col("_metadata.file_name").alias("source_file")))
+    if not frames:
+        raise ValueError("no file has a first line")
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def multi_file_load(
     spark: SparkSession, paths: list[str], keys: list[str], newest: list[str], fmt: str = "parquet", **options
 ) -> DataFrame:
     """Read many files into one frame, tag rows with their file, newest row per key wins.
 
-    The frame has the columns of all files; a column that a file lacks is null in its rows.
+    The frame has the columns of all files, matched by name; a column that a file lacks is null in its rows.
+    CSV columns are text, so `newest` columns of CSV files compare as text.
     """
+    if fmt == "csv":
+        return upsert_latest(csv_by_name(spark, paths, **options), keys, newest)
     df = spark.read.format(fmt).options(**{"mergeSchema": "true"} | options).load(paths)
-    df = df.withColumn("source_file", F.col("_metadata.file_name"))
-    return upsert_latest(df, keys, newest)
+    return upsert_latest(df.withColumn("source_file", F.col("_metadata.file_name")), keys, newest)
 
 
 def merge_archives(older: DataFrame, newer: DataFrame, keys: list[str], load_col: str = "load_seq") -> DataFrame:

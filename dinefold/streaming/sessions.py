@@ -4,7 +4,9 @@ The stream only builds slots (see `operators.sessions`): a tumbling-window aggre
 watermark, combined on the map side, so a hot table is no hot task and the state holds open
 slots only. Closed slots are appended to a store by day, and the days they touch are folded
 again by the batch operator, which gives the batch result without a second implementation. A second
-stream without state keeps which slot an order is in; reading joins both, so every order has its group.
+stream without state keeps the orders themselves; reading joins both. Where a slot's count of orders is not that of the
+orders kept, because one came after the slot was closed or the slot is still open, the table-day is folded from the
+orders, so every order has the group that the batch gives it.
 """
 
 from __future__ import annotations
@@ -69,22 +71,25 @@ def stream_session_merge(
 
 
 def stream_orders(prepared: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the slot of every order, by day."""
+    """Keep every prepared order, by day."""
     return (
-        prepared.select("order_no", *DAY, "slot")
-        .writeStream.foreachBatch(lambda df, i: append_batch(df, i, path, within=["biz_date"]))
+        prepared.writeStream.foreachBatch(lambda df, i: append_batch(df, i, path, within=["biz_date"]))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def read_merged(spark: SparkSession, out_path: str, orders_path: str) -> DataFrame:
-    """Every order of a closed slot with its group and decision, as `session_merge` gives it.
-
-    An order later than the delay is no part of its slot's statistics but still gets the slot's group.
-    """
-    slots = spark.read.parquet(out_path).withColumnsRenamed({"order_no": "head_no", "decision": "head_decision"})
-    orders = spark.read.parquet(orders_path).select("order_no", *DAY, "slot")
+def read_merged(spark: SparkSession, out_path: str, orders_path: str, p: MergeParams = MergeParams()) -> DataFrame:
+    """Every order that has arrived with its group and decision, as `session_merge` over all of them gives it."""
+    key = [*DAY, "slot"]
+    slots = spark.read.parquet(out_path)
+    orders = spark.read.parquet(orders_path).drop(LOAD)
+    arrived = orders.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    behind = arrived.join(slots.select(*key, "n_all"), key, "left").filter(~F.col("n_all").eqNullSafe(F.col("n")))
+    behind = behind.select(*DAY).distinct()
+    again = fold_slots(build_slots(orders.join(behind, DAY, "left_semi")), p).select(*key, "group_id", "step.order_no", "step.decision")
+    heads = slots.select(*again.columns).join(behind, DAY, "left_anti").unionByName(again)
+    heads = heads.withColumnsRenamed({"order_no": "head_no", "decision": "head_decision"})
     decision = F.when(F.col("order_no") == F.col("head_no"), F.col("head_decision")).otherwise("R0")
-    return orders.join(slots, [*DAY, "slot"]).select("order_no", *DAY, "group_id", decision.alias("decision"))
+    return orders.select("order_no", *key).join(heads, key).select("order_no", *DAY, "group_id", decision.alias("decision"))

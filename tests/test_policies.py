@@ -135,6 +135,18 @@ def test_files_with_further_columns(spark, tmp_path):
     assert sorted((r["k"], r["v"], r["extra"]) for r in rows) == [("k1", 2, "x"), ("k2", 3, "y")]
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    """Files with other column orders, more columns, quotes and a byte order mark give the same rows."""
+    (tmp_path / "a.csv").write_text("k,v,t\nx,1,1\ny,2,1\n")
+    (tmp_path / "b.csv").write_text('extra,k,t,v\nq,x,2,"7, or 8"\n', encoding="utf-8")
+    (tmp_path / "c.csv").write_text('"t",v,k\n3,9,z\n', encoding="utf-8-sig")
+    (tmp_path / "d.csv").write_text("")
+    rows = S.multi_file_load(spark, [str(tmp_path / f"{n}.csv") for n in "abcd"], ["k"], ["t"], fmt="csv").collect()
+    got = {r["k"]: (r["v"], r["t"], r["extra"], r["source_file"]) for r in rows}
+    assert got == {"x": ("7, or 8", "2", "q", "b.csv"), "y": ("2", "1", None, "a.csv"), "z": ("9", "3", None, "c.csv")}
+
+
+
 def test_repeated_orders_match_a_visit_once(spark):
     visits = spark.createDataFrame([(1, "7")], "visit_id long, order_no string")
     orders = spark.createDataFrame([("7",), ("7",)], "order_no string")

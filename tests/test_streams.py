@@ -24,18 +24,33 @@ def file_stream(spark, df, path, n, by):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def test_session_merge_stream_equals_batch(spark, tmp_path):
-    o, i = frames(spark, *random_case(31, 150))
-    stream = file_stream(spark, o, str(tmp_path / "in"), 5, "order_time")
+def streamed(spark, o, i, tmp_path, stream):
     slots, out = str(tmp_path / "slots"), str(tmp_path / "out")
     prepared = S.attach_features(stream, S.order_features(i))
     ST.stream_session_merge(prepared, slots, out, str(tmp_path / "check"), delay="30 minutes").awaitTermination()
     ST.stream_orders(prepared, str(tmp_path / "orders"), str(tmp_path / "check2")).awaitTermination()
-    last = o.agg(F.max("order_time")).first()[0]
-    closed = F.window("order_time", "5 minutes")["end"] <= F.lit(last) - F.expr("interval 30 minutes")
-    batch = S.session_merge(o.filter(closed), i).select("order_no", "group_id", "decision")
-    got = sorted(ST.read_merged(spark, out, str(tmp_path / "orders")).select("order_no", "group_id", "decision").collect())
-    assert got == sorted(batch.collect()) and len(got) > 20 and "R0" in {r["decision"] for r in got}
+    got = ST.read_merged(spark, out, str(tmp_path / "orders")).select("order_no", "group_id", "decision")
+    batch = S.session_merge(o, i).select("order_no", "group_id", "decision")
+    return sorted(got.collect()), sorted(batch.collect())
+
+
+def test_session_merge_stream_equals_batch(spark, tmp_path):
+    o, i = frames(spark, *random_case(31, 150))
+    got, want = streamed(spark, o, i, tmp_path, file_stream(spark, o, str(tmp_path / "in"), 5, "order_time"))
+    assert got == want and len(got) > 20 and "R0" in {r["decision"] for r in got}
+
+
+def test_late_orders_keep_their_group(spark, tmp_path):
+    """Orders that come days late: alone in their slot, in a slot that is closed, and before a group's first order."""
+    o, i = frames(spark, *random_case(32, 120))
+    orders = sorted(o.collect(), key=lambda r: r["order_time"])
+    late = orders[3::9]
+    path = str(tmp_path / "in")
+    for part in ([r for r in orders if r not in late][:60], [r for r in orders if r not in late][60:], late):
+        spark.createDataFrame(part, o.schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got, want = streamed(spark, o, i, tmp_path, stream)
+    assert got == want and {r["order_no"] for r in late} <= {r["order_no"] for r in got}
 
 
 def test_return_within_the_delay_lowers_the_hour(spark, tmp_path):
@@ -45,6 +60,8 @@ def test_return_within_the_delay_lowers_the_hour(spark, tmp_path):
         ("s", "a", "1", "#1", at(10, 5), "已完成", 30), ("s", "a", "2", "#1", at(10, 10), "已完成", 20),
         ("s", "a", "1", "#2", at(10, 5), "已退单", 30), ("s", "a", "2", "#1", at(10, 10), "已完成", 20),
         ("s", "a", "-", "#1", at(10, 20), "已完成", 99), ("s", "a", "9", "#1", at(18, 0), "已完成", 1),
+        # An order whose time moves over the hour counts once, where its latest row is.
+        ("s", "a", "3", "#1", at(10, 58), "已完成", 5), ("s", "a", "3", "#1", at(11, 2), "已完成", 7),
     ]
     for part in (rows[:2], rows[2:]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -52,7 +69,7 @@ def test_return_within_the_delay_lowers_the_hour(spark, tmp_path):
     out = takeaway_hourly_stream(stream).writeStream.outputMode("append").format("parquet")
     out = out.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True)
     out.start(str(tmp_path / "out")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).collect() == [("s", at(10, 0), 1, 20)]
+    assert sorted(spark.read.parquet(str(tmp_path / "out")).collect()) == [("s", at(10, 0), 1, 20), ("s", at(11, 0), 1, 7)]
 
 
 def test_upsert_replay_and_newer_rows(spark):
