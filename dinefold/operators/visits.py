@@ -1,16 +1,18 @@
 """Linking visit feedback to orders and groups.
 
-Exact match by order number first; what is left may match an order on any two of table,
-amount and time. Two of three always include the amount or the time, so candidates come from
-equi joins. Only the order nearest in time can win per key, so orders are first reduced to
-one row per key and point in time: five minutes hold at most 300 points at the one-second
-resolution of exports, however many orders share the key. Orders further away on the same day
-are reduced to the first and last of each five-minute slot.
+Exact match by order number first; what is left may match an order on any two of table, amount and time. Two of
+three always include the amount or the time, and only the order nearest in time can win per key, so both sides
+are sorted together by time within a key, and each visit takes the last order before it and the first after it. Keys
+are (store, amount), (store, table) and (store, amount, table), each cut into five-minute slots: the ends of a slot
+are sent to its neighbours, so that a slot alone decides what is near, and a hot key is dealt out by time. Orders further
+away on the same day compete by the ends of their slots, at most 576 a key and day. No visit meets an order
+pair by pair.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dinefold import params as P
@@ -18,6 +20,8 @@ from dinefold.functions import business as B
 from dinefold.functions.cells import real_text
 
 SLOT_US = P.VISIT_TIME_MINUTES * B.MINUTE_US
+#: Longest part of a table name in the index of names.
+GRAM = 3
 
 
 def visit_exact_match(visits: DataFrame, orders: DataFrame) -> DataFrame:
@@ -30,30 +34,83 @@ def _left_over(visits: DataFrame, orders: DataFrame) -> DataFrame:
     return v.join(orders.select("order_no"), "order_no", "left_anti")
 
 
+def _grams(name: Column, sizes: Column) -> Column:
+    """The distinct parts of a name with the given numbers of characters."""
+    return F.array_distinct(
+        F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length(name) - k + 1), lambda i: F.substring(name, i, k))))
+    )
+
+
 def table_names_within(visit_tables: DataFrame, order_tables: DataFrame) -> DataFrame:
     """Pairs (store, visit_table, order_table) where the order's table contains the visit's.
 
-    Works on distinct names: every part of an order table is listed and joined on equality,
-    so no names are compared pair by pair.
+    Works on distinct names by an index of the parts of one to GRAM characters of the orders' tables. A
+    visit's table is looked up by its rarest part only, then compared; one of up to GRAM characters is its own part.
     """
-    n = F.length("order_table")
-    starts = F.sequence(F.lit(1), n)
-    parts = F.flatten(
-        F.transform(
-            starts,
-            lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring("order_table", i, k)),
-        )
-    )
-    named = order_tables.filter(n > 0).withColumn("visit_table", F.explode(F.array_distinct(parts)))
-    return named.join(visit_tables, ["store", "visit_table"]).select("store", "visit_table", "order_table")
+    sizes = F.sequence(F.lit(1), F.least(F.length("order_table"), F.lit(GRAM)))
+    index = order_tables.filter(F.length("order_table") > 0).select("store", "order_table", F.explode(_grams(F.col("order_table"), sizes)).alias("gram"))
+    spread = index.groupBy("store", "gram").agg(F.count(F.lit(1)).alias("names"))
+    own = F.array(F.least(F.length("visit_table"), F.lit(GRAM)))
+    parts = visit_tables.filter(F.length("visit_table") > 0).select("store", "visit_table", F.explode(_grams(F.col("visit_table"), own)).alias("gram"))
+    # A part that no order's table has is the rarest of all.
+    rank = F.struct(F.coalesce("names", F.lit(0)).alias("names"), "gram")
+    rarest = parts.join(spread, ["store", "gram"], "left").groupBy("store", "visit_table").agg(F.min(rank)["gram"].alias("gram"))
+    return rarest.join(index, ["store", "gram"]).filter(F.col("order_table").contains(F.col("visit_table"))).select("store", "visit_table", "order_table")
 
 
 def _slot(t_us: Column) -> Column:
     return F.floor(t_us / F.lit(SLOT_US)).cast("bigint")
 
 
-def _near(c: Column) -> Column:
-    return F.explode(F.array(c - 1, c, c + 1))
+def _day_number(t_us: Column) -> Column:
+    return F.floor(t_us / F.lit(24 * 60 * B.MINUTE_US)).cast("bigint")
+
+
+#: What orders and visits are brought together by: kind of key, its values, and the stretch of time.
+KEY = ["kind", "store", "yuan", "order_table", "part"]
+AMOUNT, TABLE, BOTH, WHOLE_DAY = "amount", "table", "both", "day"
+
+
+def _keyed(df: DataFrame, kinds: tuple[str, ...], *carried: str) -> DataFrame:
+    """A row per kind of key; what is no part of the key is null in it, and keys with a missing part are none."""
+    number, name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    yuan, tab = F.col("yuan").cast("bigint"), F.col("order_table") if TABLE in kinds else name
+    of = {AMOUNT: (yuan, name), TABLE: (number, tab), BOTH: (yuan, tab), WHOLE_DAY: (yuan, tab)}
+    rows = F.array(*[F.struct(F.lit(k).alias("kind"), of[k][0].alias("yuan"), of[k][1].alias("order_table")) for k in kinds])
+    out = df.select("store", *carried, F.inline(rows))
+    return out.filter(((F.col("kind") == TABLE) | F.col("yuan").isNotNull()) & ((F.col("kind") == AMOUNT) | F.col("order_table").isNotNull()))
+
+
+def _order_points(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, o_us, order_no): one row per key and moment, those of neighbouring slots and of whole days; and
+    the smallest order number of each amount, table and day."""
+    rows = _keyed(orders, (AMOUNT, TABLE, BOTH), "order_no", "o_us")
+    # Orders of one moment are interchangeable but for their number.
+    moments = rows.groupBy("kind", "store", "yuan", "order_table", "o_us").agg(F.min("order_no").alias("order_no"))
+    moments = moments.withColumn("part", _slot(F.col("o_us")))
+    at = F.struct("o_us", "order_no")
+    ends = moments.groupBy(*KEY).agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min("order_no").alias("least"))
+    beside = F.array(F.struct((F.col("part") + 1).alias("to"), F.col("b").alias("p")), F.struct((F.col("part") - 1).alias("to"), F.col("a").alias("p")))
+    neighbours = ends.select("kind", "store", "yuan", "order_table", F.inline(beside)).withColumnRenamed("to", "part")
+    days = ends.filter(F.col("kind") == BOTH).withColumn("kind", F.lit(WHOLE_DAY)).withColumn("part", _day_number(F.col("a.o_us")))
+    ends_of_day = days.select(*KEY, F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))
+    points = moments.select(*KEY, "o_us", "order_no")
+    for more in (neighbours, ends_of_day):
+        points = points.unionByName(more.select(*KEY, "p.o_us", "p.order_no"))
+    return points, days.groupBy("store", "yuan", "order_table", "part").agg(F.min("least").alias("order_no"))
+
+
+def _nearest(asked: DataFrame, points: DataFrame) -> DataFrame:
+    """asked (key, visit_id, v_us) with (o_us, order_no) of the last point before and the first after, up to two rows each."""
+    both = asked.withColumn("p", F.lit(None).cast("struct<o_us: bigint, order_no: string>")).withColumnRenamed("v_us", "t")
+    both = both.unionByName(points.select(*KEY, F.lit(None).cast("bigint").alias("visit_id"), F.col("o_us").alias("t"), F.struct("o_us", "order_no").alias("p")))
+    # Both windows run from the start to the current time, one of them backwards, so each row is read once.
+    found = both.select("*", *[
+        F.last("p", ignorenulls=True).over(W.partitionBy(*KEY).orderBy(time)).alias(name)
+        for name, time in (("before", F.asc("t")), ("after", F.desc("t")))
+    ])
+    found = found.filter("visit_id is not null").select("kind", "visit_id", F.col("t").alias("v_us"), F.explode(F.array_distinct(F.array("before", "after"))).alias("p"))
+    return found.filter("p is not null").select("kind", "visit_id", "v_us", "p.o_us", "p.order_no")
 
 
 def visit_two_of_three(visits: DataFrame, orders: DataFrame) -> DataFrame:
@@ -62,70 +119,32 @@ def visit_two_of_three(visits: DataFrame, orders: DataFrame) -> DataFrame:
         "visit_id",
         "store",
         F.nullif(F.trim("table_name"), F.lit("")).alias("visit_table"),
-        B.whole_yuan(F.col("paid")).alias("yuan"),
+        B.whole_yuan(F.col("paid")).cast("bigint").alias("yuan"),
         B.micros(F.col("order_time")).alias("v_us"),
-        F.coalesce(F.col("order_time"), F.col("created_at")).cast("date").alias("day"),
+        _day_number(B.micros(F.coalesce(F.col("order_time"), F.col("created_at")))).alias("part"),
     )
     o = orders.select(
         "order_no",
         "store",
         F.col("table_name").alias("order_table"),
-        F.col("order_time").cast("date").alias("day"),
         B.micros(F.col("order_time")).alias("o_us"),
         F.explode(F.array_distinct(F.array(B.whole_yuan(F.col("amount")), B.whole_yuan(F.col("revenue"))))).alias("yuan"),
     )
-    # Orders of one moment are interchangeable but for their number.
-    moments = o.groupBy("store", "yuan", "order_table", "day", "o_us").agg(F.min("order_no").alias("order_no"))
-    names = table_names_within(
-        v.select("store", "visit_table").distinct(), o.select("store", "order_table").distinct()
-    )
+    o = o.filter("o_us is not null and store is not null")
+    points, least = _order_points(o)
+    names = table_names_within(v.select("store", "visit_table").distinct(), o.select("store", "order_table").distinct())
     vt = v.join(names, ["store", "visit_table"])
-
-    close = F.abs(F.col("v_us") - F.col("o_us")) <= SLOT_US
-
-    # Same amount within five minutes, any table.
-    by_amount = moments.groupBy("store", "yuan", "o_us").agg(F.min("order_no").alias("order_no")).withColumn(
-        "slot", _slot(F.col("o_us"))
-    )
-    amount_time = (
-        v.withColumn("slot", _near(_slot(F.col("v_us")))).join(by_amount, ["store", "yuan", "slot"]).filter(close)
-    )
-    # Same table within five minutes, any amount.
-    by_table = moments.groupBy("store", "order_table", "o_us").agg(F.min("order_no").alias("order_no")).withColumn(
-        "slot", _slot(F.col("o_us"))
-    )
-    table_time = (
-        vt.withColumn("slot", _near(_slot(F.col("v_us")))).join(by_table, ["store", "order_table", "slot"]).filter(close)
-    )
-    # Same amount and table on the same day: per slot its first and last order, at most 2 x 288
-    # candidates; the smallest order number of the day serves visits without a time.
-    key = ["store", "yuan", "order_table", "day"]
-    at = F.struct("o_us", "order_no")
-    slots = moments.groupBy(*key, _slot(F.col("o_us")).alias("slot")).agg(
-        F.min(at).alias("a"), F.max(F.struct("o_us", "order_no")).alias("b"), F.min("order_no").alias("least")
-    )
-    ends = slots.select(*key, F.inline(F.array_distinct(F.array("a", "b"))))
-    least = slots.groupBy(*key).agg(F.min("least").alias("order_no"))
-    amount_table = vt.filter("v_us is not null").join(ends, key)
-    amount_table_untimed = vt.filter("v_us is null").join(least, key).withColumn("o_us", F.lit(None).cast("bigint"))
-    # All three: every moment of the own and the neighbouring slots.
-    near_moments = moments.withColumn("slot", _slot(F.col("o_us")))
-    all_three = (
-        vt.withColumn("slot", _near(_slot(F.col("v_us"))))
-        .join(near_moments, ["store", "yuan", "order_table", "slot"])
-        .filter(close)
-    )
-
-    def scored(df, n):
-        diff = F.abs(F.col("v_us") - F.col("o_us"))
-        return df.select("visit_id", "order_no", n.alias("n_conditions"), diff.alias("diff_us"))
-
-    candidates = (
-        scored(amount_time, F.lit(2))
-        .unionByName(scored(table_time, F.lit(2)))
-        .unionByName(scored(amount_table, F.when(close, 3).otherwise(2)))
-        .unionByName(scored(amount_table_untimed, F.lit(2)))
-        .unionByName(scored(all_three, F.lit(3)))
+    timed = _keyed(v, (AMOUNT,), "visit_id", "v_us").unionByName(_keyed(vt, (TABLE, BOTH, WHOLE_DAY), "visit_id", "v_us")).filter("v_us is not null")
+    asked = timed.withColumn("part", F.when(F.col("kind") == WHOLE_DAY, _day_number(F.col("v_us"))).otherwise(_slot(F.col("v_us"))))
+
+    diff = F.abs(F.col("v_us") - F.col("o_us"))
+    close = diff <= SLOT_US
+    n = F.when(F.col("kind").isin(AMOUNT, TABLE), 2).when(close, 3).otherwise(2)
+    near = _nearest(asked.select(*KEY, "visit_id", "v_us"), points).filter(close | (F.col("kind") == WHOLE_DAY))
+    # Visits without a time: amount and table on the day of the visit's entry.
+    untimed = vt.filter("v_us is null").join(least, ["store", "yuan", "order_table", "part"])
+    candidates = near.select("visit_id", "order_no", n.alias("n_conditions"), diff.alias("diff_us")).unionByName(
+        untimed.select("visit_id", "order_no", F.lit(2).alias("n_conditions"), F.lit(None).cast("bigint").alias("diff_us"))
     )
     rank = F.struct(
         (-F.col("n_conditions")).alias("n"), F.coalesce("diff_us", F.lit(2**62)).alias("d"), F.col("order_no").alias("o")

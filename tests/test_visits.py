@@ -83,6 +83,36 @@ def test_two_of_three(spark, case):
     assert got == brute(visits, orders)
 
 
+def test_names_are_found_by_their_rarest_part(spark):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("ab大1") for _ in range(n))
+    orders = {(rnd.choice("XY"), word(rnd.randrange(0, 9))) for _ in range(60)} | {("X", None)}
+    visits = {(rnd.choice("XY"), word(rnd.randrange(0, 6))) for _ in range(80)} | {("Y", None)}
+    got = V.table_names_within(spark.createDataFrame(list(visits), "store string, visit_table string"), spark.createDataFrame(list(orders), "store string, order_table string"))
+    want = {(s, v, o) for s, v in visits for t, o in orders if s == t and v and o and v in o}
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 100
+
+
+def test_a_hot_slot_is_read_in_order(spark):
+    """Ten thousand orders of one amount in one slot, and a table text that every table holds."""
+    n = 10_000
+    orders = spark.range(n).selectExpr(
+        "cast(id as string) as order_no", "'万荷店' as store", "timestamp_ntz'2024-03-04 12:00:00' + make_dt_interval(0, 0, 0, id * 0.029) as order_time",
+        "cast(50 as decimal(18,2)) as amount", "cast(50 as decimal(18,2)) as revenue", "concat('大厅', id % 7) as table_name",
+    )
+    visits = spark.range(400).selectExpr(
+        "id as visit_id", "cast(null as string) as order_no", "'万荷店' as store", "'大' as table_name", "cast(if(id % 2 = 0, 50, 9) as decimal(18,2)) as paid",
+        "timestamp_ntz'2024-03-04 12:00:00' + make_dt_interval(0, 0, 0, id * 0.7 + 0.001) as order_time", "timestamp_ntz'2024-03-04 12:00:00' as created_at",
+    )
+    got = {r["visit_id"]: (r["order_no"], r["n_conditions"], r["diff_us"]) for r in V.visit_two_of_three(visits, orders).collect()}
+    for i in range(400):
+        t = i * 700_000 + 1000
+        diff, no = min((abs(k * 29_000 - t), str(k)) for k in range(max(0, t // 29_000 - 1), min(n, t // 29_000 + 3)))
+        assert got[i] == (no, 3 if i % 2 == 0 else 2, diff)
+    plan = V.visit_two_of_three(visits, orders)._jdf.queryExecution().analyzed().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_every_visit_is_matched_or_listed(spark):
     visits, orders = make(4, 50, 70, ["20", "35"], ["B07", "A1"], range(600, 660))
     v, o = spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER)
