@@ -20,16 +20,16 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dinefold.llm.common import in_arrow, key_filter, may_hold
+from dinefold.llm.common import in_arrow, key_filter, may_hold, text_key
 from dinefold.session import stored
 
 # The patterns of the contract. Possessive repeats and the look-behind only save time.
 EMAIL_LEFT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL_RIGHT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 KINDS = ("email", "ip", "card", "phone")
@@ -53,9 +53,9 @@ def _class(kinds: str) -> str:
 #: (Chinese, Japanese, Thai, Lao, Burmese, Khmer), every two neighbouring characters of a run are a term.
 #: Only Python reads terms, so there is one class.
 TERM = re.compile(f"[{_class('LMN')}]+")
-LONG_TERM = re.compile(TERM.pattern.removesuffix("+") + "{2,}")
 UNSPACED = "฀-໿က-႟ក-៿々-〇぀-ヿㇰ-ㇿ㐀-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff"
 PIECE = re.compile(f"[{UNSPACED}]+|[^{UNSPACED}]+")
+ASCII_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 IS_UNSPACED = re.compile(f"[{UNSPACED}]")
 
 Span = tuple[int, int]
@@ -86,6 +86,21 @@ def _emails(text: str) -> list[Span]:
     return found
 
 
+def _ips(text: str) -> list[Span]:
+    """Leftmost matches: of the numbers that dots join, every four in turn; each digit is read once."""
+    found = []
+    for m in DOTTED.finditer(text):
+        if m[0].count(".") >= 3:
+            parts, at = m[0].split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in four):
+                    found.append((at, end))
+                at = end + 1
+    return found
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -93,7 +108,7 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> dict[str, list[Span]]:
     out: dict[str, list[Span]] = {k: [] for k in KINDS}
     out["email"] = _emails(text)
-    out["ip"] = [m.span() for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m[0].split("."))]
+    out["ip"] = _ips(text)
     for m in CARD.finditer(text):
         if 16 <= m.end() - m.start():
             digits = _digits(m[0])
@@ -136,10 +151,20 @@ def terms_in(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[str, int,
 
 
 def own_terms(text: str, base: dict[str, list[Span]]) -> list[str]:
-    """The distinct terms of terms_in(); plain texts take a shorter way to the same."""
-    if any(base.values()) or not (text.isascii() or not IS_UNSPACED.search(text)):
+    """The distinct terms of terms_in(); plain texts, where no term spans white space, give those of their distinct words.
+
+    Σ and İ are the letters whose lower case depends on their neighbours or is longer than they are.
+    """
+    if any(base.values()) or "Σ" in text or "İ" in text or not (text.isascii() or not IS_UNSPACED.search(text)):
         return list(dict.fromkeys(t for t, _, _ in terms_in(text, base)))
-    return list({t.lower() for t in set(LONG_TERM.findall(text))})
+    found, rest = set(), []
+    for word in {w.strip(ASCII_MARKS) for w in text.lower().split()}:
+        if word.isalnum():
+            found.add(word)
+        else:
+            rest.append(word)
+    found.update(TERM.findall(" ".join(rest)))
+    return [t for t in found if len(t) > 1]
 
 
 def normal_form(kind: str, value: str) -> str:
@@ -153,13 +178,9 @@ def entities_in(text: str, base: dict[str, list[Span]]) -> list[str]:
     return list(dict.fromkeys(f"{kind}:{normal_form(kind, text[a:b])}" for kind, own in base.items() for a, b in own))
 
 
-def _key() -> Column:
-    return F.xxhash64("text")
-
-
 def _distinct(df: DataFrame) -> DataFrame:
     """(key, text), one row per distinct text; only texts that may have copies are shuffled."""
-    rows = df.select(_key().alias("key"), "text")
+    rows = df.select(text_key().alias("key"), "text")
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     bitmap = stored(key_filter(again), "pii-copies")
     return may_hold(rows, bitmap, False).unionByName(may_hold(rows, bitmap, True).dropDuplicates(["key"]))
@@ -185,10 +206,10 @@ def disclosing_terms(df: DataFrame, support: int = SUPPORT, disclosure: float =
         return {"term": list(found), "n": list(found.values())}
 
     keyed = _distinct(df)
-    held = stored(in_arrow(keyed, beside, "key long, entities array<string>, terms array<string>"), "pii-entities")
+    held = stored(in_arrow(keyed, beside, "key binary, entities array<string>, terms array<string>"), "pii-entities")
     # Every text of the corpus counts for a term, whether or not it has an entity; a batch sends a term once.
     of_term = stored(in_arrow(keyed, counted, "term string, n long").groupBy("term").agg(F.sum("n").alias("with_term")), "pii-words")
-    texts = df.select(_key().alias("key")).distinct().count()
+    texts = df.select(text_key().alias("key")).distinct().count()
     each = held.select("key", F.size("terms").alias("size"), F.explode("entities").alias("entity"))
     entities = each.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"), F.sum("size").alias("size"))
     # No term can add more bits than an entity has, nor reach the share if it is commoner than this.
@@ -241,12 +262,12 @@ def _with_terms(df: DataFrame) -> DataFrame:
     def terms(batch: pa.RecordBatch) -> dict:
         return {"_key": batch["_key"], "terms": [own_terms(t, base_spans(t)) if t else [] for t in batch["text"].to_pylist()]}
 
-    words = in_arrow(df.select(_key().alias("_key"), "text"), terms, "_key long, terms array<string>")
-    words = words.select("_key", F.explode("terms").alias("term")).withColumn("key", F.xxhash64("term"))
-    words = may_hold(words, stored(key_filter(flagged.select(F.xxhash64("term").alias("key"))), "pii-term-filter"), True).drop("key")
+    words = in_arrow(df.select(text_key().alias("_key"), "text"), terms, "_key binary, terms array<string>")
+    words = words.select("_key", F.explode("terms").alias("term")).withColumn("key", F.col("term"))
+    words = may_hold(words, stored(key_filter(flagged.select(F.col("term").alias("key"))), "pii-term-filter"), True).drop("key")
     strong = F.col("bits") >= REVEAL_BITS
     held = words.join(flagged, "term").groupBy("_key").agg(F.collect_set(F.when(~strong, F.col("term"))).alias("_hint"), F.collect_set(F.when(strong, F.col("term"))).alias("_reveal"))
-    return df.withColumn("_key", _key()).join(stored(held, "pii-texts"), "_key", "left").drop("_key")
+    return df.withColumn("_key", text_key()).join(stored(held, "pii-texts"), "_key", "left").drop("_key")
 
 
 def _spans(batch: pa.RecordBatch) -> list[tuple[str, dict, dict]]:
