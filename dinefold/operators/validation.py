@@ -90,26 +90,45 @@ def _positions(heads: DataFrame) -> DataFrame:
     )
 
 
+ABSENT, EMPTY, FULL = "0", "1", "2"
+
+
 def column_stats(rows: DataFrame) -> DataFrame:
     """Per column position: any value at all, valid rows, non-empty cells and days of valid rows.
 
-    Rows carry the numbers of `_positions`. Cells are counted on the map side with fixed-size counters,
-    so a file with a large part of all rows ends as a few rows per column before the shuffle.
+    Rows carry the numbers of `_positions`. A row becomes one text, its pattern: a character per cell that says
+    null, empty or full. Equal patterns are counted, on the map side first, and only the distinct patterns of a sheet
+    are taken apart into positions; exports fill the same columns in nearly all rows. Days belong to the
+    two columns with dates and are bounded by the calendar.
     """
-    cells = rows.select(
-        "file", "sheet", "time_pos", "date_pos", is_digit_id(F.get(F.col("cells"), F.col("id_pos"))).alias("valid"),
-        F.posexplode(F.slice("cells", F.lit(1), F.col("width"))).alias("pos", "v"),
+    cells = F.slice("cells", F.lit(1), F.col("width"))
+    kind = F.transform(cells, lambda v: F.when(v.isNull(), ABSENT).when(is_empty_cell(v), EMPTY).otherwise(FULL))
+    valid = is_digit_id(F.get(F.col("cells"), F.col("id_pos")))
+
+    def day(position: str) -> Column:
+        inside = F.col(position) < F.col("width")
+        return F.when(valid & inside, parse_time(F.get(F.col("cells"), F.col(position))).cast("date"))
+
+    sheet = ["file", "sheet", "time_pos", "date_pos", "pattern", "valid"]
+    marked = rows.select(
+        "file", "sheet", "time_pos", "date_pos", F.array_join(kind, "").alias("pattern"), valid.alias("valid"),
+        day("time_pos").alias("time_day"), day("date_pos").alias("date_day"),
+    )
+    per_day = marked.groupBy(*sheet, "time_day", "date_day").agg(F.count(F.lit(1)).alias("n"))
+    patterns = per_day.groupBy(*sheet).agg(
+        F.sum("n").alias("n"), F.collect_set("time_day").alias("time_days"), F.collect_set("date_day").alias("date_days")
     )
-    dated = F.col("valid") & ((F.col("pos") == F.col("time_pos")) | (F.col("pos") == F.col("date_pos")))
-    per_day = cells.groupBy("file", "sheet", "pos", F.when(dated, parse_time(F.col("v")).cast("date")).alias("day")).agg(
-        F.max(F.col("v").isNotNull()).alias("filled"),
-        F.count_if("valid").alias("n_valid"),
-        F.count_if(F.col("valid") & ~is_empty_cell(F.col("v"))).alias("n_full"),
+    spread = patterns.filter("pattern != ''").select(
+        "*", F.posexplode(F.split("pattern", "(?<=.)(?=.)")).alias("pos", "kind")
     )
-    return per_day.groupBy("file", "sheet", "pos").agg(
-        F.max("filled").alias("filled"),
-        F.sum("n_valid").alias("n_valid"),
-        F.sum("n_full").alias("n_full"),
+    days = F.when(F.col("pos") == F.col("time_pos"), F.col("time_days")).when(F.col("pos") == F.col("date_pos"), F.col("date_days"))
+    dated = spread.select("file", "sheet", "pos", "kind", "valid", "n", F.posexplode_outer(days).alias("i", "day"))
+    # A pattern counts once, on the first of its days.
+    n = F.when(F.col("valid") & (F.coalesce("i", F.lit(0)) == 0), F.col("n")).otherwise(0)
+    return dated.groupBy("file", "sheet", "pos").agg(
+        F.max(F.col("kind") != ABSENT).alias("filled"),
+        F.sum(n).alias("n_valid"),
+        F.sum(F.when(F.col("kind") == FULL, n).otherwise(0)).alias("n_full"),
         # Bounded by the calendar.
         F.collect_set("day").alias("days"),
     )

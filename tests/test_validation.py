@@ -218,3 +218,18 @@ def test_visit_csv_with_mark_and_line_breaks(spark, tmp_path):
     rows = read_visits(spark, str(tmp_path)).collect()
     assert [(r["order_no"], r["guests"], r["transcript"]) for r in rows] == [("123", 3, "好吃\n下次来"), (None, None, None)]
     assert rows[0]["created_at"].hour == 10 and rows[1]["created_at"] is None
+
+
+def test_column_stats_count_patterns(spark):
+    """Short rows, nulls, empty words, several days, a row without a valid id; equal rows count each."""
+    schema = "file string, sheet string, width int, id_pos int, time_pos int, date_pos int, cells array<string>"
+    row = lambda *cells: ("f", "s", 4, 0, 2, 3, list(cells))
+    rows = [
+        row("1", "x", "2024-01-01 10:00", "2024-01-01"), row("1", "x", "2024-01-01 10:00", "2024-01-01"),
+        row("2", " ", "2024-01-02 10:00", None), row("3", None), row("合计", "x", "2024-01-09 10:00", "2024-01-09"), row(),
+        row("4", "nan", "2024/1/3", "2024-01-04", "beyond the header"),
+    ]
+    stats = V.column_stats(spark.createDataFrame(rows, schema))
+    got = {r["pos"]: (r["filled"], r["n_valid"], r["n_full"], sorted(d.day for d in r["days"])) for r in stats.collect()}
+    assert got == {0: (True, 5, 5, []), 1: (True, 5, 2, []), 2: (True, 4, 4, [1, 2, 3]), 3: (True, 4, 3, [1, 4])}
+    assert "posexplode(slice" not in stats._jdf.queryExecution().toString().lower()
