@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dinefold.sources.store import upsert_latest
+from dinefold.sources.keyed import KeyedStore
 
 LOAD = "load_batch"
 EVENT_TIME = "event_time"
@@ -17,14 +17,11 @@ def with_event_time(stream: DataFrame, delay: str, column: str = "order_time") -
     return stream.withColumn(EVENT_TIME, F.col(column).cast("timestamp")).withWatermark(EVENT_TIME, delay)
 
 
-def append_batch(
-    batch: DataFrame, batch_id: int, path: str, newest_first: list[str] | None = None, keys: list[str] | None = None, within: list[str] = ()
-) -> None:
+def append_batch(batch: DataFrame, batch_id: int, path: str, within: list[str] = ()) -> None:
     """Write one micro-batch as its own partition, or one in each partition of `within`. A replayed batch
     replaces itself."""
-    rows = upsert_latest(batch, keys, newest_first or []) if keys else batch
     (
-        rows.withColumn(LOAD, F.lit(batch_id).cast("bigint"))
+        batch.withColumn(LOAD, F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*within, LOAD)
@@ -32,17 +29,20 @@ def append_batch(
     )
 
 
-def stream_upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: list[str]) -> StreamingQuery:
-    """Append the latest row per key of every micro-batch to the store."""
-    return (
-        stream.writeStream.foreachBatch(lambda df, i: append_batch(df, i, path, newest, keys))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def stream_upsert(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], newest: list[str], buckets: int = 16
+) -> StreamingQuery:
+    """Keep the latest row per key in a `KeyedStore`: the last micro-batch of a key wins, then the newest columns.
+
+    A store belongs to one stream: batches are known by their numbers, and one that was loaded is left out.
+    """
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        KeyedStore(batch.sparkSession, path, keys, newest, buckets).load(batch, batch_id)
+
+    return stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_latest(spark: SparkSession, path: str, keys: list[str], newest: list[str]) -> DataFrame:
-    """The store as of now: the last load of a key wins, then the newest columns."""
-    stored = spark.read.parquet(path).withColumn(LOAD, F.col(LOAD).cast("bigint"))
-    return upsert_latest(stored, keys, [LOAD, *newest]).drop(LOAD)
+    """The store as of now."""
+    return KeyedStore(spark, path, keys, newest).read()
