@@ -28,8 +28,7 @@ def _only(numbered: DataFrame, name: str, kept: DataFrame) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or between two languages, go."""
-    dictionaries = language_id.train(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
-    kept = language_id.identify(docs, dictionaries).where("not rejected").drop(*language_id.NEW_COLUMNS)
+    kept = language_id.identify(docs, *language_id.learned(docs)).where("not rejected").drop(*language_id.NEW_COLUMNS)
     return kept.withColumnsRenamed({f"in_{c}": c for c in language_id.NEW_COLUMNS if c in docs.columns})
 
 
