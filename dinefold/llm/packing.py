@@ -5,18 +5,20 @@ nothing is dropped. Pieces are dealt to packing groups of bounded size by a hash
 its own, longest pieces first:
 
 1. a piece goes into the open bin that it fills best;
-2. if none has room, the permitted lengths are weighed against each other: each is filled on trial with
-   the longest pieces still to come, and the one with the least cost per packed token is opened;
+2. if none has room, a bin is opened, of the length that the group's plan names for the piece's length class;
 3. at the end, each bin shrinks to the smallest permitted length that holds its contents.
 
+The plan is chosen for all permitted lengths of a group jointly. It starts with the smallest length that holds the piece.
+Then one class after the other tries every longer length, the whole group is packed and shrunk, and the plan of
+least total cost is kept, until a round over all classes changes nothing or `ROUNDS` are done. So the
+layout never costs more than that of the smallest fit.
+
 The cost of a bin of length c is c * (1 + ATTENTION * c): a part in proportion to its tokens and a part
 that grows with the square of its length.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,48 +30,22 @@ SIZES = (2048, 4096, 8192, 16384)
 ATTENTION = 1 / 65536
 #: Pieces of one packing group, on average.
 GROUP_PIECES = 20000
-TRIAL_PIECES = 16
+#: Length classes of a plan, by equal shares of the pieces; rounds in search of the plan.
+CLASSES = 12
+ROUNDS = 2
 
 
 def cost(size: int) -> float:
     return size * (1 + ATTENTION * size)
 
 
-class Waiting:
-    """The lengths still to be packed, for trial fills: how many of each are left."""
-
-    def __init__(self, lengths: np.ndarray):
-        values, counts = np.unique(lengths, return_counts=True)
-        self.values, self.counts = values.tolist(), counts.tolist()
-        self.place = {v: i for i, v in enumerate(self.values)}
-
-    def take(self, length: int) -> None:
-        self.counts[self.place[length]] -= 1
-
-    def fill(self, room: int) -> int:
-        """Tokens that the longest waiting pieces put into a room, on trial."""
-        used, at, pieces = 0, bisect_right(self.values, room) - 1, 0
-        while at >= 0 and pieces < TRIAL_PIECES:
-            if not self.counts[at]:
-                at -= 1
-                continue
-            k = min(self.counts[at], (room - used) // self.values[at])
-            used += k * self.values[at]
-            pieces += 1
-            at = min(at, bisect_right(self.values, room - used)) - 1
-        return used
-
-
-def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset, bin size) of each length; lengths are in descending order and within the largest size."""
-    waiting = Waiting(lengths)
-    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+def fill(lengths: list[int], opened: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """(bin, offset) of each length and the tokens of each bin; piece i opens a bin of opened[i] if none has room."""
+    bins, offsets = [0] * len(lengths), [0] * len(lengths)
     used: list[int] = []
     by_room: dict[int, list[int]] = {}
     rooms = 0  # bit r is set if a bin with room r is open
-    capacity: list[int] = []
-    for i, length in enumerate(lengths.tolist()):
-        waiting.take(length)
+    for i, length in enumerate(lengths):
         fits = rooms >> length
         if fits:
             room = length + (fits & -fits).bit_length() - 1
@@ -77,18 +53,50 @@ def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarra
             if not by_room[room]:
                 rooms &= ~(1 << room)
         else:
-            size = min((s for s in sizes if s >= length), key=lambda s: (cost(s) / (length + waiting.fill(s - length)), s))
-            b, room = len(used), size
+            b, room = len(used), opened[i]
             used.append(0)
-            capacity.append(size)
         bins[i], offsets[i] = b, used[b]
         used[b] += length
         left = room - length
         if left:
             by_room.setdefault(left, []).append(b)
             rooms |= 1 << left
-    final = np.array(sorted(sizes))[np.searchsorted(sorted(sizes), used)] if used else np.empty(0, np.int64)
-    return bins, offsets, final[bins]
+    return bins, offsets, used
+
+
+def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, bin size) of each length; lengths are in descending order and within the largest size."""
+    if not len(lengths):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    permitted = np.array(sorted(sizes))
+    costs = np.array([cost(int(c)) for c in permitted])
+    smallest = np.searchsorted(permitted, lengths)
+    ends = np.quantile(lengths, np.arange(1, classes) / classes, method="lower")
+    kind = np.searchsorted(np.unique(ends), lengths)
+    plain = lengths.tolist()
+
+    def layout(plan: np.ndarray):
+        out = fill(plain, permitted[np.maximum(smallest, plan[kind])].tolist())
+        final = np.searchsorted(permitted, out[2])
+        return float(costs[final].sum()), out, permitted[final]
+
+    plan = np.zeros(int(kind.max()) + 1, np.int64)
+    best = layout(plan)
+    for _ in range(rounds):
+        before = best[0]
+        for k in range(len(plan)):
+            # Plans below the smallest fit of the class are all the same plan.
+            least = int(smallest[kind == k].min(initial=len(permitted)))
+            for size in (s for s in range(least, len(permitted)) if s != max(least, plan[k])):
+                tried = plan.copy()
+                tried[k] = size
+                found = layout(tried)
+                if found[0] < best[0]:
+                    plan, best = tried, found
+        if best[0] == before:
+            break
+    bins, offsets = (np.array(x, np.int64) for x in best[1][:2])
+    return bins, offsets, best[2][bins]
 
 
 def pieces_of(df: DataFrame, id_col: str, length, largest: int) -> DataFrame:
@@ -123,7 +131,9 @@ def best_fit(df: DataFrame, length, id_col: str = "doc_id", sizes: tuple[int, ..
         return out
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    return dealt.groupBy("_group").applyInArrow(one, "doc_id long, piece long, piece_start long, length int, bin_id long, bin_offset long, bin_size int")
+    # Groups are small tables but long work: a number of partitions that is named is not lowered at run time.
+    tasks = min(groups, max(int(spark.conf.get("spark.sql.shuffle.partitions")), groups // 16))
+    return dealt.repartition(tasks, "_group").groupBy("_group").applyInArrow(one, "doc_id long, piece long, piece_start long, length int, bin_id long, bin_offset long, bin_size int")
 
 
 def byte_tokens(text_col: str = "text"):

@@ -46,32 +46,15 @@ def test_fisher_yates_is_uniform():
     assert len(seen) == 6 and min(seen.values()) > 850
 
 
-def plain_best_fit(lengths, sizes):
-    """The same rules with plain loops over all open bins and over every waiting piece."""
-    bins = []
-    left = sorted(lengths)
-    out = []
-    for length in lengths:
-        left.remove(length)
+def plain_fill(lengths, opened, sizes):
+    """Best fit by plain loops over all open bins: (bin, offset) of each length, final size of each bin."""
+    bins, out = [], []
+    for length, size in zip(lengths, opened, strict=True):
         fits = [b for b in bins if b[0] - b[1] >= length]
         if fits:
             room = min(b[0] - b[1] for b in fits)
-            b = [b for b in fits if b[0] - b[1] == room][-1]
             b = max((x for x in fits if x[0] - x[1] == room), key=lambda x: x[2])
         else:
-            def trial(size):
-                used, pool, distinct = 0, list(left), 0
-                while distinct < packing.TRIAL_PIECES:
-                    fitting = [v for v in pool if v <= size - length - used]
-                    if not fitting:
-                        break
-                    top = max(fitting)
-                    k = min(pool.count(top), (size - length - used) // top)
-                    used += k * top
-                    pool = [v for v in pool if v < top]
-                    distinct += 1
-                return packing.cost(size) / (length + used)
-            size = min((s for s in sizes if s >= length), key=lambda s: (trial(s), s))
             b = [size, 0, 0, len(bins)]
             bins.append(b)
         out.append((b[3], b[1]))
@@ -80,16 +63,49 @@ def plain_best_fit(lengths, sizes):
     return out, [min(s for s in sizes if s >= b[1]) for b in bins]
 
 
+def plain_search(lengths, sizes, classes, rounds):
+    """The layout of the plan that the rules of the docstring arrive at."""
+    up = sorted(lengths)
+    ends = sorted({up[i * (len(up) - 1) // classes] for i in range(1, classes)})
+    kind = [sum(e < x for e in ends) for x in lengths]
+    fit = [min(s for s in sizes if s >= x) for x in lengths]
+    total = lambda found: sum(packing.cost(c) for c in found[1])
+    layout = lambda plan: plain_fill(lengths, [max(f, plan[k]) for f, k in zip(fit, kind, strict=True)], sizes)
+    plan = [0] * (max(kind) + 1)
+    best, seen = layout(plan), None
+    for _ in range(rounds):
+        if seen == total(best):
+            break
+        seen = total(best)
+        for k in range(len(plan)):
+            for size in sizes:
+                found = layout(plan[:k] + [size] + plan[k + 1 :])
+                if total(found) < total(best):
+                    plan, best = plan[:k] + [size] + plan[k + 1 :], found
+    return best
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_pack_equals_plain_loops(seed):
     rng = random.Random(seed)
-    lengths = sorted((rng.randint(1, rng.choice([10, 40, 64])) for _ in range(300)), reverse=True)
-    bins, offsets, size = packing.pack(np.array(lengths), (16, 32, 64))
-    placed, final = plain_best_fit(lengths, (16, 32, 64))
+    lengths = sorted((rng.randint(1, rng.choice([10, 40, 64])) for _ in range(120)), reverse=True)
+    bins, offsets, size = packing.pack(np.array(lengths), (16, 32, 64), classes=4)
+    placed, final = plain_search(lengths, (16, 32, 64), 4, packing.ROUNDS)
     assert list(zip(bins.tolist(), offsets.tolist())) == placed
     assert size.tolist() == [final[b] for b in bins]
 
 
+def test_lengths_are_chosen_jointly():
+    """Pieces just over half of the smallest length share a longer bin: cheaper than the smallest fit, full lengths stay."""
+    sizes = (2048, 4096, 8192, 16384)
+    for lengths in ([1300] * 300, [2048] * 50 + [1100] * 90 + [10] * 5, [5000] * 40 + [1300] * 40):
+        bins, _, size = packing.pack(np.array(lengths), sizes)
+        total = sum(packing.cost(int(c)) for c in dict(zip(bins.tolist(), size.tolist())).values())
+        smallest = plain_fill(lengths, [min(s for s in sizes if s >= x) for x in lengths], sizes)[1]
+        assert total < 0.95 * sum(packing.cost(c) for c in smallest)
+    assert set(packing.pack(np.array([2048] * 20), sizes)[2]) == {2048}
+
+
 def check_bins(rows, lengths, sizes):
     bins, docs = {}, {}
     for r in rows:
