@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dinefold import params as P
-from dinefold.functions.business import range_end, range_start
-from dinefold.functions.cells import is_digit_id, is_empty_cell, parse_time
+from dinefold.functions.business import normalize_store, range_end, range_start
+from dinefold.functions.cells import cell_at, is_digit_id, is_empty_cell, parse_time, strip
 from dinefold.sources import grid as G
 
 SHEET_KEY = {P.ORDERS_SHEET: "pos_orders", P.ITEMS_SHEET: "pos_items", P.TAKEAWAY_SHEET: "takeaway"}
@@ -442,7 +442,7 @@ def fail_gate(report: DataFrame, sink: str | None = None) -> None:
 
 
 def precheck_levels(files: DataFrame) -> DataFrame:
-    """Error, Warning and Info lines per file."""
+    """Error, Warning and Info lines of checked files; `precheck_orders` and `precheck_visits` add those that need the rows."""
 
     def line(level, code, detail):
         return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), detail.alias("detail"))
@@ -459,3 +459,63 @@ def precheck_levels(files: DataFrame) -> DataFrame:
     errors = F.transform("issues", lambda x: F.struct(F.lit("Error").alias("level"), x["code"].alias("code"), x["message"].alias("detail")))
     kind = "array<struct<level:string,code:string,detail:string>>"
     return files.select("file", F.inline(F.concat(errors.cast(kind), F.array_compact(facts).cast(kind))))
+
+
+def _line(level: str, code: str, detail: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), detail.cast("string").alias("detail"))
+
+
+def _lines(facts: DataFrame, *lines: Column) -> DataFrame:
+    kind = "array<struct<level:string,code:string,detail:string>>"
+    return facts.select("file", F.inline(F.array_compact(F.array(*lines)).cast(kind)))
+
+
+def precheck_orders(grid: DataFrame) -> DataFrame:
+    """Lines from the rows of order and takeaway sheets: orders, empty amounts, returns and platforms.
+
+    Rows are counted per file, sheet and platform, on the map side first; totals and platforms both come from those counts.
+    """
+    sheets = grid.filter(F.col("sheet").isin(P.ORDERS_SHEET, P.TAKEAWAY_SHEET))
+    rows = valid_id_rows(G.data_rows(sheets, G.locate_headers(sheets)))
+    cell = lambda name: cell_at(F.col("cells"), F.col("header"), name)
+    takeaway = F.col("sheet") == P.TAKEAWAY_SHEET
+    lacks = F.array_contains("header", P.AMOUNT_COLUMN) & is_empty_cell(cell(P.AMOUNT_COLUMN))
+    per = rows.groupBy("file", "sheet", F.when(takeaway, strip(cell(P.PLATFORM_COLUMN))).alias("platform")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(lacks).alias("n_empty"),
+        F.count_if(takeaway & (strip(cell(P.STATUS_COLUMN)) == P.TAKEAWAY_RETURNED)).alias("n_returned"),
+    )
+    sums = per.groupingSets([["file", "sheet"], ["file", "sheet", "platform"]], "file", "sheet", "platform").agg(
+        F.grouping("platform").alias("whole"), F.sum("n").alias("n"), F.sum("n_empty").alias("n_empty"), F.sum("n_returned").alias("n_returned")
+    )
+    whole = F.col("whole") == 1
+    return _lines(
+        sums,
+        F.when(whole, _line("Info", "orders", F.col("n"))),
+        F.when(whole & (F.col("n_empty") > 0), _line("Warning", "empty_amounts", F.col("n_empty"))),
+        F.when(whole & (F.col("n_returned") > 0), _line("Warning", "returns", F.col("n_returned"))),
+        F.when(~whole & ~is_empty_cell(F.col("platform")), _line("Info", "platform", F.col("platform"))),
+    )
+
+
+def precheck_visits(grid: DataFrame) -> DataFrame:
+    """Lines from the other files: visits and stores of a visit file, stores mixed in one file, files of no known kind."""
+    kinds = G.detect_file_kind(grid)
+    visits = grid.join(kinds.filter(F.col("kind") == "visits"), "file", "left_semi")
+    head = visits.filter("row_idx = 0").select("file", "sheet", F.col("cells").alias("header"))
+    rows = visits.join(head, ["file", "sheet"])
+    data = F.col("row_idx") > 0
+    raw = strip(cell_at(F.col("cells"), F.col("header"), P.VISIT_STORE_COLUMN))
+    store = F.when(data & ~is_empty_cell(raw), normalize_store(raw)).alias("store")
+    per = rows.groupBy("file", store).agg(F.count_if(data).alias("n"))
+    sums = per.groupingSets([["file"], ["file", "store"]], "file", "store").agg(
+        F.grouping("store").alias("whole"), F.sum("n").alias("n"), F.count("store").alias("n_stores")
+    )
+    whole = F.col("whole") == 1
+    lines = _lines(
+        sums,
+        F.when(whole, _line("Info", "visits", F.col("n"))),
+        F.when(whole & (F.col("n_stores") > 1), _line("Warning", "mixed_stores", F.col("n_stores"))),
+        F.when(~whole & F.col("store").isNotNull(), _line("Info", "store", F.col("store"))),
+    )
+    unknown = kinds.filter(F.col("kind") == "unknown")
+    return lines.unionByName(_lines(unknown, _line("Warning", "unknown_file", F.col("file"))))

@@ -38,6 +38,10 @@ SIZE_SUFFIXES = ("小瓶", "大瓶", "杯", "扎", "壶", "盅")
 
 TAKEAWAY_DONE = "已完成"
 TAKEAWAY_RETURNED = "已退单"
+AMOUNT_COLUMN = "订单金额"
+PLATFORM_COLUMN = "订单来源"
+STATUS_COLUMN = "订单状态"
+VISIT_STORE_COLUMN = "店面"
 DELIVERY_WAITING = "待配送"
 DELIVERY_DONE = "已送达"
 PERSONAL_COLUMNS = ("recipient_name", "recipient_phone", "address")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from dinefold import params as P
@@ -307,22 +309,46 @@ def fail_gate(spark, sf):
     return V.gate_text(V.validate_pos(order_files(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
 
 
+# Files whose store and period are known, and the rows that the precheck counts.
+STEPS["gknown"] = """select p.* from gperiod p left join gposfile f using (file) where coalesce(complete, true)"""
+STEPS["gvalid"] = """
+  select file, sheet, cells[list_position(header, '订单金额')] as amount, trim(cells[list_position(header, '订单来源')], ' 　') as platform,
+    trim(cells[list_position(header, '订单状态')], ' 　') as status
+  from grows where sheet <> '商品-店内订单明细' and coalesce(regexp_full_match(cells[list_position(header, key)], '[0-9]+'), false)"""
+STEPS["gtable"] = """
+  select g.file, g.row_idx, g.cells[list_position(h.cells, '店面')] as store from gvisits g join gvisits h
+    on h.file = g.file and h.row_idx = 0 and list_has_all(h.cells, ['订单号', '就餐人数', '语音转录', '总体满意度评分'])"""
+
+
 @query(
     "precheck_levels",
     goracle(
-        r"""select file, 'Error' as level, code, message as detail from gissue
+        rf"""select file, 'Error' as level, code, message as detail from gissue
+        union all select file, 'Error', code, message from gnullmsg where sheet = '平台外卖订单明细'
+        union all select file, 'Error', code, message from gdatemsg where contains(file, '外卖')
         union all select file, 'Warning', 'period_differs_from_name', concat(period_start, '~', period_end)
-          from gperiod join gposfile using (file) where complete and (period_start <> regexp_extract(file, '(\d{4}-\d{2}-\d{2})', 1)
-            or period_end <> regexp_extract(file, '~(\d{4}-\d{2}-\d{2})', 1))
-        union all select file, 'Warning', 'unknown_store', store_name from gperiod join gposfile using (file)
-          where complete and store_name = '未知门店'
-        union all select file, 'Info', 'store', store_name from gperiod join gposfile using (file) where complete
-        union all select file, 'Info', 'period', concat(period_start, '~', period_end) from gperiod join gposfile using (file)
-          where complete and period_start is not null"""
+          from gknown where period_start <> regexp_extract(file, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)
+            or period_end <> regexp_extract(file, '~(\d{{4}}-\d{{2}}-\d{{2}})', 1)
+        union all select file, 'Warning', 'unknown_store', store_name from gknown where store_name = '未知门店'
+        union all select file, 'Info', 'store', store_name from gknown
+        union all select file, 'Info', 'period', concat(period_start, '~', period_end) from gknown where period_start is not null
+        union all select file, 'Info', 'orders', cast(count(*) as varchar) from gvalid group by file
+        union all select file, 'Warning', 'empty_amounts', cast(count(*) as varchar) from gvalid where {EMPTY.format('amount')} group by file
+        union all select file, 'Warning', 'returns', cast(count(*) as varchar) from gvalid where status = '已退单' group by file
+        union all select distinct file, 'Info', 'platform', platform from gvalid where sheet = '平台外卖订单明细'
+        union all select file, 'Info', 'visits', cast(count(*) filter (where row_idx > 0) as varchar) from gtable group by file
+        union all select distinct file, 'Info', 'store', store from gtable where row_idx > 0
+        union all select file, 'Warning', 'mixed_stores', cast(count(distinct store) as varchar) from gtable where row_idx > 0
+          group by file having count(distinct store) > 1
+        union all select distinct file, 'Warning', 'unknown_file', file from gvisits where starts_with(file, 'other_')"""
     ),
 )
 def precheck_levels(spark, sf):
-    return V.precheck_levels(V.pos_files(order_files(spark, sf), SCHEMA, V.closures_frame(spark, CLOSURES)))
+    """All four kinds of files."""
+    g, closures = stored(grid(spark, sf), "grid"), V.closures_frame(spark, CLOSURES)
+    checked = [V.pos_files(g, SCHEMA, closures), V.takeaway_files(g, {}, closures, strict_dates=True)]
+    lines = [*map(V.precheck_levels, checked), V.precheck_orders(g), V.precheck_visits(g)]
+    return functools.reduce(lambda a, b: a.unionByName(b), lines)
 
 
 # --- configuration documents, one per event user --------------------------------

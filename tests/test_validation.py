@@ -233,3 +233,27 @@ def test_column_stats_count_patterns(spark):
     got = {r["pos"]: (r["filled"], r["n_valid"], r["n_full"], sorted(d.day for d in r["days"])) for r in stats.collect()}
     assert got == {0: (True, 5, 5, []), 1: (True, 5, 2, []), 2: (True, 4, 4, [1, 2, 3]), 3: (True, 4, 3, [1, 4])}
     assert "posexplode(slice" not in stats._jdf.queryExecution().toString().lower()
+
+
+def test_precheck_lines_from_rows(spark):
+    """Orders, empty amounts, returns, platforms, visits, mixed stores and unknown files; rows without a valid id don't count."""
+    take, csv_head = "t.xlsx", ["订单号", "就餐人数", "店面", "语音转录", "总体满意度评分"]
+    rows = [
+        ("p.xlsx", P.ORDERS_SHEET, 1, ["订单号", "订单金额"]), ("p.xlsx", P.ORDERS_SHEET, 2, ["1", "5"]), ("p.xlsx", P.ORDERS_SHEET, 3, ["2", None]),
+        ("p.xlsx", P.ORDERS_SHEET, 4, ["合计", ""]), ("p.xlsx", P.ITEMS_SHEET, 1, ["订单号"]), ("p.xlsx", P.ITEMS_SHEET, 2, ["1"]),
+        (take, P.TAKEAWAY_SHEET, 0, ["外卖订单号", "订单来源", "订单状态"]),
+        (take, P.TAKEAWAY_SHEET, 1, ["1", "美团外卖", "已退单 "]), (take, P.TAKEAWAY_SHEET, 2, ["2", " 美团外卖", "已完成"]),
+        (take, P.TAKEAWAY_SHEET, 3, ["3", None, None]), (take, P.TAKEAWAY_SHEET, 4, ["-", "饿了么", "已退单"]),
+        ("v.csv", "csv", 0, csv_head), ("v.csv", "csv", 1, ["1", "2", "万荷餐厅", "", "5"]), ("v.csv", "csv", 2, ["2", "2", "保利广场店", "", "5"]),
+        ("v.csv", "csv", 3, ["3", "2", None, "", "5"]), ("桌探数据.csv", "csv", 0, csv_head), ("x.csv", "csv", 0, ["a", None]),
+    ]
+    g = spark.createDataFrame(rows, "file string, sheet string, row_idx long, cells array<string>")
+    got = sorted(map(tuple, V.precheck_orders(g).unionByName(V.precheck_visits(g)).collect()))
+    assert got == sorted([
+        ("p.xlsx", "Info", "orders", "2"), ("p.xlsx", "Warning", "empty_amounts", "1"),
+        (take, "Info", "orders", "3"), (take, "Warning", "returns", "1"), (take, "Info", "platform", "美团外卖"),
+        ("v.csv", "Info", "visits", "3"), ("v.csv", "Info", "store", "万荷店"), ("v.csv", "Info", "store", "保利店"),
+        ("v.csv", "Warning", "mixed_stores", "2"), ("桌探数据.csv", "Info", "visits", "0"), ("x.csv", "Warning", "unknown_file", "x.csv"),
+    ])
+    none = g.limit(0)
+    assert V.precheck_orders(none).count() == V.precheck_visits(none).count() == 0
