@@ -1,7 +1,14 @@
-"""Drink statistics over the guests and groups of the merge."""
+"""Drink statistics over the guests and groups of the merge.
+
+Groups are counted by the set of drink categories they had: a group belongs to one store and day, so counts of sets add
+up over days and stores, and a level (a category, a dimension, all drinks) is the sum of the sets that meet it. Eleven
+categories make at most 2047 sets for each `by`, whatever the number of groups.
+"""
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +40,44 @@ def _totals(groups: DataFrame, pos: DataFrame, takeaway: DataFrame, by: list[str
     return guests.join(revenue, by, "full")
 
 
-def _measures() -> list[Column]:
-    return [
-        F.countDistinct("group_id").alias("n_groups"),
-        F.sum("qty").alias("qty"),
-        F.sum("item_revenue").alias("revenue"),
-    ]
+#: The bit of each category in a set of categories.
+BITS = {c: 1 << i for i, c in enumerate([*P.DRINKS_SOFT, *P.DRINKS_ALCOHOL])}
+LEVELS = {SOFT: sum(BITS[c] for c in P.DRINKS_SOFT), ALCOHOL: sum(BITS[c] for c in P.DRINKS_ALCOHOL), ALL: sum(BITS.values())}
+
+
+class Drinks(NamedTuple):
+    """`sets` (by, categories, n_groups) and `sums` (by, dimension, category, qty, revenue); both add up over days."""
+
+    sets: DataFrame
+    sums: DataFrame
+
+
+def drink_sets(sold: DataFrame, by: list[str]) -> DataFrame:
+    """How many groups had each set of categories; lines without a group count for none."""
+    bit = F.coalesce(*[F.when(F.col("category") == c, F.lit(b)) for c, b in BITS.items()])
+    per = drink_scope(sold).filter("group_id is not null").groupBy(*by, "group_id").agg(F.bit_or(bit).alias("categories"))
+    return per.groupBy(*by, "categories").agg(F.count(F.lit(1)).alias("n_groups"))
+
+
+def drink_sums(sold: DataFrame, by: list[str]) -> DataFrame:
+    return drink_scope(sold).groupBy(*by, "dimension", "category").agg(
+        F.sum("qty").alias("qty"), F.sum("item_revenue").alias("revenue")
+    )
+
+
+def drinks_of(sold: DataFrame, by: list[str]) -> Drinks:
+    return Drinks(drink_sets(sold, by), drink_sums(sold, by))
+
+
+def _stats(drinks: Drinks, by: list[str], level: str, masks: dict[str, int]) -> DataFrame:
+    """Groups, portions and revenue per `by` and `level`; its values are the keys of masks."""
+    hit = lambda m: F.when(F.col("categories").bitwiseAND(F.lit(m)) != 0, F.col("n_groups")).otherwise(0)
+    wide = drinks.sets.groupBy(*by).agg(*[F.sum(hit(m)).alias(f"n{i}") for i, m in enumerate(masks.values())])
+    counts = wide.select(*by, F.inline(F.array(
+        *[F.struct(F.lit(name).alias(level), F.col(f"n{i}").alias("n_groups")) for i, name in enumerate(masks)]
+    )))
+    sums = drinks.sums.groupBy(*by, level).agg(F.sum("qty").alias("qty"), F.sum("revenue").alias("revenue"))
+    return sums.join(counts, [*by, level], "left").withColumn("n_groups", F.coalesce("n_groups", F.lit(0)))
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -48,32 +87,47 @@ def _rates(df: DataFrame) -> DataFrame:
     ).drop("guests", "total_revenue")
 
 
+def category_stats(drinks: Drinks, totals: DataFrame, by: list[str]) -> DataFrame:
+    stats = _stats(drinks, by, "category", BITS).withColumn("dimension", dimension(F.col("category")))
+    return _rates(stats.join(totals, by))
+
+
+def dimension_stats(drinks: Drinks, totals: DataFrame, by: list[str]) -> DataFrame:
+    """Subtotals of both dimensions and of all drinks; a group with both counts in each and once in all."""
+    # At most eleven rows for each `by` become two each.
+    scope = F.explode(F.array(F.col("dimension"), F.lit(ALL))).alias("scope")
+    levels = Drinks(drinks.sets, drinks.sums.select(*by, scope, "qty", "revenue"))
+    return _rates(_stats(levels, by, "scope", LEVELS).join(totals, by))
+
+
 def drink_category_stats(sold: DataFrame, groups: DataFrame, pos: DataFrame, takeaway: DataFrame, by: list[str]) -> DataFrame:
-    stats = drink_scope(sold).groupBy(*by, "dimension", "category").agg(*_measures())
-    return _rates(stats.join(_totals(groups, pos, takeaway, by), by))
+    return category_stats(drinks_of(sold, by), _totals(groups, pos, takeaway, by), by)
 
 
 def drink_dimension_stats(sold: DataFrame, groups: DataFrame, pos: DataFrame, takeaway: DataFrame, by: list[str]) -> DataFrame:
-    """Subtotals of both dimensions and of all drinks; groups are counted anew on each level."""
-    stats = drink_scope(sold).groupingSets([[*by, "dimension"], by], *by, "dimension").agg(
-        F.when(F.grouping("dimension") == 1, F.lit(ALL)).otherwise(F.col("dimension")).alias("scope"), *_measures()
-    ).drop("dimension")
-    return _rates(stats.join(_totals(groups, pos, takeaway, by), by))
+    return dimension_stats(drinks_of(sold, by), _totals(groups, pos, takeaway, by), by)
 
 
 def drink_compare(
     sold: DataFrame, groups: DataFrame, pos: DataFrame, takeaway: DataFrame, period: Period, by: list[str]
+) -> DataFrame:
+    daily = drinks_of(in_period(sold, "biz_date", period).drop("role"), [*by, "biz_date"])
+    return drink_compare_daily(daily, groups, pos, takeaway, period, by)
+
+
+def drink_compare_daily(
+    daily: Drinks, groups: DataFrame, pos: DataFrame, takeaway: DataFrame, period: Period, by: list[str]
 ) -> DataFrame:
     """Three lines per category: this, previous and last year's period, each against this one.
 
-    Every input is read once; its rows carry the period they fall into.
+    `daily` are the marts of each day, with `by` and `biz_date`. Every input is read once; its rows carry the
+    period they fall into.
     """
     key = [*by, "role"]
-    s, g = in_period(sold, "biz_date", period), in_period(groups, "biz_date", period)
+    g = in_period(groups, "biz_date", period)
     p, t = in_period(pos, "biz_date", period), in_period(takeaway, "business_date", period)
-    stats = _rates(
-        drink_scope(s).groupBy(*key, "category").agg(*_measures()).join(_totals(g, p, t, key), key)
-    )
+    drinks = Drinks(*[in_period(x, "biz_date", period) for x in daily])
+    stats = category_stats(drinks, _totals(g, p, t, key), key)
     wide = stats.groupBy(*by, "category").agg(
         *[F.max(F.when(F.col("role") == r, F.struct("n_groups", "qty", "revenue", "attach_rate", "revenue_share"))).alias(r) for r in ROLES]
     )

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dinefold.operators import cleaning as C
+from dinefold.operators import drinks as D
 from dinefold.operators import marts as M
 from dinefold.operators.groups import groups_from_merged, kept
 from dinefold.operators.sessions import DAY, session_merge, with_slots
@@ -26,6 +28,12 @@ from dinefold.sources.store import mart_overwrite
 
 PART = ["biz_date", "store"]
 MARTS = {"daily_overview": M.daily_overview, "daily_buckets": M.daily_buckets, "daily_opener_stats": M.daily_opener_stats}
+# Marts of the lines of counted groups.
+LINE_MARTS = {"daily_drink_sets": D.drink_sets, "daily_drinks": D.drink_sums}
+
+
+def line_mart(name: str, lines: DataFrame) -> DataFrame:
+    return LINE_MARTS[name](C.sold_items(lines.filter("counted")), PART)
 
 
 def _digest(cols: list[str]):
@@ -55,8 +63,17 @@ class History:
         folder, fs = self._folder(name)
         return fs.exists(folder)
 
+    def _filled(self, name: str) -> bool:
+        folder, fs = self._folder(name)
+        return bool(len(fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder, "biz_date=*/store=*")) or []))
+
     def table(self, name: str) -> DataFrame:
-        """A stored table. Partition columns keep their types, whatever the values look like; a blank store stays blank."""
+        """A stored table. Partition columns keep their types, whatever the values look like; a blank store stays blank.
+
+        A mart that no load gave rows, or that a load before this mart came did not write, is computed from its lines.
+        """
+        if name in LINE_MARTS and not self._filled(name):
+            return line_mart(name, self.table("items"))
         path = f"{self.path}/{name}"
         found = self.spark.read.parquet(path).schema
         data = [f for f in found.fields if f.name not in PART]
@@ -123,9 +140,12 @@ class History:
             return stored(rows.unionByName(rest[name]) if rest else rows, f"history-{name}")
 
         all_groups = whole("groups", groups)
-        self._replace("items", whole("items", sold), parts)
+        all_items = whole("items", sold)
+        self._replace("items", all_items, parts)
         self._replace("groups", all_groups, parts)
         for name, mart in MARTS.items():
             self._replace(name, stored(mart(kept(all_groups)), f"history-{name}"), parts)
+        for name in LINE_MARTS:
+            self._replace(name, stored(line_mart(name, all_items), f"history-{name}"), parts)
         self._replace("orders", whole("orders", merged), parts)
         return days

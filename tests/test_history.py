@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from dinefold.operators import groups as G
 from dinefold.operators import sessions as S
 from dinefold.operators.periods import Period, in_period
-from dinefold.sources.history import MARTS, PART, History
+from dinefold.sources.history import LINE_MARTS, MARTS, PART, History, line_mart
 from tests.helpers import DAY, ITEM, ORDER, frames, items_of, order, random_case
 
 
@@ -50,6 +50,10 @@ def equals_one_load(spark, history, orders, items):
     for name, mart in MARTS.items():
         stored = history.table(name)
         assert rows(stored) == rows(mart(G.kept(groups)).select(*stored.columns)), name
+    of = items.join(counted.select("order_no", "group_id", "biz_date", "store"), "order_no").withColumn("counted", F.lit(True))
+    for name in LINE_MARTS:
+        stored = history.table(name)
+        assert rows(stored) == rows(line_mart(name, of).select(*stored.columns)), name
 
 
 def test_many_loads_equal_one(spark, tmp_path):

@@ -276,3 +276,41 @@ def test_merging_only_the_compared_days_changes_nothing(spark):
     assert "3" in [r["order_no"] for r in late.select("order_no").collect()]
     compare = lambda x: sorted(map(str, PD.period_compare(G.aggregate_groups(x, i), week, ["store"]).collect()))
     assert compare(o) == compare(few) and monday + timedelta(days=6) == week.bounds["current"][1]
+
+
+def test_drink_sets_of_days_add_up_to_distinct_groups(spark):
+    import random
+    from datetime import date
+
+    rnd = random.Random(3)
+    cats = [*P.DRINK_CATEGORIES, "炒菜"]
+    rows = [
+        (rnd.choice(["a", "b"]), date(2024, 3, 4 + g % 5), None if g == 7 else f"g{g}", rnd.choice(cats), Decimal(1), Decimal(2))
+        for g in range(60) for _ in range(rnd.randrange(0, 6))
+    ]
+    # A group lies in one store.
+    rows = [("ab"[int((r[2] or "g0")[1:]) % 2], *r[1:]) for r in rows]
+    sold_ = spark.createDataFrame(rows, "store string, biz_date date, group_id string, category string, qty decimal(18,2), item_revenue decimal(18,2)")
+    groups = spark.createDataFrame([("a", 4), ("b", 6)], "store string, guests int")
+    money = spark.createDataFrame([("a", Decimal(100)), ("b", Decimal(50))], "store string, revenue decimal(18,2)")
+    totals = D._totals(groups, money, money, ["store"])
+    daily = D.drinks_of(sold_, ["store", "biz_date"])
+
+    def expected(level):
+        out = {}
+        for store, _, group, cat, qty, _ in rows:
+            for name in level(cat) if cat in P.DRINK_CATEGORIES else ():
+                of, portions = out.setdefault((store, name), (set(), []))
+                of.add(group)
+                portions.append(qty)
+        return {k: (len(of - {None}), sum(q)) for k, (of, q) in out.items()}
+
+    side = lambda c: D.SOFT if c in P.DRINKS_SOFT else D.ALCOHOL
+    by_category = D.category_stats(daily, totals, ["store"])
+    assert {(r["store"], r["category"]): (r["n_groups"], r["qty"]) for r in by_category.collect()} == expected(lambda c: [c])
+    by_scope = D.dimension_stats(daily, totals, ["store"])
+    assert {(r["store"], r["scope"]): (r["n_groups"], r["qty"]) for r in by_scope.collect()} == expected(lambda c: [side(c), R.ALL])
+    for df in (by_category, by_scope):
+        assert "Expand" not in df._jdf.queryExecution().optimizedPlan().toString()
+    none = sold_.limit(0)
+    assert D.category_stats(D.drinks_of(none, ["store"]), totals, ["store"]).count() == 0
