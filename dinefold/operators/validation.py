@@ -7,13 +7,14 @@ list, one per sheet for missing columns, nine for empty cells and one for dates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dinefold import params as P
 from dinefold.functions.business import normalize_store, range_end, range_start
 from dinefold.functions.cells import cell_at, is_digit_id, is_empty_cell, parse_time, strip
+from dinefold.operators.periods import period_bounds
 from dinefold.sources import grid as G
 
 SHEET_KEY = {P.ORDERS_SHEET: "pos_orders", P.ITEMS_SHEET: "pos_items", P.TAKEAWAY_SHEET: "takeaway"}
@@ -260,20 +261,21 @@ def date_spine(periods: DataFrame) -> DataFrame:
     return periods.filter(start <= end).withColumn("day", F.explode(F.sequence(start, end)))
 
 
+def _open_days(days: DataFrame, closures: DataFrame) -> DataFrame:
+    """days (store_name, day, ...) without those on which the store, or every store, was closed."""
+    closed = closures.select(F.col("store").alias("store_name"), F.col("closed_date").try_cast("date").alias("day"))
+    everywhere = closed.filter(F.col("store_name") == P.ALL_STORES).select("day")
+    return days.join(everywhere, "day", "left_anti").join(closed, ["store_name", "day"], "left_anti")
+
+
 def date_coverage_gaps(periods: DataFrame, actual: DataFrame, closures: DataFrame) -> DataFrame:
     """Declared days without an order or an allowed closure.
 
     periods (file, store_name, period_start, period_end), actual (file, day),
     closures (store, closed_date as text).
     """
-    closed = closures.select(F.col("store").alias("store_name"), F.col("closed_date").try_cast("date").alias("day"))
-    everywhere = closed.filter(F.col("store_name") == P.ALL_STORES).select("day")
-    return (
-        date_spine(periods)
-        .join(actual.select("file", "day").distinct(), ["file", "day"], "left_anti")
-        .join(everywhere, "day", "left_anti")
-        .join(closed, ["store_name", "day"], "left_anti")
-    )
+    missing = date_spine(periods).join(actual.select("file", "day").distinct(), ["file", "day"], "left_anti")
+    return _open_days(missing, closures)
 
 
 def _date_issues() -> Column:
@@ -427,18 +429,22 @@ def fail_gate(report: DataFrame, sink: str | None = None) -> None:
     """Stop the load when any file failed.
 
     The message says how many files failed and with how many issues; the texts of all of them are in
-    the exception's `issues` and, with a sink, in a table written there. No text comes to the driver.
+    the exception's `issues` and, with a sink, in a table written there, which is empty when no file failed.
+    No text comes to the driver.
     """
     failed = gate_text(report)
-    lines = F.size(F.split("text", "\n  - ")) - 1
-    files, issues = failed.agg(F.count(F.lit(1)), F.sum(lines)).first()
-    if not files:
+    counts = [F.count(F.lit(1)).alias("files"), F.sum(F.size(F.split("text", "\n  - ")) - 1).alias("issues")]
+    if sink is None:
+        seen = failed.agg(*counts).first().asDict()
+    else:
+        # Counted while they are written: the checks run once.
+        gate = Observation()
+        failed.observe(gate, *counts).write.mode("overwrite").parquet(sink)
+        seen, failed = gate.get, report.sparkSession.read.schema(failed.schema).parquet(sink)
+    if not seen.get("files"):
         return
-    if sink is not None:
-        failed.write.mode("overwrite").parquet(sink)
-        failed = report.sparkSession.read.parquet(sink)
     where = f": {sink}" if sink else ""
-    raise ValidationFailed(f"{MSG_GATE} ({files} files, {issues} issues){where}", failed)
+    raise ValidationFailed(f"{MSG_GATE} ({seen['files']} files, {seen['issues']} issues){where}", failed)
 
 
 def precheck_levels(files: DataFrame) -> DataFrame:
@@ -519,3 +525,31 @@ def precheck_visits(grid: DataFrame) -> DataFrame:
     )
     unknown = kinds.filter(F.col("kind") == "unknown")
     return lines.unionByName(_lines(unknown, _line("Warning", "unknown_file", F.col("file"))))
+
+
+def precheck_history(periods: DataFrame, known: DataFrame, closures: DataFrame, mode: str) -> DataFrame:
+    """Lines that compare files with the history before they are loaded.
+
+    periods (file, store_name, period_start, period_end), known (store, biz_date) in any number of rows a day. Info:
+    days of the file's period that the history lacks (`new_days`) and has (`existing_days`), none for a file without
+    a valid period. Warning `little_history`: the period before, or the same one a year before, of the week or month
+    in which the file begins has days, closed ones aside, without an order of its store.
+    """
+    held = known.select(F.col("store").alias("store_name"), F.col("biz_date").alias("day")).distinct().withColumn("held", F.lit(True))
+    spine = date_spine(periods)
+    days = spine.join(held, ["store_name", "day"], "left").groupBy("file").agg(
+        F.count_if(F.col("held").isNull()).alias("new"), F.count_if("held").alias("old"),
+        *[f(F.when(F.col("held"), F.col("day"))).alias(n) for n, f in (("first", F.min), ("last", F.max))],
+    )
+    news = _lines(
+        days,
+        _line("Info", "new_days", F.col("new")),
+        F.when(F.col("old") > 0, _line("Info", "existing_days", F.format_string("%d (%s~%s)", "old", F.col("first").cast("string"), F.col("last").cast("string")))),
+    )
+    begin = F.date_trunc(mode, F.min("day").cast("timestamp_ntz")).cast("date").alias("period")
+    files = spine.groupBy("file", "store_name").agg(begin)
+    bounds = period_bounds(files.select(F.col("period").alias("order_date")), mode).filter("role <> 'current'")
+    wanted = files.join(bounds, "period").select("file", "store_name", "role", "start", "end", F.explode(F.sequence("start", "end")).alias("day"))
+    lacking = _open_days(wanted.join(held, ["store_name", "day"], "left_anti"), closures).groupBy("file", "role", "start", "end").agg(F.count(F.lit(1)).alias("n"))
+    detail = F.format_string("%s %s~%s: %d", "role", F.col("start").cast("string"), F.col("end").cast("string"), "n")
+    return news.unionByName(_lines(lacking, _line("Warning", "little_history", detail)))

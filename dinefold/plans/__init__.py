@@ -7,7 +7,7 @@ import importlib
 # One module per section of the inventory; importing it registers its queries.
 SECTIONS = (
     "merge", "validation", "cleaning", "sources", "visits", "anomalies", "reports", "corrected", "periods", "takeaway", "drinks",
-    "streams",
+    "streams", "precheck",
 )
 
 

@@ -257,3 +257,47 @@ def test_precheck_lines_from_rows(spark):
     ])
     none = g.limit(0)
     assert V.precheck_orders(none).count() == V.precheck_visits(none).count() == 0
+
+
+def test_gate_counts_while_it_writes(spark, tmp_path):
+    good = V.validate_pos(grid(spark, pos(days(1, 2, 3))), {}, V.closures_frame(spark, {}))
+    sink = str(tmp_path / "issues")
+    V.fail_gate(good, sink)
+    assert spark.read.schema("file string, text string").parquet(sink).count() == 0
+    runs = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        runs.add(1)
+        return text
+
+    bad = V.validate_pos(grid(spark, pos(days(1))), {}, V.closures_frame(spark, {}))
+    with pytest.raises(V.ValidationFailed) as e:
+        V.fail_gate(bad.withColumn("errors", counted("errors")), sink)
+    assert "1 files, 1 issues" in str(e.value) and e.value.issues.count() == 1 and runs.value == 1
+
+
+def test_precheck_against_the_history(spark):
+    from datetime import date
+
+    files = spark.createDataFrame(
+        [("a", "s", "2024-01-15", "2024-01-21"), ("b", "t", "2024-01-15", "2024-01-15"), ("c", "s", None, None), ("d", "s", "x", "y"), ("e", None, "2024-01-15", "2024-01-16")],
+        "file string, store_name string, period_start string, period_end string",
+    )
+    held = [("s", date(2024, 1, d)) for d in [*range(8, 15), 15, 17] for _ in range(3)] + [("s", date(2023, 1, d)) for d in range(16, 21)]
+    known = spark.createDataFrame([*held, ("t", None), (None, date(2024, 1, 8))], "store string, biz_date date")
+    closures = V.closures_frame(spark, {"s": ["2023-01-21"], P.ALL_STORES: ["2024-01-10"]})
+    rows = V.precheck_history(files, known, closures, "week")
+    got = sorted(map(tuple, rows.filter("file <> 'e'").collect()))
+    assert got == sorted([
+        ("a", "Info", "new_days", "5"), ("a", "Info", "existing_days", "2 (2024-01-15~2024-01-17)"),
+        ("a", "Warning", "little_history", "last_year 2023-01-16~2023-01-22: 1"),
+        ("b", "Info", "new_days", "1"), ("b", "Warning", "little_history", "previous 2024-01-08~2024-01-14: 6"),
+        ("b", "Warning", "little_history", "last_year 2023-01-16~2023-01-22: 7"),
+    ])
+    # A file of no known store has no history at all.
+    assert {r["detail"] for r in rows.filter("file = 'e'").collect()} >= {"2", "previous 2024-01-08~2024-01-14: 6"}
+    month = V.precheck_history(files, known, closures, "month").filter("file = 'b' and level = 'Warning'").collect()
+    assert {r["detail"] for r in month} == {"previous 2023-12-01~2023-12-31: 31", "last_year 2023-01-01~2023-01-31: 31"}
+    assert V.precheck_history(files.limit(0), known, closures, "week").count() == 0
+    assert V.precheck_history(files, known.limit(0), closures, "week").filter("code = 'existing_days'").count() == 0
