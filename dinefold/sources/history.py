@@ -63,6 +63,10 @@ class History:
         folder, fs = self._folder(name)
         return fs.exists(folder)
 
+    def _whole(self, name: str) -> bool:
+        """The mart holds all days; set once a load has written it from all lines. Readers skip names with `_`."""
+        return self.exists(f"{name}/_whole")
+
     def _filled(self, name: str) -> bool:
         folder, fs = self._folder(name)
         return bool(len(fs.globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(folder, "biz_date=*/store=*")) or []))
@@ -70,9 +74,10 @@ class History:
     def table(self, name: str) -> DataFrame:
         """A stored table. Partition columns keep their types, whatever the values look like; a blank store stays blank.
 
-        A mart that no load gave rows, or that a load before this mart came did not write, is computed from its lines.
+        A mart of lines that was never written whole, as in a history older than the mart, or that has no row, is
+        computed from the stored lines.
         """
-        if name in LINE_MARTS and not self._filled(name):
+        if name in LINE_MARTS and not (self._whole(name) and self._filled(name)):
             return line_mart(name, self.table("items"))
         path = f"{self.path}/{name}"
         found = self.spark.read.parquet(path).schema
@@ -146,6 +151,9 @@ class History:
         for name, mart in MARTS.items():
             self._replace(name, stored(mart(kept(all_groups)), f"history-{name}"), parts)
         for name in LINE_MARTS:
-            self._replace(name, stored(line_mart(name, all_items), f"history-{name}"), parts)
+            lines = all_items if first or self._whole(name) else self.table("items")
+            self._replace(name, stored(line_mart(name, lines), f"history-{name}"), parts)
+            folder, fs = self._folder(f"{name}/_whole")
+            fs.create(folder, True).close()
         self._replace("orders", whole("orders", merged), parts)
         return days

@@ -173,3 +173,16 @@ def test_no_orders_at_all(spark, tmp_path):
     assert history.load(*empty).count() == 0 and not history.exists()
     assert history.load(*frames(spark, [order("1", 10, 5)], [])).count() == 1
     assert history.load(*empty).count() == 0 and history.table("orders").count() == 1
+
+
+def test_a_history_older_than_its_drink_marts(spark, tmp_path):
+    orders = [order(str(i), 700 + 1440 * i, 100) for i in range(3)]
+    items = [r for i in range(3) for r in items_of(str(i), ["a"], category="啤酒")]
+    history = History(spark, str(tmp_path / "h"))
+    history.load(*frames(spark, orders[:2], items[:2]))
+    for name in LINE_MARTS:
+        shutil.rmtree(tmp_path / "h" / name)
+        assert history.table(name).count() == 2
+    history.load(*frames(spark, orders[2:], items[2:]))
+    assert history._whole("daily_drinks") and history._filled("daily_drinks")
+    equals_one_load(spark, history, *frames(spark, orders, items))
