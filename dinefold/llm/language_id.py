@@ -1,10 +1,11 @@
 """Language identification by compression with per-language dictionaries.
 
-Each language gets a raw-content zstandard dictionary made of passages of its training texts. A whole
-text, lower-cased, is compressed with every dictionary; the language with the smallest output wins. A
-margin between the two smallest outputs that is narrower than nearly all margins of labelled texts of its length class
-rejects the text: it stands between two languages. These floors are learned from labelled texts that are not
-in the dictionaries. A class with too few of them, and texts too short for a margin to mean anything, have no floor.
+Each language gets a raw-content zstandard dictionary of its most frequent words, counted over all its training
+texts but a quarter, which learns the floors. A whole text, lower-cased, is compressed with every dictionary; the
+language with the smallest output wins. A margin between the two smallest outputs that is narrower than nearly all
+margins of labelled texts of its length class rejects the text: it stands between two languages. These floors are
+learned from all labelled texts whose words are not in the dictionaries. A class with too few of them, and texts too
+short for a margin to mean anything, have no floor. Every labelled text is read for the one or for the other.
 """
 
 from __future__ import annotations
@@ -18,26 +19,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dinefold.llm.common import in_arrow
+from dinefold.session import stored
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 NEW_COLUMNS = ("lang_pred", "score", "rejected")
 
-#: Bounds of the training sample: languages, the most frequent ones; texts of one language; characters of a
-#: text's passage; bytes of a dictionary. At most half of a language's texts make its dictionary.
+#: Languages that are learned, the most frequent ones; bytes of a dictionary; characters of a word, longer ones are cut.
 LANGUAGES = 256
-SAMPLE_TEXTS = 400
-PASSAGE = 2048
 DICT_BYTES = 256 << 10
+WORD = 32
+#: The share of a language's texts whose words are counted; the others learn the floors.
+COUNTED = 0.75
+#: Counts from here on are one in the table by which a dictionary is filled.
+MANY = 1 << 16
 LEVEL = 7
 #: A text is compressed in blocks of this many bytes: memory doesn't grow with it, and the dictionary
 #: counts for more than the text's own beginning.
 BLOCK = 4 << 10
 #: Length classes begin at these numbers of bytes; shorter texts are never rejected for their margin.
 CLASSES = (64, 512, 4096)
-#: Labelled texts of one language that give the floors (a bound on the sample), the fewest of a class, and the share
-#: of correctly labelled texts that a floor may reject.
-FLOOR_TEXTS = 2000
+#: The fewest texts of a class that give a floor, and the share of correctly labelled texts that a floor may reject.
 FLOOR_FEWEST = 100
 FLOOR_SHARE = 0.005
 
@@ -47,48 +49,76 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def _labelled(rows: DataFrame, texts: int) -> tuple[DataFrame, list[str]]:
-    """Rows with a label and a text, each with a draw (0 to 1) and its language's share of the dictionary sample
-    (null beyond the most frequent languages); and those languages, the most frequent first."""
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    shares = [F.lit(x) for r in known for x in (r["lang"], min(0.5, texts / r["n"]))]
-    share = F.try_element_at(F.create_map(*shares), F.col("lang")) if shares else F.lit(None).cast("double")
-    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    return rows.withColumns({"_draw": draw, "_share": share}), [r["lang"] for r in known]
+def _labelled(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows with a label and a text, each with a draw of 30 bits and the draw up to which its language's words are
+    counted (null beyond the most frequent languages); and those languages, the most frequent first.
+
+    Repeated rows are drawn together. A language has at least the text with its smallest draw counted.
+    """
+    draw = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id", "text"), F.lit(1 << 30))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_draw", draw)
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_draw").alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    upto = [F.lit(x) for r in known for x in (r["lang"], max(int(COUNTED * (1 << 30)), r["least"]))]
+    upto = F.try_element_at(F.create_map(*upto), F.col("lang")) if upto else F.lit(None).cast("long")
+    return rows.withColumn("_upto", upto), [r["lang"] for r in known]
 
 
-def train(labelled: DataFrame, texts: int = SAMPLE_TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def train(labelled: DataFrame, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, the language with most rows first, from rows (doc_id, text, lang).
 
-    The sample is bounded: one passage each of about `texts` rows of a language, chosen by a hash over all rows; a
-    language of one text has that text. Repeated rows are drawn together. No rows: no dictionaries.
+    The words of all counted texts are counted by Spark; a dictionary has the most frequent ones, as many as fit, the
+    most frequent last, equally frequent ones in the order in which texts have them. The driver gets the sizes of the
+    words of equal count and what fits. No rows: no dictionaries.
     """
-    rows, known = _labelled(labelled, texts)
-    place = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PASSAGE, F.lit(0)) + 1).cast("int")
-    passage = F.lower(F.substr("text", place + 1, F.lit(PASSAGE))).alias("passage")
-    chosen = rows.where("_draw < _share").select("lang", "_draw", passage)
-    # A language that the draw misses gives the first of its rows.
-    missed = rows.where("_share is not null").groupBy("lang").agg(
-        F.min("_draw").alias("_draw"), F.min_by(passage, "_draw").alias("passage"), F.min(F.col("_draw") / F.col("_share")).alias("near")
-    ).where("near >= 1").drop("near")
-    found: dict[str, list[tuple[float, str]]] = {lang: [] for lang in known}
-    for r in chosen.unionByName(missed).toLocalIterator():
-        found[r["lang"]].append((r["_draw"], r["passage"]))
-    return {lang: f" {' '.join(p for _, p in sorted(found[lang]))} ".encode()[-dict_bytes:] for lang in known}
+    rows, known = _labelled(labelled)
+    if not known:
+        return {}
+    counted = rows.where("_draw <= _upto").select("lang", "_draw", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(rf"\S{{1,{WORD}}}"), F.lit(0))).alias("place", "word"))
+    # The draw of a text and a word's place in it as one number, so that the aggregate stays a plain one.
+    at = F.min(F.shiftleft("_draw", 30) + F.least("place", F.lit((1 << 30) - 1))).alias("at")
+    words = stored(counted.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"), at), "language-words")
+    size = F.octet_length("word") + 1
+    level = F.least("n", F.lit(MANY))
+    left = dict.fromkeys(known, dict_bytes - 1)
+    # By language, the least count of which all words fit, and of the next lower one the draws up to which they do.
+    least, part = dict.fromkeys(known, 1), dict.fromkeys(known, (0, 0))
+    full = set()
+    for r in words.groupBy("lang", level.alias("n")).agg(F.sum(size).alias("bytes")).orderBy("lang", F.desc("n")).toLocalIterator():
+        lang, n = r["lang"], r["n"]
+        if lang not in full:
+            if r["bytes"] > left[lang]:
+                full.add(lang)
+                least[lang], part[lang] = n + 1, (n, int((1 << 60) * left[lang] / r["bytes"]))
+            left[lang] -= r["bytes"]
+    of = lambda values: F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+    some = (level == of({k: v[0] for k, v in part.items()})) & (F.col("at") <= of({k: v[1] for k, v in part.items()}))
+    fits = words.where((level >= of(least)) | some)
+    found: dict[str, list[tuple[int, int, str]]] = {lang: [] for lang in known}
+    for r in fits.toLocalIterator():
+        found[r["lang"]].append((-r["n"], r["at"], r["word"]))
+    out = {}
+    for lang in known:
+        kept, room = [], dict_bytes - 1
+        for n, place, word in sorted(found[lang]):
+            room -= len(word.encode()) + 1
+            if room < 0:
+                break
+            kept.append((-n, place, word))
+        out[lang] = f" {' '.join(w for *_, w in sorted(kept))} ".encode()
+    return out
 
 
 def length_class(n_bytes: Column) -> Column:
     return sum((F.when(n_bytes >= least, 1).otherwise(0) for least in CLASSES), F.lit(0))
 
 
-def margin_floors(labelled: DataFrame, dictionaries: dict[str, bytes], texts: int = SAMPLE_TEXTS, floor_texts: int = FLOOR_TEXTS) -> tuple[float, ...]:
-    """The least margin of each length class, from labelled rows (doc_id, text, lang) outside the dictionary sample."""
+def margin_floors(labelled: DataFrame, dictionaries: dict[str, bytes]) -> tuple[float, ...]:
+    """The least margin of each length class, from all labelled rows (doc_id, text, lang) that the dictionaries don't count."""
     floors = [0.0] * (len(CLASSES) + 1)
     if len(dictionaries) < 2:
         return tuple(floors)
-    rows, _ = _labelled(labelled, texts)
-    others = rows.where((F.col("_draw") >= F.col("_share")) & (F.col("_draw") < F.col("_share") * (1 + floor_texts / texts)))
+    rows, _ = _labelled(labelled)
+    others = rows.where("_draw > _upto")
     labels = identify(others.select("text", "lang"), dictionaries).where("lang_pred = lang")
     size = length_class(F.octet_length(F.lower("text")))
     by_class = labels.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", FLOOR_SHARE, 100_000).alias("floor"))

@@ -115,6 +115,21 @@ def test_language_narrow_margin_is_rejected():
     assert language_id.classify(own, same)[2] is False
 
 
+def test_language_reads_every_labelled_text(spark):
+    """A word that no draw of a few texts would hold is counted, and the floors rise with the margins of all other texts."""
+    rows = [(i, f"{'the' if i % 2 else 'der'} w{i % 7} " + ("rarest" if i == 1 else "x"), "en" if i % 2 else "de") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn, known = language_id._labelled(df)
+    assert drawn.where("_draw <= _upto or _draw > _upto").count() == len(rows) and sorted(known) == ["de", "en"]
+    counted = {r["text"] for r in drawn.where("_draw <= _upto").collect()}
+    assert drawn.where("_draw <= _upto").count() > 4000
+    found = language_id.train(df)
+    assert all(f" {w} ".encode() in found["en" if "the" in t else "de"] for t in counted for w in t.split())
+    # What does not fit is the less frequent; the most frequent word stands last.
+    small = language_id.train(df, 12)
+    assert {len(d) <= 13 for d in small.values()} == {True} and small["en"].split()[-1] in (b"the", b"x")
+
+
 def test_language_learns_from_single_and_blank_texts(spark):
     rows = [(1, "the only english text of the table", "en"), (2, " ", "xx"), (3, None, "yy"), (4, "ein text", "de"), (4, "ein text", "de")]
     found = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
