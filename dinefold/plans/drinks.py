@@ -12,7 +12,7 @@ from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
 from dinefold.plans.merge import merged_and_groups
 from dinefold.plans.out import plain
-from dinefold.plans.periods import DRINKS, WEEK, history_groups, paid_orders, role_sql, stored_history
+from dinefold.plans.periods import DRINKS, WEEK, paid_orders, role_sql, valid_takeaway, week_merged
 from dinefold.plans.prelude import CTES, oracle
 
 DIM = "case when category in ('调饮汁', '饮料和水果', '茶', '咖啡', '冰淇淋') then '非酒精' else '含酒精' end"
@@ -86,7 +86,6 @@ CTES["dcmp"] = f"""
     ),
 )
 def drink_compare(spark, sf):
-    h, groups, paid = stored_history(spark, sf), history_groups(spark, sf), paid_orders(spark, sf)
-    daily = D.Drinks(h.table("daily_drink_sets"), h.table("daily_drinks"))
-    away = T.valid_orders(T.takeaway_clean(R.takeaway_from(R.with_last_year(R.events(spark, sf)))))
-    return plain(D.drink_compare_daily(daily, groups, paid, away, WEEK, ["store"]))
+    lines, groups = week_merged(spark, sf)
+    away = valid_takeaway(spark, sf)
+    return plain(D.drink_compare(C.sold_items(lines), groups, paid_orders(spark, sf), away, WEEK, ["store"]))
