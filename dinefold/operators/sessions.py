@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dinefold.functions import business as B
 from dinefold.functions.cells import real_text
 from dinefold.params import MergeParams
+from dinefold.session import stored
 
 DAY = ["store", "table_name", "biz_date"]
 HOUR_US = 60 * B.MINUTE_US
@@ -298,12 +299,15 @@ def session_merge(
 ) -> DataFrame:
     """Every order with its group and the decision that put it there.
 
-    With features the rows also carry what `groups.groups_from_merged` reads of the item lines.
+    With features the rows also carry what `groups.groups_from_merged` reads of the item lines; orders with their
+    features are then written once, for the fold and for the rows, so that all lines are read and grouped once.
     """
     key = [*DAY, "slot"]
-    slotted = with_slots(orders, p)
-    rows = prepare_orders(orders, items, p).drop("all_drinks", "names") if features else slotted
-    groups = fold_slots(build_slots(prepare_orders(orders, items, p)), p).select(
+    prepared = prepare_orders(orders, items, p)
+    if features:
+        prepared = stored(prepared, "prepared")
+    rows = prepared.drop("all_drinks", "names") if features else with_slots(orders, p)
+    groups = fold_slots(build_slots(prepared), p).select(
         *key, "group_id", F.col("step.decision").alias("head_decision"), F.col("head.order_no").alias("head_no")
     )
     # One row per slot on the right; the adaptive split of skewed joins spreads the orders of a hot slot.

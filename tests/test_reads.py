@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 from pyspark.sql import functions as F
 
@@ -43,3 +45,15 @@ def test_lines_of_orders_of_both_years(spark):
         "order_no", F.explode(F.array("order_no", (F.col("order_no").cast("bigint") + roles.LAST_YEAR_ID).cast("string")))
     ).join(orders, "order_no")
     assert got.count() == both.count() > 0 and got.exceptAll(both.select(*got.columns)).count() == 0
+
+
+def test_a_merge_with_features_groups_the_lines_once(spark, monkeypatch):
+    calls = []
+    real = S.order_features
+    monkeypatch.setattr(S, "order_features", lambda items: calls.append(1) or real(items))
+    seen = written(monkeypatch, S)
+    orders, items = frames(spark, [order(1, 600), order(2, 603), order(3, 800)], items_of(1, ["a"]) + items_of(3, ["b"]))
+    got = S.session_merge(orders, items, features=True)
+    assert {r["order_no"]: (r["group_id"], r["line_cnt"]) for r in got.collect()} == {"1": ("1", 1), "2": ("1", 0), "3": ("3", 1)}
+    assert len(calls) == 1 and [p for p, _ in seen] == ["prepared"]
+    assert "collect_set" not in re.sub(r"\s+", " ", got._jdf.queryExecution().toString())
