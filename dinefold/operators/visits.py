@@ -3,14 +3,17 @@
 Exact match by order number first; what is left may match an order on any two of table, amount and time. Two of
 three always include the amount or the time, and only the order nearest in time can win per key, so both sides
 are sorted together by time within a key, and each visit takes the last order before it and the first after it. Keys
-are (store, amount), (store, table) and (store, amount, table), each cut into five-minute slots: the ends of a slot
-are sent to its neighbours, so that a slot alone decides what is near, and a hot key is dealt out by time. Orders further
-away on the same day compete by the ends of their slots, at most 576 a key and day. No visit meets an order
-pair by pair.
+are (store, amount) and (store, table), cut into half-hour slots, since what counts there is five minutes away at
+most, and (store, amount, table), cut into days. An order lies in one slot; a visit near the end of a slot asks the
+next one too, so that no ends of slots need to be found first. A hot amount or table is dealt out by time; orders of
+one amount, table and day stay together, sorted on disk if need be. No visit meets an order pair by pair.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 from dinefold import params as P
 from dinefold.functions import business as B
 from dinefold.functions.cells import real_text
+from dinefold.session import stored
 
-SLOT_US = P.VISIT_TIME_MINUTES * B.MINUTE_US
+NEAR_US = P.VISIT_TIME_MINUTES * B.MINUTE_US
+#: Wide enough that a visit rarely asks two of them; at least twice NEAR_US, or it could ask three.
+SLOT_US = 6 * NEAR_US
+DAY_US = 24 * 60 * B.MINUTE_US
 #: Longest part of a table name in the index of names.
 GRAM = 3
 
@@ -58,98 +65,117 @@ def table_names_within(visit_tables: DataFrame, order_tables: DataFrame) -> Data
     return rarest.join(index, ["store", "gram"]).filter(F.col("order_table").contains(F.col("visit_table"))).select("store", "visit_table", "order_table")
 
 
-def _slot(t_us: Column) -> Column:
-    return F.floor(t_us / F.lit(SLOT_US)).cast("bigint")
-
-
-def _day_number(t_us: Column) -> Column:
-    return F.floor(t_us / F.lit(24 * 60 * B.MINUTE_US)).cast("bigint")
+def _stretch(t_us: Column, width: int) -> Column:
+    return F.floor(t_us / F.lit(width)).cast("bigint")
 
 
 #: What orders and visits are brought together by: kind of key, its values, and the stretch of time.
 KEY = ["kind", "store", "yuan", "order_table", "part"]
-AMOUNT, TABLE, BOTH, WHOLE_DAY = "amount", "table", "both", "day"
+AMOUNT, TABLE, BOTH = 0, 1, 2
 
 
-def _keyed(df: DataFrame, kinds: tuple[str, ...], *carried: str) -> DataFrame:
-    """A row per kind of key; what is no part of the key is null in it, and keys with a missing part are none."""
+def _key(kind: int, *parts: Column, yuan: Column | None = None, table: Column | None = None) -> list[Column]:
+    """A key for each stretch of time, null where the amount, the table or the stretch it needs is missing."""
     number, name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    yuan, tab = F.col("yuan").cast("bigint"), F.col("order_table") if TABLE in kinds else name
-    of = {AMOUNT: (yuan, name), TABLE: (number, tab), BOTH: (yuan, tab), WHOLE_DAY: (yuan, tab)}
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), of[k][0].alias("yuan"), of[k][1].alias("order_table")) for k in kinds])
-    out = df.select("store", *carried, F.inline(rows))
-    return out.filter(((F.col("kind") == TABLE) | F.col("yuan").isNotNull()) & ((F.col("kind") == AMOUNT) | F.col("order_table").isNotNull()))
-
-
-def _order_points(orders: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, o_us, order_no): one row per key and moment, those of neighbouring slots and of whole days; and
-    the smallest order number of each amount, table and day."""
-    rows = _keyed(orders, (AMOUNT, TABLE, BOTH), "order_no", "o_us")
-    # Orders of one moment are interchangeable but for their number.
-    moments = rows.groupBy("kind", "store", "yuan", "order_table", "o_us").agg(F.min("order_no").alias("order_no"))
-    moments = moments.withColumn("part", _slot(F.col("o_us")))
-    at = F.struct("o_us", "order_no")
-    ends = moments.groupBy(*KEY).agg(F.min(at).alias("a"), F.max(at).alias("b"), F.min("order_no").alias("least"))
-    beside = F.array(F.struct((F.col("part") + 1).alias("to"), F.col("b").alias("p")), F.struct((F.col("part") - 1).alias("to"), F.col("a").alias("p")))
-    neighbours = ends.select("kind", "store", "yuan", "order_table", F.inline(beside)).withColumnRenamed("to", "part")
-    days = ends.filter(F.col("kind") == BOTH).withColumn("kind", F.lit(WHOLE_DAY)).withColumn("part", _day_number(F.col("a.o_us")))
-    ends_of_day = days.select(*KEY, F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))
-    points = moments.select(*KEY, "o_us", "order_no")
-    for more in (neighbours, ends_of_day):
-        points = points.unionByName(more.select(*KEY, "p.o_us", "p.order_no"))
-    return points, days.groupBy("store", "yuan", "order_table", "part").agg(F.min("least").alias("order_no"))
+    fields = [F.lit(kind).alias("kind"), (number if yuan is None else yuan).alias("yuan"), (name if table is None else table).alias("order_table")]
+    needed = [c.isNotNull() for c in (yuan, table) if c is not None]
+    return [F.when(reduce(and_, needed, part.isNotNull()), F.struct(*fields, part.alias("part"))) for part in parts]
+
+
+def _order_points(orders: DataFrame) -> DataFrame:
+    """(key, t, order_no): an order by each of its amounts, by its table, and by both."""
+    slot, day, table = _stretch(F.col("o_us"), SLOT_US), _stretch(F.col("o_us"), DAY_US), F.col("order_table")
+    amounts = (F.col("yuan"), F.when(~F.col("yuan").eqNullSafe(F.col("other_yuan")), F.col("other_yuan")))
+    keys = _key(TABLE, slot, table=table)
+    for yuan in amounts:
+        keys += _key(AMOUNT, slot, yuan=yuan) + _key(BOTH, day, yuan=yuan, table=table)
+    return orders.select("store", F.col("o_us").alias("t"), "order_no", F.inline(F.array_compact(F.array(*keys))))
+
+
+def _asked(visits: DataFrame, tables: DataFrame) -> DataFrame:
+    """(key, visit_id, v_us, day): the slots and days that orders near a visit lie in; one without a time asks the day of its entry."""
+    v_us = F.col("v_us")
+    first, last = v_us - NEAR_US, v_us + NEAR_US
+
+    def stretches(width: int, others: Column) -> list[Column]:
+        a, b = _stretch(first, width), _stretch(last, width)
+        return [F.coalesce(a, others), F.when(a != b, b)]
+
+    none = F.lit(None).cast("bigint")
+    slots, days, yuan, table = stretches(SLOT_US, none), stretches(DAY_US, F.col("day")), F.col("yuan"), F.col("order_table")
+    row = ["store", "visit_id", "v_us", "day"]
+    by_amount = visits.select(*row, F.inline(F.array_compact(F.array(*_key(AMOUNT, *slots, yuan=yuan)))))
+    by_table = tables.select(*row, F.inline(F.array_compact(F.array(*_key(TABLE, *slots, table=table), *_key(BOTH, *days, yuan=yuan, table=table)))))
+    return by_amount.unionByName(by_table)
 
 
 def _nearest(asked: DataFrame, points: DataFrame) -> DataFrame:
-    """asked (key, visit_id, v_us) with (o_us, order_no) of the last point before and the first after, up to two rows each."""
-    both = asked.withColumn("p", F.lit(None).cast("struct<o_us: bigint, order_no: string>")).withColumnRenamed("v_us", "t")
-    both = both.unionByName(points.select(*KEY, F.lit(None).cast("bigint").alias("visit_id"), F.col("o_us").alias("t"), F.struct("o_us", "order_no").alias("p")))
-    # Both windows run from the start to the current time, one of them backwards, so each row is read once.
-    found = both.select("*", *[
-        F.last("p", ignorenulls=True).over(W.partitionBy(*KEY).orderBy(time)).alias(name)
-        for name, time in (("before", F.asc("t")), ("after", F.desc("t")))
-    ])
-    found = found.filter("visit_id is not null").select("kind", "visit_id", F.col("t").alias("v_us"), F.explode(F.array_distinct(F.array("before", "after"))).alias("p"))
-    return found.filter("p is not null").select("kind", "visit_id", "v_us", "p.o_us", "p.order_no")
+    """asked with `p` (t, order_no) of the last point before and of the first after, up to two rows each.
+
+    Of points of one moment the smallest order number counts. A visit without a time takes the smallest of its key;
+    t is null there.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    both = asked.withColumn("order_no", none("string")).withColumn("t", F.col("v_us"))
+    both = both.unionByName(points.withColumns({n: none("bigint") for n in ("visit_id", "v_us", "day")}))
+    # One number first: rows of different keys are told apart by it alone.
+    key = W.partitionBy("h", *KEY)
+    point = F.when(F.col("order_no").isNotNull(), F.struct("t", "order_no"))
+    # A visit comes after the orders of its moment, and one without a time after all.
+    up = key.orderBy(F.asc_nulls_last("t"), F.asc_nulls_last("order_no"), "visit_id")
+    here = both.withColumn("h", F.xxhash64(*KEY)).select(
+        "*", F.lag("t").over(up).alias("t_above"), F.lag("visit_id").over(up).alias("visit_above"),
+        F.lead(F.struct("visit_id", point.alias("p"))).over(up).alias("below"),
+    )
+    first = F.when(~F.col("t").eqNullSafe(F.col("t_above")), point)
+    so_far = up.rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = here.select("*", F.last(first, ignorenulls=True).over(so_far).alias("before"), F.min("order_no").over(so_far).alias("least"))
+    # What follows is known where no visit does; visits above take it over, so orders need not be sorted again,
+    # nor do visits alone among themselves that have no order on either side.
+    known = F.col("below.visit_id").isNull()
+    alone = known & F.col("visit_above").isNull() & F.coalesce("before", "below.p").isNull()
+    found = found.filter(F.col("visit_id").isNotNull() & ~alone).select(
+        "h", *KEY, "visit_id", "v_us", "day", "before", "least", F.when(known, F.struct("below.p")).alias("next")
+    )
+    down = key.orderBy(F.desc_nulls_first("v_us"), F.desc("visit_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = found.withColumn("after", F.last("next", ignorenulls=True).over(down)["p"])
+    least = F.when(F.col("least").isNotNull(), F.struct(none("bigint").alias("t"), F.col("least").alias("order_no")))
+    near = F.when(F.col("v_us").isNull(), F.array(least)).otherwise(F.array("before", "after"))
+    return found.select("kind", "visit_id", "v_us", "day", F.explode(F.array_compact(near)).alias("p"))
 
 
 def visit_two_of_three(visits: DataFrame, orders: DataFrame) -> DataFrame:
     """Best order per visit that has no exact match: most conditions, least time difference, order number."""
-    v = _left_over(visits, orders).select(
+    # A visit without an id can't be named in the result.
+    v = _left_over(visits, orders).filter("visit_id is not null").select(
         "visit_id",
         "store",
         F.nullif(F.trim("table_name"), F.lit("")).alias("visit_table"),
         B.whole_yuan(F.col("paid")).cast("bigint").alias("yuan"),
         B.micros(F.col("order_time")).alias("v_us"),
-        _day_number(B.micros(F.coalesce(F.col("order_time"), F.col("created_at")))).alias("part"),
+        _stretch(B.micros(F.coalesce(F.col("order_time"), F.col("created_at"))), DAY_US).alias("day"),
     )
+    # Read by amount, by table and for its tables, and found by a join with all orders.
+    v = stored(v, "left-over")
     o = orders.select(
         "order_no",
         "store",
         F.col("table_name").alias("order_table"),
         B.micros(F.col("order_time")).alias("o_us"),
-        F.explode(F.array_distinct(F.array(B.whole_yuan(F.col("amount")), B.whole_yuan(F.col("revenue"))))).alias("yuan"),
+        B.whole_yuan(F.col("amount")).alias("yuan"),
+        B.whole_yuan(F.col("revenue")).alias("other_yuan"),
     )
     o = o.filter("o_us is not null and store is not null")
-    points, least = _order_points(o)
     names = table_names_within(v.select("store", "visit_table").distinct(), o.select("store", "order_table").distinct())
-    vt = v.join(names, ["store", "visit_table"])
-    timed = _keyed(v, (AMOUNT,), "visit_id", "v_us").unionByName(_keyed(vt, (TABLE, BOTH, WHOLE_DAY), "visit_id", "v_us")).filter("v_us is not null")
-    asked = timed.withColumn("part", F.when(F.col("kind") == WHOLE_DAY, _day_number(F.col("v_us"))).otherwise(_slot(F.col("v_us"))))
-
-    diff = F.abs(F.col("v_us") - F.col("o_us"))
-    close = diff <= SLOT_US
-    n = F.when(F.col("kind").isin(AMOUNT, TABLE), 2).when(close, 3).otherwise(2)
-    near = _nearest(asked.select(*KEY, "visit_id", "v_us"), points).filter(close | (F.col("kind") == WHOLE_DAY))
-    # Visits without a time: amount and table on the day of the visit's entry.
-    untimed = vt.filter("v_us is null").join(least, ["store", "yuan", "order_table", "part"])
-    candidates = near.select("visit_id", "order_no", n.alias("n_conditions"), diff.alias("diff_us")).unionByName(
-        untimed.select("visit_id", "order_no", F.lit(2).alias("n_conditions"), F.lit(None).cast("bigint").alias("diff_us"))
-    )
-    rank = F.struct(
-        (-F.col("n_conditions")).alias("n"), F.coalesce("diff_us", F.lit(2**62)).alias("d"), F.col("order_no").alias("o")
-    )
-    best = candidates.groupBy("visit_id").agg(F.min(rank).alias("r"))
+    near = _nearest(_asked(v, v.join(names, ["store", "visit_table"])), _order_points(o))
+
+    diff = F.abs(F.col("v_us") - F.col("p.t"))
+    close = F.coalesce(diff <= NEAR_US, F.lit(False))
+    same_day = F.col("v_us").isNull() | (_stretch(F.col("p.t"), DAY_US) == F.col("day"))
+    near = near.filter(close | ((F.col("kind") == BOTH) & same_day))
+    n = F.when(close & (F.col("kind") == BOTH), 3).otherwise(2)
+    rank = F.struct((-n).alias("n"), F.coalesce(diff, F.lit(2**62)).alias("d"), F.col("p.order_no").alias("o"))
+    best = near.groupBy("visit_id").agg(F.min(rank).alias("r"))
     return best.select(
         "visit_id",
         F.col("r.o").alias("order_no"),

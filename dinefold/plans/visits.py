@@ -53,7 +53,7 @@ def visit_exact_match(spark, sf):
 
 @query("visit_two_of_three", oracle("select visit_id, order_no, cast(n_conditions as int) as n_conditions, diff_us from two3"))
 def visit_two_of_three(spark, sf):
-    return V.visit_two_of_three(*inputs(spark, sf))
+    return V.visit_two_of_three(R.visits(spark, sf), stored(clean(spark, sf), "orders"))
 
 
 @query(

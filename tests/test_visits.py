@@ -113,6 +113,32 @@ def test_a_hot_slot_is_read_in_order(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_slots_meet_at_their_ends(spark):
+    """Orders on both sides of the ends of slots and days, several of one moment, and many visits in a row."""
+    rnd = random.Random(7)
+    minutes = [30 * k + d for k in range(44, 52) for d in (-5, -4, -1, 0, 1, 4)]
+    visits, orders = make(7, 150, 300, ["20", "30"], ["A1", "A2"], minutes)
+    time = FIELDS.index("order_time")
+    orders = [o[:time] + (o[time].replace(second=rnd.choice([0, 30]), microsecond=0),) + o[time + 1 :] for o in orders]
+    visits = [v[:6] + (v[6] and v[6].replace(second=rnd.choice([0, 30]), microsecond=0),) + v[7:] for v in visits]
+    v, o = spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER)
+    got = {r["visit_id"]: (r["order_no"], r["n_conditions"]) for r in V.visit_two_of_three(v, o).collect()}
+    assert got == brute(visits, orders) and len(got) > 100
+
+
+def test_orders_are_dealt_out_once(spark):
+    """An order is one row per key; before, ends of slots and days were found by sorting and were three rows more per key."""
+    visits, orders = make(8, 40, 40, ["20", "30"], ["A1", "A2"], range(600, 700))
+    plan = V.visit_two_of_three(spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(o_us" not in text and "max(struct(o_us" not in text
+    o = spark.range(10).selectExpr(
+        "cast(id as string) as order_no", "'X' as store", "'T' as order_table", "id * 60000000 as o_us", "id as yuan", "if(id < 5, id, id + 1) as other_yuan"
+    )
+    # By table; by amount, and by both, where a second amount is another one.
+    assert V._order_points(o).count() == 10 + 2 * (10 + 5)
+
+
 def test_every_visit_is_matched_or_listed(spark):
     visits, orders = make(4, 50, 70, ["20", "35"], ["B07", "A1"], range(600, 660))
     v, o = spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER)
