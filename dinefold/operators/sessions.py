@@ -122,12 +122,12 @@ def group_partials() -> list[Column]:
     ]
 
 
-def build_slots(prepared: DataFrame, extra_keys: list[Column] = ()) -> DataFrame:
-    """One row per non-empty slot of a table-day: first order, last order, statistics."""
+def build_slots(prepared: DataFrame, extra_keys: list[Column] = (), statistics: bool = True) -> DataFrame:
+    """One row per non-empty slot of a table-day: first order, last order and, if wanted, statistics."""
     return prepared.groupBy(*DAY, "slot", *extra_keys).agg(
         F.min(_head()).alias("head"),
         F.max(F.struct("t_us", "order_no", "checkout_us")).alias("tail"),
-        F.struct(*group_partials()).alias("part"),
+        *([F.struct(*group_partials()).alias("part")] if statistics else []),
     )
 
 
@@ -229,7 +229,8 @@ def _step(acc: Column, slot: Column, private: Column, p: MergeParams) -> Column:
 
 
 def fold_slots(slots: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
-    """Slots with the group they belong to and the decision on their first order."""
+    """Slots with the group they belong to and the decision on their first order; their statistics, if they have them, are kept."""
+    part = [c for c in ("part",) if c in slots.columns]
     head_t = slots.schema["head"].dataType.simpleString()
     tail_t = slots.schema["tail"].dataType.simpleString()
     out_t = f"array<struct<group_no:string,step:{_STEP}>>"
@@ -258,14 +259,14 @@ def fold_slots(slots: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     ).cast(acc_t)
     days = slots.groupBy(*DAY).agg(
         # At most 288 entries: see the module text.
-        F.array_sort(F.collect_list(F.struct("slot", "head", "tail", "part"))).alias("slots")
+        F.array_sort(F.collect_list(F.struct("slot", "head", "tail", *part))).alias("slots")
     )
     folded = days.withColumn("out", F.aggregate("slots", start, merge, lambda acc: acc["out"]))
     return folded.select(*DAY, F.explode(F.arrays_zip("slots", "out")).alias("z")).select(
         *DAY,
         F.col("z.slots.slot").alias("slot"),
         F.col("z.slots.head").alias("head"),
-        F.col("z.slots.part").alias("part"),
+        *[F.col(f"z.slots.{c}").alias(c) for c in part],
         F.col("z.out.group_no").alias("group_id"),
         F.col("z.out.step").alias("step"),
     )
@@ -273,7 +274,7 @@ def fold_slots(slots: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
 
 def explain_slots(orders: DataFrame, items: DataFrame, p: MergeParams = MergeParams()) -> DataFrame:
     """Rule values and decision for the first order of every slot."""
-    folded = fold_slots(build_slots(prepare_orders(orders, items, p)), p)
+    folded = fold_slots(build_slots(prepare_orders(orders, items, p), statistics=False), p)
     return folded.select(*DAY, "slot", "group_id", "step.*")
 
 
@@ -307,7 +308,8 @@ def session_merge(
     if features:
         prepared = stored(prepared, "prepared")
     rows = prepared.drop("all_drinks", "names") if features else with_slots(orders, p)
-    groups = fold_slots(build_slots(prepared), p).select(
+    # Statistics of groups are read off the rows, not off the slots.
+    groups = fold_slots(build_slots(prepared, statistics=False), p).select(
         *key, "group_id", F.col("step.decision").alias("head_decision"), F.col("head.order_no").alias("head_no")
     )
     # One row per slot on the right; the adaptive split of skewed joins spreads the orders of a hot slot.

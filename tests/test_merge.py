@@ -254,3 +254,10 @@ def test_every_order_is_explained(spark):
     for r in told:
         early = r["decision"] in ("first", "R0")
         assert (r["score"] is None) == early and (not early or r["anchor_no"] == r["group_id"])
+
+
+def test_labels_of_orders_need_no_statistics_of_slots(spark):
+    """Sums, openers and members of slots were folded and sent along, though only the group and the decision are read."""
+    o, i = frames(spark, *random_case(3))
+    plan = S.session_merge(o, i)._jdf.queryExecution().optimizedPlan().toString()
+    assert "n_all" not in plan and "top_order" not in plan and "first_opener" not in plan
