@@ -15,6 +15,7 @@ from dinefold import params as P
 from dinefold.functions.business import normalize_store, range_end, range_start
 from dinefold.functions.cells import cell_at, is_digit_id, is_empty_cell, parse_time, strip
 from dinefold.operators.periods import period_bounds
+from dinefold.session import stored
 from dinefold.sources import grid as G
 
 SHEET_KEY = {P.ORDERS_SHEET: "pos_orders", P.ITEMS_SHEET: "pos_items", P.TAKEAWAY_SHEET: "takeaway"}
@@ -173,9 +174,14 @@ def sheet_columns(heads: DataFrame, stats: DataFrame) -> DataFrame:
     ).withColumn("has_id", F.array_contains("actual", G.id_column()))
 
 
-def sheet_report(grid: DataFrame) -> DataFrame:
+def stored_heads(grid: DataFrame) -> DataFrame:
+    """Heads of the sheets, found once; rows are then told by a small table where their cells stand."""
+    return stored(G.sheet_heads(grid), "heads")
+
+
+def sheet_report(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Everything the checks need, one row per sheet."""
-    heads = G.sheet_heads(grid)
+    heads = stored_heads(grid) if heads is None else heads
     return sheet_columns(G.with_metadata(heads), column_stats(G.data_rows(grid, _positions(heads))))
 
 
@@ -340,13 +346,17 @@ def issue_rows(files: DataFrame) -> DataFrame:
     return files.select("file", F.inline("issues"))
 
 
-def pos_files(grid: DataFrame, schema: dict, closures: DataFrame) -> DataFrame:
+def _of_sheets(df: DataFrame | None, *sheets: str) -> DataFrame | None:
+    return None if df is None else df.filter(F.col("sheet").isin(*sheets))
+
+
+def pos_files(grid: DataFrame, schema: dict, closures: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """One row per order file: store, period and its issues as a list.
 
-    The grid is read for the heads of the sheets and for the column statistics; everything
+    The grid is read for the heads of the sheets, unless they are given, and for the column statistics; everything
     after that works on one row per sheet.
     """
-    sheets = sheet_report(grid.filter(F.col("sheet").isin(*G.POS_SHEETS)))
+    sheets = sheet_report(_of_sheets(grid, *G.POS_SHEETS), _of_sheets(heads, *G.POS_SHEETS))
     sheets = sheets.withColumn("column_issues", _column_issues(schema)).withColumn("days", _days(P.ORDER_TIME_COLUMN))
     facts = F.struct("header_idx", "store_raw", "time_text", "has_id", "days", "column_issues")
     pick = lambda s: F.max(F.when(F.col("sheet") == s, F.col("f")))
@@ -384,8 +394,10 @@ def validate_pos(grid: DataFrame, schema: dict, closures: DataFrame) -> DataFram
     return summary(pos_files(grid, schema, closures))
 
 
-def takeaway_files(grid: DataFrame, schema: dict, closures: DataFrame, strict_dates: bool = False) -> DataFrame:
-    files = sheet_report(grid.filter(F.col("sheet") == P.TAKEAWAY_SHEET))
+def takeaway_files(
+    grid: DataFrame, schema: dict, closures: DataFrame, strict_dates: bool = False, heads: DataFrame | None = None
+) -> DataFrame:
+    files = sheet_report(_of_sheets(grid, P.TAKEAWAY_SHEET), _of_sheets(heads, P.TAKEAWAY_SHEET))
     files = files.withColumn("column_issues", _column_issues(schema)).withColumn(
         "days", _days(P.BUSINESS_DATE_COLUMN, P.ORDER_TIME_COLUMN)
     )
@@ -476,13 +488,14 @@ def _lines(facts: DataFrame, *lines: Column) -> DataFrame:
     return facts.select("file", F.inline(F.array_compact(F.array(*lines)).cast(kind)))
 
 
-def precheck_orders(grid: DataFrame) -> DataFrame:
+def precheck_orders(grid: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Lines from the rows of order and takeaway sheets: orders, empty amounts, returns and platforms.
 
     Rows are counted per file, sheet and platform, on the map side first; totals and platforms both come from those counts.
     """
-    sheets = grid.filter(F.col("sheet").isin(P.ORDERS_SHEET, P.TAKEAWAY_SHEET))
-    rows = valid_id_rows(G.data_rows(sheets, G.locate_headers(sheets)))
+    sheets = _of_sheets(grid, P.ORDERS_SHEET, P.TAKEAWAY_SHEET)
+    heads = stored_heads(sheets) if heads is None else _of_sheets(heads, P.ORDERS_SHEET, P.TAKEAWAY_SHEET)
+    rows = valid_id_rows(G.data_rows(sheets, heads.filter("header_idx is not null").drop("top")))
     cell = lambda name: cell_at(F.col("cells"), F.col("header"), name)
     takeaway = F.col("sheet") == P.TAKEAWAY_SHEET
     lacks = F.array_contains("header", P.AMOUNT_COLUMN) & is_empty_cell(cell(P.AMOUNT_COLUMN))
@@ -505,9 +518,10 @@ def precheck_orders(grid: DataFrame) -> DataFrame:
 
 def precheck_visits(grid: DataFrame) -> DataFrame:
     """Lines from the other files: visits and stores of a visit file, stores mixed in one file, files of no known kind."""
-    kinds = G.detect_file_kind(grid)
+    # Both have a row or two per file, so that the rows meet them where they are read.
+    kinds = stored(G.detect_file_kind(grid), "kinds")
     visits = grid.join(kinds.filter(F.col("kind") == "visits"), "file", "left_semi")
-    head = visits.filter("row_idx = 0").select("file", "sheet", F.col("cells").alias("header"))
+    head = stored(visits.filter("row_idx = 0").select("file", "sheet", F.col("cells").alias("header")), "heads")
     rows = visits.join(head, ["file", "sheet"])
     data = F.col("row_idx") > 0
     raw = strip(cell_at(F.col("cells"), F.col("header"), P.VISIT_STORE_COLUMN))

@@ -346,8 +346,9 @@ STEPS["gtable"] = """
 def precheck_levels(spark, sf):
     """All four kinds of files."""
     g, closures = stored(grid(spark, sf), "grid"), V.closures_frame(spark, CLOSURES)
-    checked = [V.pos_files(g, SCHEMA, closures), V.takeaway_files(g, {}, closures, strict_dates=True)]
-    lines = [*map(V.precheck_levels, checked), V.precheck_orders(g), V.precheck_visits(g)]
+    heads = V.stored_heads(g)
+    checked = [V.pos_files(g, SCHEMA, closures, heads), V.takeaway_files(g, {}, closures, strict_dates=True, heads=heads)]
+    lines = [*map(V.precheck_levels, checked), V.precheck_orders(g, heads), V.precheck_visits(g)]
     return functools.reduce(lambda a, b: a.unionByName(b), lines)
 
 

@@ -301,3 +301,17 @@ def test_precheck_against_the_history(spark):
     assert {r["detail"] for r in month} == {"previous 2023-12-01~2023-12-31: 31", "last_year 2023-01-01~2023-01-31: 31"}
     assert V.precheck_history(files.limit(0), known, closures, "week").count() == 0
     assert V.precheck_history(files, known.limit(0), closures, "week").filter("code = 'existing_days'").count() == 0
+
+
+def test_heads_are_found_once(spark, monkeypatch):
+    """Each part of the precheck found the heads anew, and the checks twice each: for the rows and for the columns."""
+    from dinefold.plans import validation as PV
+    from dinefold.sources import grid as G
+
+    calls = []
+    real = G.sheet_heads
+    monkeypatch.setattr(G, "sheet_heads", lambda g: calls.append(1) or real(g))
+    lines = PV.precheck_levels(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and {r["level"] for r in lines.collect()} == {"Error", "Warning", "Info"}
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(CASE WHEN" not in plan
