@@ -120,9 +120,8 @@ def column_stats(rows: DataFrame) -> DataFrame:
     patterns = per_day.groupBy(*sheet).agg(
         F.sum("n").alias("n"), F.collect_set("time_day").alias("time_days"), F.collect_set("date_day").alias("date_days")
     )
-    spread = patterns.filter("pattern != ''").select(
-        "*", F.posexplode(F.split("pattern", "(?<=.)(?=.)")).alias("pos", "kind")
-    )
+    # Outer, and filtered after it: a filter on patterns would be moved below the counts, and the pattern of each row be made twice.
+    spread = patterns.select("*", F.posexplode_outer(F.split("pattern", "(?<=.)(?=.)")).alias("pos", "kind")).filter("kind != ''")
     days = F.when(F.col("pos") == F.col("time_pos"), F.col("time_days")).when(F.col("pos") == F.col("date_pos"), F.col("date_days"))
     dated = spread.select("file", "sheet", "pos", "kind", "valid", "n", F.posexplode_outer(days).alias("i", "day"))
     # A pattern counts once, on the first of its days.

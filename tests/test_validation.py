@@ -303,6 +303,13 @@ def test_precheck_against_the_history(spark):
     assert V.precheck_history(files, known.limit(0), closures, "week").filter("code = 'existing_days'").count() == 0
 
 
+def test_patterns_are_made_once(spark):
+    """A filter on patterns was moved below their counts, so that each row's cells were looked at twice."""
+    g = grid(spark, pos(days(1, 2, 3)))
+    plan = V.null_cells_by_column(V.sheet_report(g), {})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(transform(") == 1
+
+
 def test_heads_are_found_once(spark, monkeypatch):
     """Each part of the precheck found the heads anew, and the checks twice each: for the rows and for the columns."""
     from dinefold.plans import validation as PV
@@ -315,3 +322,16 @@ def test_heads_are_found_once(spark, monkeypatch):
     assert len(calls) == 1 and {r["level"] for r in lines.collect()} == {"Error", "Warning", "Info"}
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert "min(CASE WHEN" not in plan
+
+
+def test_the_first_character_decides_as_the_whole_text_does(spark):
+    starts = ["", " ", "　", "\x85", "\xa0", "\x1f", "!", "-", "0", "9", "A", "M", "N", "O", "a", "m", "n", "o", "z", "~", "\x7f", "é", "、", "桌", "😀", "Ｎ"]
+    texts = [a + b for a in starts for b in ("", "an", "AN", "one", "aT", "aN ", "anx", " nan", "　None\t")]
+    got = spark.createDataFrame([(t,) for t in texts], "c string").select("c", is_empty_cell(F.col("c")).alias("e")).collect()
+    assert {r["c"]: r["e"] for r in got} == {t: t.strip().lower() in ("", "nan", "none", "nat") for t in texts}
+    assert spark.range(1).select(F.lit("桌1").alias("c")).select(is_empty_cell(F.col("c"))).first()[0] is False
+
+
+@pytest.mark.parametrize("text,time", [("2024/1/5 9:05", "2024-01-05 09:05:00"), (" 2024-12-31T23:59 ", "2024-12-31 23:59:00"), ("2024-01-05 10:30:15.5", "2024-01-05 10:30:15"), ("2024-01-05 25:00", None), ("1/2/2024", None)])
+def test_times_with_and_without_slashes_and_seconds(spark, text, time):
+    assert spark.createDataFrame([(text,)], "c string").select(F.date_format(parse_time(F.col("c")), "yyyy-MM-dd HH:mm:ss")).first()[0] == time
