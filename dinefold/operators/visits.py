@@ -7,12 +7,16 @@ are (store, amount) and (store, table), cut into half-hour slots, since what cou
 most, and (store, amount, table), cut into days. An order lies in one slot; a visit near the end of a slot asks the
 next one too, so that no ends of slots need to be found first. A hot amount or table is dealt out by time; orders of
 one amount, table and day stay together, sorted on disk if need be. No visit meets an order pair by pair.
+
+A short table text lies in many tables, most of which have no order at the time of the visit. So each table carries marks
+of its half hours, and of its amounts by day, in a fixed number of bits; a visit asks a table only where the mark is
+set. A mark may be another key's, which costs a row and changes nothing; no order is without its marks.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -29,11 +33,15 @@ SLOT_US = 6 * NEAR_US
 DAY_US = 24 * 60 * B.MINUTE_US
 #: Longest part of a table name in the index of names.
 GRAM = 3
+#: Words of 64 bits in which a table's slots are marked, and as many for its amounts by day.
+WORDS = 16
+#: What matching reads of an order.
+ORDER_COLUMNS = ["order_no", "store", "table_name", "order_time", "amount", "revenue"]
 
 
 def visit_exact_match(visits: DataFrame, orders: DataFrame) -> DataFrame:
     v = visits.withColumn("order_no", real_text(F.col("order_no")))
-    return v.select("visit_id", "order_no").join(orders.select("order_no").distinct(), "order_no").select("visit_id", "order_no")
+    return v.select("visit_id", "order_no").join(orders.select("order_no"), "order_no", "left_semi").select("visit_id", "order_no")
 
 
 def _left_over(visits: DataFrame, orders: DataFrame) -> DataFrame:
@@ -69,31 +77,77 @@ def _stretch(t_us: Column, width: int) -> Column:
     return F.floor(t_us / F.lit(width)).cast("bigint")
 
 
-#: What orders and visits are brought together by: kind of key, its values, and the stretch of time.
-KEY = ["kind", "store", "yuan", "order_table", "part"]
-AMOUNT, TABLE, BOTH = 0, 1, 2
+#: What orders and visits are brought together by: an amount (no table), a table (no amount), or both, and the stretch of time.
+KEY = ["store", "yuan", "order_table", "part"]
 
 
-def _key(kind: int, *parts: Column, yuan: Column | None = None, table: Column | None = None) -> list[Column]:
-    """A key for each stretch of time, null where the amount, the table or the stretch it needs is missing."""
+def _key(*parts: Column, yuan: Column | None = None, table: Column | None = None, marks: Column | None = None) -> list[Column]:
+    """A key for each stretch of time, null where the amount, the table or the stretch it needs is missing, or its mark."""
     number, name = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    fields = [F.lit(kind).alias("kind"), (number if yuan is None else yuan).alias("yuan"), (name if table is None else table).alias("order_table")]
+    fields = [(number if yuan is None else yuan).alias("yuan"), (name if table is None else table).alias("order_table")]
     needed = [c.isNotNull() for c in (yuan, table) if c is not None]
-    return [F.when(reduce(and_, needed, part.isNotNull()), F.struct(*fields, part.alias("part"))) for part in parts]
+
+    def met(part: Column) -> Column:
+        found = reduce(and_, needed, part.isNotNull())
+        return found if marks is None else found & _marked(marks, part, yuan)
+
+    return [F.when(met(part), F.struct(*fields, part.alias("part"))) for part in parts]
+
+
+def _mark(part: Column, yuan: Column | None) -> tuple[Column, Column]:
+    """The word and the bit that mark a stretch of time, or an amount in it."""
+    h = F.xxhash64(part) if yuan is None else F.xxhash64(part, yuan)
+    return F.pmod(h, F.lit(WORDS)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(h, 32), F.lit(64)).cast("int"))
+
+
+def _marked(marks: Column, part: Column, yuan: Column | None) -> Column:
+    word, bit = _mark(part, yuan)
+    return F.get(marks, word).bitwiseAND(bit) != 0
+
+
+def _marks(part: Column, *yuans: Column | None) -> Column:
+    """Aggregate: the marks of all orders of a table."""
+    each = [_mark(part, yuan) for yuan in yuans]
+
+    def word(i: int) -> Column:
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(w == i, bit).otherwise(F.lit(0).cast("bigint")) for w, bit in each])
+
+    return F.array(*[F.bit_or(word(i)) for i in range(WORDS)])
+
+
+def _order_tables(orders: DataFrame) -> DataFrame:
+    """(store, order_table, slot_marks, day_marks): one row per table, of a fixed size."""
+    slot, day = _stretch(F.col("o_us"), SLOT_US), _stretch(F.col("o_us"), DAY_US)
+    return orders.filter(F.length("order_table") > 0).groupBy("store", "order_table").agg(
+        _marks(slot, None).alias("slot_marks"), _marks(day, F.col("yuan"), F.col("other_yuan")).alias("day_marks")
+    )
+
+
+def _with_tables(visits: DataFrame, orders: DataFrame) -> DataFrame:
+    """Visits with each table of their store that contains their table's text, and its marks."""
+    # Read for the names and for the marks.
+    tables = stored(_order_tables(orders), "tables")
+    names = table_names_within(visits.select("store", "visit_table").distinct(), tables.select("store", "order_table"))
+    return visits.join(names.join(tables, ["store", "order_table"]), ["store", "visit_table"])
+
+
+def _by_key(df: DataFrame, keys: list[Column], *row: str | Column) -> DataFrame:
+    """A row for each key that is not null. Keys are dropped as rows: taking them out of the array would leave compiled code."""
+    return df.select(*row, F.inline(F.array(*keys))).filter("part is not null")
 
 
 def _order_points(orders: DataFrame) -> DataFrame:
     """(key, t, order_no): an order by each of its amounts, by its table, and by both."""
     slot, day, table = _stretch(F.col("o_us"), SLOT_US), _stretch(F.col("o_us"), DAY_US), F.col("order_table")
     amounts = (F.col("yuan"), F.when(~F.col("yuan").eqNullSafe(F.col("other_yuan")), F.col("other_yuan")))
-    keys = _key(TABLE, slot, table=table)
+    keys = _key(slot, table=table)
     for yuan in amounts:
-        keys += _key(AMOUNT, slot, yuan=yuan) + _key(BOTH, day, yuan=yuan, table=table)
-    return orders.select("store", F.col("o_us").alias("t"), "order_no", F.inline(F.array_compact(F.array(*keys))))
+        keys += _key(slot, yuan=yuan) + _key(day, yuan=yuan, table=table)
+    return _by_key(orders, keys, "store", F.col("o_us").alias("t"), "order_no")
 
 
 def _asked(visits: DataFrame, tables: DataFrame) -> DataFrame:
-    """(key, visit_id, v_us, day): the slots and days that orders near a visit lie in; one without a time asks the day of its entry."""
+    """(key, visit_id, t): the slots and days that orders near a visit lie in; one without a time asks the day of its entry."""
     v_us = F.col("v_us")
     first, last = v_us - NEAR_US, v_us + NEAR_US
 
@@ -103,9 +157,11 @@ def _asked(visits: DataFrame, tables: DataFrame) -> DataFrame:
 
     none = F.lit(None).cast("bigint")
     slots, days, yuan, table = stretches(SLOT_US, none), stretches(DAY_US, F.col("day")), F.col("yuan"), F.col("order_table")
-    row = ["store", "visit_id", "v_us", "day"]
-    by_amount = visits.select(*row, F.inline(F.array_compact(F.array(*_key(AMOUNT, *slots, yuan=yuan)))))
-    by_table = tables.select(*row, F.inline(F.array_compact(F.array(*_key(TABLE, *slots, table=table), *_key(BOTH, *days, yuan=yuan, table=table)))))
+    row = ["store", "visit_id", v_us.alias("t")]
+    by_amount = _by_key(visits, _key(*slots, yuan=yuan), *row)
+    keys = _key(*slots, table=table, marks=F.col("slot_marks")) + _key(*days, yuan=yuan, table=table, marks=F.col("day_marks"))
+    # Most tables of a short text have no mark; they go before rows are made of them.
+    by_table = _by_key(tables.filter(reduce(or_, [key.isNotNull() for key in keys])), keys, *row)
     return by_amount.unionByName(by_table)
 
 
@@ -115,33 +171,34 @@ def _nearest(asked: DataFrame, points: DataFrame) -> DataFrame:
     Of points of one moment the smallest order number counts. A visit without a time takes the smallest of its key;
     t is null there.
     """
-    none = lambda kind: F.lit(None).cast(kind)
-    both = asked.withColumn("order_no", none("string")).withColumn("t", F.col("v_us"))
-    both = both.unionByName(points.withColumns({n: none("bigint") for n in ("visit_id", "v_us", "day")}))
+    both = asked.withColumn("order_no", F.lit(None).cast("string")).unionByName(points.withColumn("visit_id", F.lit(None).cast("bigint")))
     # One number first: rows of different keys are told apart by it alone.
     key = W.partitionBy("h", *KEY)
-    point = F.when(F.col("order_no").isNotNull(), F.struct("t", "order_no"))
+
+    def point(t: str, order_no: str) -> Column:
+        return F.when(F.col(order_no).isNotNull(), F.struct(F.col(t).alias("t"), F.col(order_no).alias("order_no")))
+
     # A visit comes after the orders of its moment, and one without a time after all.
     up = key.orderBy(F.asc_nulls_last("t"), F.asc_nulls_last("order_no"), "visit_id")
     here = both.withColumn("h", F.xxhash64(*KEY)).select(
         "*", F.lag("t").over(up).alias("t_above"), F.lag("visit_id").over(up).alias("visit_above"),
-        F.lead(F.struct("visit_id", point.alias("p"))).over(up).alias("below"),
+        *[F.lead(c).over(up).alias(f"{c}_below") for c in ("visit_id", "t", "order_no")],
     )
-    first = F.when(~F.col("t").eqNullSafe(F.col("t_above")), point)
+    first = F.when(~F.col("t").eqNullSafe(F.col("t_above")), point("t", "order_no"))
     so_far = up.rowsBetween(W.unboundedPreceding, W.currentRow)
     found = here.select("*", F.last(first, ignorenulls=True).over(so_far).alias("before"), F.min("order_no").over(so_far).alias("least"))
     # What follows is known where no visit does; visits above take it over, so orders need not be sorted again,
     # nor do visits alone among themselves that have no order on either side.
-    known = F.col("below.visit_id").isNull()
-    alone = known & F.col("visit_above").isNull() & F.coalesce("before", "below.p").isNull()
+    known, below = F.col("visit_id_below").isNull(), point("t_below", "order_no_below").alias("p")
+    alone = known & F.col("visit_above").isNull() & F.col("before").isNull() & F.col("order_no_below").isNull()
     found = found.filter(F.col("visit_id").isNotNull() & ~alone).select(
-        "h", *KEY, "visit_id", "v_us", "day", "before", "least", F.when(known, F.struct("below.p")).alias("next")
+        "h", *KEY, "visit_id", "t", "before", "least", F.when(known, F.struct(below)).alias("next")
     )
-    down = key.orderBy(F.desc_nulls_first("v_us"), F.desc("visit_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    down = key.orderBy(F.desc_nulls_first("t"), F.desc("visit_id")).rowsBetween(W.unboundedPreceding, W.currentRow)
     found = found.withColumn("after", F.last("next", ignorenulls=True).over(down)["p"])
-    least = F.when(F.col("least").isNotNull(), F.struct(none("bigint").alias("t"), F.col("least").alias("order_no")))
-    near = F.when(F.col("v_us").isNull(), F.array(least)).otherwise(F.array("before", "after"))
-    return found.select("kind", "visit_id", "v_us", "day", F.explode(F.array_compact(near)).alias("p"))
+    least = F.when(F.col("least").isNotNull(), F.struct(F.lit(None).cast("bigint").alias("t"), F.col("least").alias("order_no")))
+    near = F.when(F.col("t").isNull(), F.array(least)).otherwise(F.array("before", "after"))
+    return found.select(*KEY, "visit_id", F.col("t").alias("v_us"), F.explode(near).alias("p")).filter("p is not null")
 
 
 def visit_two_of_three(visits: DataFrame, orders: DataFrame) -> DataFrame:
@@ -166,14 +223,14 @@ def visit_two_of_three(visits: DataFrame, orders: DataFrame) -> DataFrame:
         B.whole_yuan(F.col("revenue")).alias("other_yuan"),
     )
     o = o.filter("o_us is not null and store is not null")
-    names = table_names_within(v.select("store", "visit_table").distinct(), o.select("store", "order_table").distinct())
-    near = _nearest(_asked(v, v.join(names, ["store", "visit_table"])), _order_points(o))
+    near = _nearest(_asked(v, _with_tables(v, o)), _order_points(o))
 
     diff = F.abs(F.col("v_us") - F.col("p.t"))
     close = F.coalesce(diff <= NEAR_US, F.lit(False))
-    same_day = F.col("v_us").isNull() | (_stretch(F.col("p.t"), DAY_US) == F.col("day"))
-    near = near.filter(close | ((F.col("kind") == BOTH) & same_day))
-    n = F.when(close & (F.col("kind") == BOTH), 3).otherwise(2)
+    same_day = F.col("v_us").isNull() | (_stretch(F.col("p.t"), DAY_US) == _stretch(F.col("v_us"), DAY_US))
+    both = F.col("yuan").isNotNull() & F.col("order_table").isNotNull()
+    near = near.filter(close | (both & same_day))
+    n = F.when(close & both, 3).otherwise(2)
     rank = F.struct((-n).alias("n"), F.coalesce(diff, F.lit(2**62)).alias("d"), F.col("p.order_no").alias("o"))
     best = near.groupBy("visit_id").agg(F.min(rank).alias("r"))
     return best.select(

@@ -38,7 +38,11 @@ CTES["corrected"] = """
 
 def inputs(spark, sf):
     """Visits and clean orders, written once: matching reads them along several keys."""
-    return stored(R.visits(spark, sf), "visits"), stored(clean(spark, sf), "orders")
+    return stored(R.visits(spark, sf), "visits"), orders_to_match(spark, sf)
+
+
+def orders_to_match(spark, sf):
+    return stored(clean(spark, sf).select(*V.ORDER_COLUMNS), "orders")
 
 
 def linked(spark, sf, merged):
@@ -53,7 +57,7 @@ def visit_exact_match(spark, sf):
 
 @query("visit_two_of_three", oracle("select visit_id, order_no, cast(n_conditions as int) as n_conditions, diff_us from two3"))
 def visit_two_of_three(spark, sf):
-    return V.visit_two_of_three(R.visits(spark, sf), stored(clean(spark, sf), "orders"))
+    return V.visit_two_of_three(R.visits(spark, sf), orders_to_match(spark, sf))
 
 
 @query(

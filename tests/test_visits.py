@@ -139,6 +139,45 @@ def test_orders_are_dealt_out_once(spark):
     assert V._order_points(o).count() == 10 + 2 * (10 + 5)
 
 
+def test_a_short_text_asks_only_tables_with_orders_near(spark, monkeypatch):
+    """A text that 300 tables hold, one order each over twenty days; before, each visit asked all 300, by slot and by day."""
+    rnd = random.Random(9)
+    orders = []
+    for i in range(300):
+        o = list(order(f"{i}", i * 96 + rnd.random(), rnd.choice(["20", "30", "40"]), f"大厅{i}"))
+        o[FIELDS.index("amount")] = o[FIELDS.index("revenue")] + rnd.choice([0, 3])
+        orders.append(tuple(o))
+    visits = []
+    for i in range(120):
+        at = DAY + timedelta(minutes=rnd.randrange(300) * 96 + rnd.uniform(-6, 7))
+        visits.append((
+            i, None, "万荷店", rnd.choice(["大", "厅", "1", "29"]), 2, Decimal(rnd.choice(["20", "33", "9"])), at if i % 4 else None, "w", "", None, 5.0, at,
+        ))
+    asked, nearest = [], V._nearest
+    monkeypatch.setattr(V, "_nearest", lambda rows, points: asked.append(rows.count()) or nearest(rows, points))
+    v, o = spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER)
+    got = {r["visit_id"]: (r["order_no"], r["n_conditions"]) for r in V.visit_two_of_three(v, o).collect()}
+    assert got == brute(visits, orders) and len(got) > 60
+    assert asked[0] < 10 * len(visits)
+
+
+def test_marks_hold_every_order_of_a_table(spark):
+    """More slots and amounts than a table has bits: no order is missed when all of them are set."""
+    rnd = random.Random(10)
+    orders = []
+    for i in range(2500):
+        o = list(order(f"{i}", i * 29 + rnd.random(), str(rnd.randrange(20, 60)), "大厅A1"))
+        o[FIELDS.index("amount")] = o[FIELDS.index("revenue")] + rnd.choice([0, 3])
+        orders.append(tuple(o))
+    visits = []
+    for i in range(80):
+        at = DAY + timedelta(minutes=rnd.randrange(2500) * 29 + rnd.uniform(-6, 7))
+        visits.append((i, None, "万荷店", "A", 2, Decimal(rnd.randrange(20, 60)), at if i % 4 else None, "w", "", None, 5.0, at))
+    v, o = spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER)
+    got = {r["visit_id"]: (r["order_no"], r["n_conditions"]) for r in V.visit_two_of_three(v, o).collect()}
+    assert got == brute(visits, orders) and len(got) > 50
+
+
 def test_every_visit_is_matched_or_listed(spark):
     visits, orders = make(4, 50, 70, ["20", "35"], ["B07", "A1"], range(600, 660))
     v, o = spark.createDataFrame(visits, VISIT), spark.createDataFrame(orders, ORDER)
