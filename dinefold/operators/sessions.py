@@ -122,12 +122,13 @@ def group_partials() -> list[Column]:
     ]
 
 
-def build_slots(prepared: DataFrame, extra_keys: list[Column] = (), statistics: bool = True) -> DataFrame:
-    """One row per non-empty slot of a table-day: first order, last order and, if wanted, statistics."""
-    return prepared.groupBy(*DAY, "slot", *extra_keys).agg(
+def build_slots(prepared: DataFrame, statistics: bool | list[Column] = True) -> DataFrame:
+    """One row per non-empty slot of a table-day: first order, last order and, if wanted, statistics, all or those given."""
+    part = group_partials() if statistics is True else statistics or []
+    return prepared.groupBy(*DAY, "slot").agg(
         F.min(_head()).alias("head"),
         F.max(F.struct("t_us", "order_no", "checkout_us")).alias("tail"),
-        *([F.struct(*group_partials()).alias("part")] if statistics else []),
+        *([F.struct(*part).alias("part")] if part else []),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from dinefold.operators import cleaning as C
@@ -10,7 +12,7 @@ from dinefold.plans import roles as R
 from dinefold.plans.catalog import query
 from dinefold.plans.out import plain
 from dinefold.plans.prelude import CTES, oracle
-from dinefold.session import scratch_dir, stored
+from dinefold.session import scratch_dir, shuffles_dropped, stored
 from dinefold.streaming import hourly, sessions, upsert
 
 
@@ -91,15 +93,14 @@ def stream_sessions_r0(spark, sf):
     oracle("select store, table_name, strftime(biz_date, '%Y-%m-%d') as biz_date, order_no, group_no as group_id, decision from fold"),
 )
 def stream_session_merge(spark, sf):
-    features = stored(S.order_features(R.items(spark, sf)), "features")
-    orders = C.clean_orders(R.orders_from(stream_events(spark, sf)))
-    prepared = S.attach_features(orders, features)
     slots, out, kept = (scratch_dir(spark, x) for x in ("slots", "merged", "merged-orders"))
-    running = [
-        sessions.stream_session_merge(prepared, slots, out, scratch_dir(spark, "merge-checkpoint")),
-        sessions.stream_orders(prepared, kept, scratch_dir(spark, "orders-checkpoint")),
-    ]
-    for q in running:
-        q.awaitTermination()
-    merged = sessions.read_merged(spark, out, kept)
+    with shuffles_dropped(spark):
+        features = stored(S.order_features(R.items(spark, sf)), "features")
+        orders = C.clean_orders(R.orders_from(stream_events(spark, sf)))
+        # Orders meet their features once; the merge reads the orders that were kept with them.
+        prepare = functools.partial(S.attach_features, features=features)
+        sessions.stream_orders(orders, kept, scratch_dir(spark, "orders-checkpoint"), prepare).awaitTermination()
+        prepared = sessions.kept_orders(spark, kept)
+        sessions.stream_session_merge(prepared, slots, out, scratch_dir(spark, "merge-checkpoint")).awaitTermination()
+        merged = sessions.read_merged(spark, out, kept)
     return plain(merged.select("store", "table_name", "biz_date", "order_no", "group_id", "decision"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import os
+import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from dinefold.operators import sessions as S
+from dinefold.session import shuffles_dropped
 from dinefold.streaming import sessions as ST
 from dinefold.streaming.hourly import takeaway_hourly_stream
 from dinefold.streaming import upsert as U
@@ -52,6 +55,57 @@ def test_late_orders_keep_their_group(spark, tmp_path):
     assert got == want and {r["order_no"] for r in late} <= {r["order_no"] for r in got}
 
 
+def test_merge_holds_its_slots_by_day_alone(spark, tmp_path):
+    """No state store beside the slots, no statistics that nothing reads, and late orders are in the slots too."""
+    o, i = frames(spark, *random_case(33, 120))
+    orders = sorted(o.collect(), key=lambda r: r["order_time"])
+    for part in ([r for r in orders if r not in orders[3::9]], orders[3::9]):
+        spark.createDataFrame(part, o.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(o.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, want = streamed(spark, o, i, tmp_path, stream)
+    assert got == want
+    assert not os.path.exists(tmp_path / "check" / "state")
+    slots = spark.read.parquet(str(tmp_path / "slots"))
+    assert slots.select("part.*").columns == ["n_all"]
+    assert slots.agg(F.sum("part.n_all")).first()[0] == len(orders)
+    # The mart has the slots that the latest order has closed, and no other.
+    mark = orders[-1]["order_time"] - timedelta(minutes=30)
+    keys = ["store", "table_name", "biz_date", "slot"]
+    counts = S.with_slots(o).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"), F.min("order_time").alias("t"))
+    begun = F.date_trunc("hour", "t") + F.make_dt_interval(mins=F.floor(F.minute("t") / 5).cast("int") * 5 + 5)
+    closed = counts.filter(begun <= F.lit(str(mark)).cast("timestamp_ntz")).select(*keys, "n_all")
+    out = spark.read.parquet(str(tmp_path / "out")).select(*keys, "n_all")
+    assert sorted(out.collect()) == sorted(closed.collect()) and 0 < closed.count() < counts.count()
+
+
+def test_orders_prepared_by_trigger_feed_the_merge(spark, tmp_path):
+    """Orders meet their features in the stream that keeps them; the merge streams from there, in several runs."""
+    o, i = frames(spark, *random_case(34, 90))
+    features, kept = S.order_features(i), str(tmp_path / "kept")
+    orders = sorted(o.collect(), key=lambda r: r["order_time"])
+    for part in (orders[:40], orders[40:]):
+        spark.createDataFrame(part, o.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(o.schema).parquet(str(tmp_path / "in"))
+        ST.stream_orders(stream, kept, str(tmp_path / "check1"), lambda rows: S.attach_features(rows, features)).awaitTermination()
+        prepared = ST.kept_orders(spark, kept)
+        ST.stream_session_merge(prepared, str(tmp_path / "slots"), str(tmp_path / "out"), str(tmp_path / "check2")).awaitTermination()
+    got = ST.read_merged(spark, str(tmp_path / "out"), kept).select("order_no", "group_id", "decision")
+    assert sorted(got.collect()) == sorted(S.session_merge(o, i).select("order_no", "group_id", "decision").collect())
+
+
+def test_shuffle_files_go_with_their_write(spark, tmp_path):
+    blocks = lambda: {str(b) for b in disk.getAllBlocks().mkString(" ").split(" ") if b.startswith("shuffle_")}
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before, key = blocks(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with shuffles_dropped(spark):
+        assert spark.conf.get(key) == "true"
+        spark.range(1000).groupBy(F.col("id") % 7).count().write.parquet(str(tmp_path / "out"))
+        until = time.time() + 20
+        while blocks() - before and time.time() < until:
+            time.sleep(0.2)
+    assert not blocks() - before and spark.conf.get(key) == "false"
+
+
 def test_return_within_the_delay_lowers_the_hour(spark, tmp_path):
     schema = "store string, source string, takeaway_id string, serial_no string, order_time timestamp_ntz, status string, revenue int"
     at = lambda h, m: datetime(2024, 1, 1, h, m)
