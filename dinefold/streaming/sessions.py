@@ -109,7 +109,11 @@ def stream_orders(
 
 
 def kept_orders(spark: SparkSession, path: str) -> DataFrame:
-    """The prepared orders that `stream_orders` has kept, as a stream."""
+    """The prepared orders that `stream_orders` has kept, as a stream.
+
+    A trigger that is done again writes new files. If they are streamed twice, slots count more orders than are kept, and
+    reading folds those table-days from the orders.
+    """
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).drop(LOAD)
 
 
